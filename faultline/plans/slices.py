@@ -70,6 +70,14 @@ def with_slices(
     )
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, so later filters are not pushed into the columns.
+
+    A filter pushed below parsed columns would parse the payload once per mention.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(name) for name in df.columns]))))
+
+
 def _sort(order: str, tie: Sequence[str]) -> list[Column]:
     return [F.col(order).asc(), *[F.col(name).asc() for name in tie]]
 

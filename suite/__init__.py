@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("timeseries",)
+FAMILIES = ("timeseries", "eventlog")
 
 
 def load():

@@ -13,6 +13,18 @@ from faultline.session import prepare
 
 _TABLE = re.compile(r"@(\w+)@")
 
+# Given schemas spare a footer-reading job per table.
+SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "benchmark": "item_id BIGINT, text STRING",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+
 METRICS = """
 SELECT CAST(ts AS TIMESTAMP) AS ts, event_type AS service,
        CASE WHEN user_id % 4 = 3 THEN 'limit' ELSE 'm' || CAST(user_id % 4 AS STRING) END AS metric,
@@ -20,7 +32,62 @@ SELECT CAST(ts AS TIMESTAMP) AS ts, event_type AS service,
 FROM @events@
 """
 
-VIEWS: dict[str, str] = {"v_metrics": METRICS}
+# Sixteen consecutive events make one incident; the place inside it decides the type.
+LOG = """
+SELECT ts, 'inc-' || nt AS incident_id, seq, event_type, CASE
+    WHEN seq % 53 = 0 THEN '{"broken": ' || kt
+    WHEN seq % 59 = 0 THEN ''
+    WHEN event_type = 'alert.received' THEN '{"incident_id":"inc-' || nt || '","metric":"m1","service":"' || svc || '","value":' || kt || '}'
+    WHEN event_type = 'incident.opened' THEN '{"state":"INVESTIGATING","alert":{"service":"' || svc || '","metric":"m1"}}'
+    WHEN event_type = 'extraction.completed' THEN '{"affected_services":["' || svc || '","svc-' || CAST(u % 3 AS STRING) || '"],"latency_ms":' || lat || ',"model":"m","severity":"P' || CAST(u % 4 AS STRING) || '"}'
+    WHEN event_type = 'causal.chains_detected' THEN '{"edges":[{"cause_service":"gateway","effect_service":"' || svc || '","lag_seconds":' || kt || '},{"cause_service":"","effect_service":"x","lag_seconds":5},{"cause_service":"' || svc || '","effect_service":"down","lag_seconds":"7"},17,{"cause_service":"' || svc || '","effect_service":"svc-2","lag_seconds":' || CAST(k + 60 AS STRING) || '}],"sql":"SELECT 1"}'
+    WHEN event_type = 'runbook.retrieved' THEN '{"citation":"Runbook ' || CAST(u AS STRING) || '","latency_ms":' || lat || ',"source_id":"doc-' || CAST(u AS STRING) || '"}'
+    WHEN event_type = 'ownership.suggested' THEN '{"citation":"Owners ' || CAST(u AS STRING) || '","latency_ms":' || lat || ',"note":"Suggested owner — awaiting confirmation","service":"' || svc || '","suggested_owner":' || CASE WHEN u % 9 = 0 THEN 'null' ELSE '"eng-' || CAST(u % 7 AS STRING) || '"' END || '}'
+    WHEN event_type = 'SKIPPED_NOT_CONFIGURED' AND s = 6 THEN CASE WHEN u % 3 = 0 THEN '{"error":"not configured","step":"airbyte_context_lookup"}' ELSE '{"blocker":"B' || CAST(u % 5 AS STRING) || '","error":"not configured","step":"airbyte_context_lookup"}' END
+    WHEN event_type = 'SKIPPED_NOT_CONFIGURED' THEN '{"error":"no key","step":"postmortem_generation"}'
+    WHEN event_type = 'context.related_items' THEN '{"latency_ms":' || lat || ',"result":[]}'
+    WHEN event_type = 'runbook.step_selected' THEN CASE WHEN u % 4 = 0 THEN '{"note":"manual selection","step":null}' ELSE '{"note":"parsed","step":"Check pool ' || kt || '"}' END
+    WHEN event_type = 'state.transition' THEN '{"to":"' || CASE WHEN s = 10 THEN 'RESOLVED' WHEN s = 15 THEN 'INVESTIGATING' WHEN n % 7 = 0 THEN 'RESOLVED' WHEN n % 13 = 0 THEN 'BOGUS' ELSE 'MITIGATING' END
+        || '","from":"' || CASE WHEN s = 10 THEN 'MITIGATING' WHEN s = 15 THEN 'RESOLVED' ELSE 'INVESTIGATING' END || '"}'
+    WHEN event_type = 'owner_confirmed' THEN '{"confirmed_by":"eng-' || CAST(u % 4 AS STRING) || '","owner":"eng-' || CAST(u % 7 AS STRING) || '"}'
+    WHEN event_type = 'DEGRADED' THEN '{"during_event_type":"runbook.retrieved","error":"timeout","service":"search-' || CAST(u % 3 AS STRING) || '"}'
+    WHEN event_type IN ('agent.error', 'postmortem_error') THEN '{"error":"boom ' || kt || '"}'
+    WHEN event_type = 'postmortem_token' THEN CASE WHEN u % 10 = 9 THEN '{"token":"w' || kt || ' "}' ELSE '{"index":' || CAST(13 - s AS STRING) || ',"token":"w' || kt || ' "}' END
+    WHEN event_type = 'postmortem_complete' THEN '{"elapsed_ms":' || kt || ',"model":"text-model","token_count":3}'
+    WHEN event_type = 'BLOCKED_BY_GUARDRAIL' THEN '{"categories":["prompt_safety"],"screen_latency_ms":' || kt || ',"step":"postmortem"}'
+    ELSE '{"action":"SLACK_SEND_MESSAGE","idempotency_scope":"inc-' || nt || ':RESOLVED","screen_latency_ms":' || kt || '}'
+  END AS payload
+FROM (
+  SELECT *, CAST(n AS STRING) AS nt, CAST(k AS STRING) AS kt, CASE WHEN u % 10 = 0 THEN 'null' ELSE CAST(k AS STRING) END AS lat,
+    CASE WHEN s = 0 THEN 'alert.received'
+         WHEN s = 1 THEN CASE WHEN n % 11 = 0 THEN 'extraction.completed' ELSE 'incident.opened' END
+         WHEN s = 2 THEN CASE WHEN n % 11 = 0 THEN 'incident.opened' ELSE 'extraction.completed' END
+         WHEN s = 3 THEN 'causal.chains_detected'
+         WHEN s = 4 THEN 'runbook.retrieved'
+         WHEN s = 5 THEN 'ownership.suggested'
+         WHEN s = 6 THEN CASE WHEN n % 2 = 0 THEN 'SKIPPED_NOT_CONFIGURED' ELSE 'context.related_items' END
+         WHEN s = 7 THEN 'runbook.step_selected'
+         WHEN s = 8 THEN 'state.transition'
+         WHEN s = 9 THEN CASE WHEN n % 3 = 0 THEN 'owner_confirmed' ELSE 'DEGRADED' END
+         WHEN s = 10 THEN CASE WHEN n % 4 = 0 THEN 'agent.error' ELSE 'state.transition' END
+         WHEN s < 14 THEN CASE WHEN n % 9 = 0 THEN 'DEGRADED' ELSE 'postmortem_token' END
+         WHEN s = 14 THEN CASE n % 5 WHEN 0 THEN 'postmortem_complete' WHEN 1 THEN 'BLOCKED_BY_GUARDRAIL'
+                          WHEN 2 THEN 'SKIPPED_NOT_CONFIGURED' WHEN 3 THEN 'postmortem_error' ELSE 'action.executed' END
+         ELSE CASE WHEN n % 6 = 0 THEN 'state.transition' ELSE 'action.executed' END
+    END AS event_type
+  FROM (
+    SELECT CAST(ts AS TIMESTAMP) AS ts, event_id AS seq, CAST(floor(event_id / 16) AS BIGINT) AS n, event_id % 16 AS s,
+           CAST(floor(value * 10) AS BIGINT) AS k, user_id AS u, event_type AS svc
+    FROM @events@
+  )
+)
+"""
+
+# What each of two sinks kept of the log.
+SINK_A = "SELECT * FROM @v_log@ WHERE seq % 97 <> 0 AND seq % 193 <> 5"
+SINK_B = "SELECT * FROM @v_log@ WHERE seq % 89 <> 0 AND seq % 193 <> 5"
+
+VIEWS: dict[str, str] = {"v_metrics": METRICS, "v_log": LOG, "v_sink_a": SINK_A, "v_sink_b": SINK_B}
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +98,14 @@ def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if table in VIEWS:
             derive(spark, sf_dir, table).createOrReplaceTempView(f"suite_{table}")
         else:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"suite_{table}")
+            read(spark, sf_dir, table).createOrReplaceTempView(f"suite_{table}")
     return spark.sql(_TABLE.sub(lambda match: f"suite_{match.group(1)}", text))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table."""
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def with_views(sql: str, *names: str) -> str:
