@@ -58,6 +58,7 @@ TICKET_ACTION = "JIRA_CREATE_ISSUE"
 CHAT_CHANNEL = "#incidents"
 PROJECT_KEY = "INC"
 SUGGESTION = "Suggested owner — awaiting confirmation"
+HUMAN_CONFIRMS = "A human must confirm"
 NO_MATCH_ANSWER = "No results found for your query."
 
 # retrieval intents: query prefix per kind of document

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("timeseries", "eventlog")
+FAMILIES = ("timeseries", "eventlog", "alerts", "verdicts")
 
 
 def load():

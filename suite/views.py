@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.plans.slices import settled
 from faultline.session import prepare
 
 _TABLE = re.compile(r"@(\w+)@")
@@ -87,7 +88,80 @@ FROM (
 SINK_A = "SELECT * FROM @v_log@ WHERE seq % 97 <> 0 AND seq % 193 <> 5"
 SINK_B = "SELECT * FROM @v_log@ WHERE seq % 89 <> 0 AND seq % 193 <> 5"
 
-VIEWS: dict[str, str] = {"v_metrics": METRICS, "v_log": LOG, "v_sink_a": SINK_A, "v_sink_b": SINK_B}
+# Every event as an alert delivery; large values are delivered twice, small ones are broken.
+ALERTS = """
+SELECT event_id * 2 AS delivery_id, received_at, idempotency_key, body FROM @v_alert_base@
+UNION ALL
+SELECT event_id * 2 + 1 AS delivery_id, received_at, idempotency_key, body FROM @v_alert_base@ WHERE value >= 60
+"""
+ALERT_BASE = """
+SELECT event_id, value, CAST(ts AS TIMESTAMP) AS received_at,
+  CASE WHEN user_id % 3 = 0 THEN 'key-' || CAST(CAST(floor(event_id / 4) AS BIGINT) AS STRING) END AS idempotency_key,
+  CASE WHEN value < 2 THEN '{"service":"' || event_type
+       WHEN value < 4 THEN '{"service":"","metric":"m1","value":1.5,"timestamp":"2024-01-02T03:04:05Z"}'
+       WHEN value < 6 THEN '{"service":"' || event_type || '","metric":"m1","value":"n/a","timestamp":"2024-01-02T03:04:05Z"}'
+       WHEN value < 8 THEN '{"service":"' || event_type || '","metric":"m1","value":1.5,"timestamp":"soon"}'
+       WHEN value < 10 THEN '{"service":"' || event_type || '","value":1.5,"timestamp":"2024-01-02T03:04:05Z"}'
+       WHEN value < 12 THEN '{"service":"' || event_type || '","metric":"m1","value":1.5,"timestamp":"2024-01-02T03:04:05Z","incident_id":7}'
+       WHEN value < 14 THEN '{"service":"' || event_type || '","metric":"m1","value":"12.5","timestamp":"2024-01-02T03:04:05Z"}'
+       ELSE '{"service":"' || event_type || '","metric":"m' || CAST(user_id % 4 AS STRING) || '","value":' || CAST(value AS STRING)
+         || ',"timestamp":"2024-01-' || lpad(CAST(1 + user_id % 28 AS STRING), 2, '0') || 'T00:00:' || lpad(CAST(event_id % 60 AS STRING), 2, '0') || 'Z"'
+         || CASE WHEN user_id % 2 = 0 THEN ',"incident_id":"inc-' || CAST(user_id AS STRING) || '"' ELSE '' END || '}'
+  END AS body
+FROM @events@
+"""
+REQUESTS = "SELECT CAST(user_id AS STRING) AS client, event_id AS request_id, CAST(ts AS TIMESTAMP) AS ts FROM @events@"
+
+# Model responses for every labelled document, some of them malformed.
+EXTRACTIONS = """
+SELECT doc_id AS response_id, CAST(doc_id AS DOUBLE) AS wall_ms,
+  CASE WHEN doc_id % 23 = 0 THEN '[1]'
+       WHEN doc_id % 19 = 0 THEN '{"result":{"data":{"entities":{}}}}'
+       WHEN doc_id % 17 = 0 THEN '{"result":{"data":{"severity":{"label":"maybe"},"entities":{"affected_service":[]}}}}'
+       WHEN doc_id % 13 = 0 THEN '{"result":{"data":{"severity":{"label":"P1","confidence":0.5},"entities":{}}}}'
+       WHEN doc_id % 11 = 0 THEN '{"result":{"data":{"severity":{"label":"P1"},"entities":{"affected_service":[{"confidence":0.5}]}}}}'
+       WHEN doc_id % 7 = 0 THEN '{"result":{"data":{"severity":"P' || CAST(quality * 2 + toxic AS STRING) || '","entities":{"affected_service":["svc-' || CAST(doc_id % 5 AS STRING) || '"]}}}}'
+       ELSE '{"latency_ms":' || CAST(doc_id % 200 AS STRING) || '.5,"result":{"data":{"severity":{"label":"P' || CAST(quality * 2 + toxic AS STRING)
+         || '","confidence":0.' || CAST(1 + doc_id % 9 AS STRING) || '},"entities":{"affected_service":[{"text":"svc-' || CAST(doc_id % 5 AS STRING)
+         || '","confidence":0.9,"start":0,"end":5},{"text":"db","confidence":0.8,"start":9,"end":11}]}}}}'
+  END AS body
+FROM @labels@
+"""
+SCREENS = """
+SELECT doc_id AS response_id, CAST(doc_id AS DOUBLE) AS wall_ms,
+  CASE WHEN doc_id % 23 = 0 THEN 'not json'
+       WHEN doc_id % 19 = 0 THEN '{"result":{"data":{"other":1}}}'
+       WHEN doc_id % 17 = 0 THEN '{"result":{"data":{"prompt_safety":{"label":"maybe","confidence":0.5}}}}'
+       WHEN doc_id % 7 = 0 THEN '{"result":{"data":{"prompt_safety":"' || CASE WHEN toxic = 1 THEN 'unsafe' ELSE 'safe' END || '"}}}'
+       ELSE '{"latency_ms":' || CAST(doc_id % 300 AS STRING) || ',"result":{"data":{"prompt_safety":{"label":"'
+         || CASE WHEN toxic = 1 THEN 'unsafe' ELSE 'safe' END || '","confidence":0.' || CAST(1 + doc_id % 9 AS STRING) || '}}}}'
+  END AS body
+FROM @labels@
+"""
+# A chat and a ticket draft per document; several drafts share an incident.
+DRAFTS = """
+SELECT doc_id * 3 AS draft_id, doc_id AS response_id, 'inc-' || CAST(doc_id % 100 AS STRING) || ':RESOLVED' AS scope,
+       'SLACK_SEND_MESSAGE' AS action, text FROM @documents@
+UNION ALL
+SELECT doc_id * 3 + 1, doc_id, 'inc-' || CAST(doc_id % 150 AS STRING) || ':MITIGATING', 'JIRA_CREATE_ISSUE', text FROM @documents@
+UNION ALL
+SELECT doc_id * 3 + 2, doc_id, 'inc-' || CAST(doc_id AS STRING) || ':RESOLVED', 'FAX_' || upper(lang), text FROM @documents@
+"""
+
+VIEWS: dict[str, str] = {
+    "v_metrics": METRICS,
+    "v_log": LOG,
+    "v_sink_a": SINK_A,
+    "v_sink_b": SINK_B,
+    "v_alerts": ALERTS,
+    "v_alert_base": ALERT_BASE,
+    "v_requests": REQUESTS,
+    "v_extractions": EXTRACTIONS,
+    "v_screens": SCREENS,
+    "v_drafts": DRAFTS,
+}
+
+STORED = {"v_log", "v_alert_base", "v_extractions", "v_screens"}
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,7 +173,9 @@ def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             derive(spark, sf_dir, table).createOrReplaceTempView(f"suite_{table}")
         else:
             read(spark, sf_dir, table).createOrReplaceTempView(f"suite_{table}")
-    return spark.sql(_TABLE.sub(lambda match: f"suite_{match.group(1)}", text))
+    view = spark.sql(_TABLE.sub(lambda match: f"suite_{match.group(1)}", text))
+    # long generated texts stand for stored columns: keep them out of the operators' expressions
+    return settled(view) if name in STORED else view
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
