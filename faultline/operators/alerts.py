@@ -6,16 +6,14 @@ Deliveries have (delivery_id, received_at, idempotency_key, body); `delivery_id`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonval
 from faultline.functions.text import STAMP
 from faultline.plans.firsts import flag_first
-from faultline.plans.slices import SLICE_ROWS, previous, running, settled
+from faultline.plans.folds import fold_rows
+from faultline.plans.slices import SLICE_ROWS, find_hot, previous, running, settled
 
 FIELDS = ("service", "metric", "value", "timestamp", "incident_id")
 
@@ -135,13 +133,23 @@ def alert_sentence(deliveries: DataFrame) -> DataFrame:
     return rows.withColumn("sentence", F.coalesce(known, other)).drop("__f")
 
 
-BUCKET_SCHEMA = "client string, request_id bigint, allowed boolean, retry_after double"
-
-
 def refill(tokens: float, last: float, now: float, capacity: float, rate: float) -> float:
     return min(capacity, tokens + (now - last) * rate)
 
 
+def bucket_step(capacity: float, rate: float):
+    """One request against a bucket: state is (tokens, last time), output (allowed, retry_after)."""
+
+    def step(state: tuple[float, float] | None, value: tuple[float]) -> tuple[tuple, tuple]:
+        (now,) = value
+        tokens = capacity if state is None else refill(*state, now, capacity, rate)
+        if tokens >= 1.0:
+            return (tokens - 1.0, now), (True, None)
+        return (tokens, now), (False, (1.0 - tokens) / rate)
+
+    return step
+
+
 def token_bucket(
     requests: DataFrame,
     limit: int,
@@ -151,51 +159,29 @@ def token_bucket(
     """Allow or throttle requests (client, request_id, ts) with one bucket per client.
 
     A bucket holds `limit` tokens and gains `limit` per window. After a pause of a whole
-    window it is full whatever happened before, so a client's requests fall apart there into
-    runs that are folded independently. A run is read in Arrow batches and never held whole.
+    window it is full whatever happened before, so where a client is hot its requests fall
+    apart there into runs that are folded independently.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     timed = requests.select("client", "request_id", "ts", at.alias("t"))
-    spaced = previous(timed, ["client"], "ts", {"__before": "t"}, ("request_id",), slice_rows)
-    rested = F.col("__before").isNull() | (F.col("t") - F.col("__before") > window_seconds * 1.01)
-    runs = running(
-        spaced.withColumn("__start", F.when(rested, F.col("t"))),
-        ["client"],
-        "ts",
-        {"__run": ("last", F.col("__start"))},
-        ("request_id",),
-        slice_rows,
-    )
-    capacity, rate = float(limit), limit / window_seconds
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = last = None
-        for batch in batches:
-            allowed, retry = [], []
-            for now in batch["t"].tolist():
-                tokens = capacity if tokens is None else refill(tokens, last, now, capacity, rate)
-                last = now
-                if tokens >= 1.0:
-                    tokens -= 1.0
-                    allowed.append(True)
-                    retry.append(None)
-                else:
-                    allowed.append(False)
-                    retry.append((1.0 - tokens) / rate)
-            yield pd.DataFrame(
-                {
-                    "client": batch["client"],
-                    "request_id": batch["request_id"],
-                    "allowed": allowed,
-                    "retry_after": pd.Series(retry, dtype="float64", index=batch.index),
-                }
-            )
-
-    decided = (
-        runs.repartition("client", "__run")
-        .sortWithinPartitions("client", "__run", "t", "request_id")
-        .groupBy("client", "__run")
-        .applyInPandas(fold, BUCKET_SCHEMA)
+    hot = find_hot(timed, ["client"], "ts", slice_rows)
+    if hot:
+        spaced = previous(timed, ["client"], "ts", {"__before": "t"}, ("request_id",), slice_rows, hot)
+        rested = F.col("__before").isNull() | (F.col("t") - F.col("__before") > window_seconds * 1.01)
+        marked = spaced.withColumn("__start", F.when(rested, F.col("t")))
+        start = {"__run": ("last", F.col("__start"))}
+        runs = running(marked, ["client"], "ts", start, ("request_id",), slice_rows, hot)
+    else:
+        runs = timed.withColumn("__run", F.lit(0.0))
+    decided = fold_rows(
+        runs,
+        ["client", "__run"],
+        ["t", "request_id"],
+        bucket_step(float(limit), limit / window_seconds),
+        ["t"],
+        ["allowed", "retry_after"],
+        "client string, request_id bigint, allowed boolean, retry_after double",
+        ["client", "request_id"],
     )
     whole = F.greatest(F.lit(1), F.ceil("retry_after")).cast("bigint")
     return decided.withColumn("retry_after_seconds", F.when(~F.col("allowed"), whole))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import vocab
@@ -51,12 +51,12 @@ def edge_labels(edges: DataFrame) -> DataFrame:
     return edges.withColumn("label", F.concat(F.lit("precedes by "), lag_label(F.col("lag_seconds"))))
 
 
-def graph_nodes(edges: DataFrame, mentioned: DataFrame) -> DataFrame:
+def graph_nodes(edges: DataFrame, mentioned: DataFrame, hot: list[Row] | None = None) -> DataFrame:
     """Services of each incident's graph in order of first appearance, with their role.
 
     `edges` has (incident_id, ord, cause_service, effect_service); `mentioned` has
     (incident_id, ord, service) and comes after all edges. Being an effect outranks being a
-    cause.
+    cause. `hot` may pass on an empty finding about the incidents' events.
     """
     ends = edges.select(
         "incident_id",
@@ -86,6 +86,6 @@ def graph_nodes(edges: DataFrame, mentioned: DataFrame) -> DataFrame:
     flat = nodes.select(
         "incident_id", "service", "role", F.col("at.block").alias("b"), F.col("at.ord").alias("o"), F.col("at.end").alias("e")
     )
-    return numbered(flat, ["incident_id"], "b", "position", ("o", "e", "service")).select(
+    return numbered(flat, ["incident_id"], "b", "position", ("o", "e", "service"), hot=hot).select(
         "incident_id", "position", "service", "role"
     )

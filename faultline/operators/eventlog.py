@@ -5,12 +5,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonval, vocab
 from faultline.functions.text import clock, iso_stamp
-from faultline.plans.slices import SLICE_ROWS, numbered, text_parts
+from faultline.plans.slices import SLICE_ROWS, find_hot, numbered, text_parts
 
 INCIDENT = ["incident_id"]
 ORDER = ("ts", "seq")
@@ -52,7 +52,8 @@ def log_block(log: DataFrame, part_rows: int = 10_000, slice_rows: int = SLICE_R
 
     Joining the parts of an incident with newlines gives the block.
     """
-    parts = text_parts(log_lines(log), INCIDENT, "ts", "line", "\n", ("seq",), part_rows, slice_rows)
+    hot = find_hot(log, INCIDENT, "ts", slice_rows)
+    parts = text_parts(log_lines(log), INCIDENT, "ts", "line", "\n", ("seq",), part_rows, slice_rows, hot)
     last = log.groupBy("incident_id").agg(
         F.floor((F.count(F.lit(1)) - 1) / part_rows).cast("bigint").alias("__last")
     )
@@ -144,11 +145,12 @@ def latest_edges(log: DataFrame) -> DataFrame:
     return payload_edges(latest_by_type(log, vocab.CHAINS_DETECTED)).drop("ts")
 
 
-def report_tokens(log: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def report_tokens(
+    log: DataFrame, slice_rows: int = SLICE_ROWS, hot: list[Row] | None = None
+) -> DataFrame:
     """Streamed report tokens with their index; without one, the arrival position counts."""
-    rows = numbered(
-        opened(log, vocab.REPORT_TOKEN), INCIDENT, "ts", "arrival", ("seq",), slice_rows
-    )
+    tokens = opened(log, vocab.REPORT_TOKEN)
+    rows = numbered(tokens, INCIDENT, "ts", "arrival", ("seq",), slice_rows, hot)
     given = jsonval.number(F.col("p"), "$.index")
     return rows.select(
         "incident_id",
@@ -160,9 +162,11 @@ def report_tokens(log: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
 
 def report_text(log: DataFrame, part_rows: int = 10_000, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Report text put together from its tokens by index, in ordered parts."""
-    tokens = report_tokens(log, slice_rows)
+    hot = find_hot(log.where(of_type(vocab.REPORT_TOKEN)), INCIDENT, "ts", slice_rows)
+    tokens = report_tokens(log, slice_rows, hot)
+    # the tokens of a key that is not hot by time are not hot by index either
     return text_parts(
-        tokens, INCIDENT, "token_index", "token", "", ("arrival",), part_rows, slice_rows
+        tokens, INCIDENT, "token_index", "token", "", ("arrival",), part_rows, slice_rows, None if hot else hot
     ).withColumnRenamed("n_rows", "n_tokens")
 
 

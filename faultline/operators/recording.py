@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators.timeseries import SERIES
-from faultline.plans.slices import SLICE_ROWS, bounded_frame, previous
+from faultline.plans.slices import SLICE_ROWS, bounded_frame, find_hot, previous
 
 
 def tick_batches(metrics: DataFrame) -> DataFrame:
@@ -118,6 +118,7 @@ def step_profile(metrics: DataFrame, intervals: DataFrame, slice_rows: int = SLI
         lambda window: {"rise": F.col("value") - F.lag("value").over(window)},
         ("value",),
         slice_rows,
+        find_hot(metrics, SERIES, "ts", slice_rows),
     )
     return steps.groupBy(*SERIES).agg(
         F.count(F.lit(1)).alias("n_rows"),

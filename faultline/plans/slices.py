@@ -1,9 +1,9 @@
 """Ordered windows that survive hot keys.
 
-A plain `Window.partitionBy(key)` sends a whole key to one task. The helpers here cut only
-the keys that hold very many rows into consecutive slices of the order column, evaluate the
-window inside each slice, and then repair the slice borders from a small remainder. Results
-are the same as those of the plain window.
+A plain `Window.partitionBy(key)` sends a whole key to one task. The helpers here first look
+for keys with very many rows. Without any, the plan is the plain window. Otherwise only those
+keys are cut into consecutive slices of the order column; the window runs inside each slice
+and the slice borders are repaired from a small remainder. Results are the same either way.
 
 Keys must not be null. Rows with equal order values always share a slice, so `tie` columns
 only have to break ties inside one.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +23,7 @@ POS = "__pos"
 
 # A key is hot above this many rows; a slice then aims at this many.
 SLICE_ROWS = 1_000_000
-# At most this many keys can be hot, whatever the data: the threshold is raised to
-# total / HOT_KEYS, and fewer than HOT_KEYS keys can each hold more than that.
+# Only so many of the largest hot keys are cut; any other key holds less than 1/HOT_KEYS of all rows.
 HOT_KEYS = 5_000
 
 
@@ -36,37 +35,41 @@ def order_number(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("double")
 
 
-def with_slices(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    slice_rows: int = SLICE_ROWS,
-    hot_keys: int = HOT_KEYS,
-) -> DataFrame:
-    """Add `__slice` (0-based, rising with `order`) and `__hot` (the key was cut)."""
+def find_hot(
+    df: DataFrame, keys: Sequence[str], order: str, slice_rows: int = SLICE_ROWS
+) -> list[Row]:
+    """The largest keys above `slice_rows` rows, with their order range and slice count.
+
+    Runs one job over the key and order columns, pre-aggregated before its shuffle, and
+    returns at most HOT_KEYS rows. Stale figures only unbalance slices, never results.
+    """
     at = order_number(df, order)
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), F.min(at).alias("__lo"), F.max(at).alias("__hi")
     )
+    large = stats.where((F.col("__n") > slice_rows) & (F.col("__hi") > F.col("__lo")))
+    parts = F.ceil(F.col("__n") / float(slice_rows)).cast("double").alias("__parts")
+    return large.orderBy(F.desc("__n")).limit(HOT_KEYS).select(*keys, "__lo", "__hi", parts).collect()
+
+
+def with_slices(df: DataFrame, keys: Sequence[str], order: str, hot: list[Row]) -> DataFrame:
+    """Add `__slice` (0-based, rising with `order`) and `__hot` (the key was cut)."""
+    at = order_number(df, order)
     if keys:
-        total = stats.agg(F.sum("__n")).scalar()
-        limit = F.greatest(F.lit(float(slice_rows)), total / F.lit(float(hot_keys)))
-        hot = stats.where(F.col("__n") > limit).select(
-            *keys, "__lo", "__hi", F.ceil(F.col("__n") / limit).cast("double").alias("__parts")
-        )
-        # fewer than hot_keys rows by construction of `limit`
-        joined = df.join(F.broadcast(hot), list(keys), "left")
+        fields = [T.StructField(key, df.schema[key].dataType) for key in keys]
+        fields += [T.StructField(name, T.DoubleType()) for name in ("__lo", "__hi", "__parts")]
+        table = df.sparkSession.createDataFrame(hot, T.StructType(fields))
+        joined = df.join(F.broadcast(table), list(keys), "left")
         low, high, parts = F.col("__lo"), F.col("__hi"), F.col("__parts")
     else:
         joined = df
-        low, high = stats.select("__lo").scalar(), stats.select("__hi").scalar()
-        parts = F.ceil(stats.select("__n").scalar() / F.lit(float(slice_rows))).cast("double")
-    span = F.when(high > low, high - low)
-    cut = F.least(F.floor((at - low) / span * parts), (parts - 1).cast("bigint"))
+        low, high, parts = (F.lit(float(hot[0][name])) for name in ("__lo", "__hi", "__parts"))
+    place = F.floor((at - low) / (high - low) * parts)
+    cut = F.greatest(F.lit(0), F.least(place, parts.cast("bigint") - 1))
     return joined.select(
         *[F.col(name) for name in df.columns],
-        F.coalesce(cut, F.lit(0).cast("bigint")).alias(SLICE),
-        F.coalesce(parts > 1, F.lit(False)).alias(HOT),
+        F.coalesce(F.when(parts.isNotNull(), cut), F.lit(0).cast("bigint")).alias(SLICE),
+        parts.isNotNull().alias(HOT),
     )
 
 
@@ -90,6 +93,7 @@ def bounded_frame(
     columns: Callable[[Window], dict[str, Column]],
     tie: Sequence[str] = (),
     slice_rows: int = SLICE_ROWS,
+    hot: list[Row] | None = None,
 ) -> DataFrame:
     """Add window columns whose frames look back at most `reach` rows.
 
@@ -97,8 +101,12 @@ def bounded_frame(
     rows of a slice can look past its start, and all they can see are the last `reach` rows
     of the slices before; those borders are evaluated again on their own.
     """
-    cut = with_slices(df, keys, order, slice_rows)
     by = _sort(order, tie)
+    across = Window.partitionBy(*keys).orderBy(*by)
+    hot = find_hot(df, keys, order, slice_rows) if hot is None else hot
+    if not hot:
+        return df.withColumns(columns(across))
+    cut = with_slices(df, keys, order, hot)
     inner = Window.partitionBy(*keys, SLICE).orderBy(*by)
     inside = (
         cut.withColumns({**columns(inner), POS: F.row_number().over(inner)})
@@ -111,7 +119,6 @@ def bounded_frame(
         .withColumns({POS: F.row_number().over(inner), "__size": F.count(F.lit(1)).over(whole)})
         .where((F.col(POS) <= reach) | (F.col(POS) > F.col("__size") - reach))
     )
-    across = Window.partitionBy(*keys).orderBy(*by)
     repaired = (
         edge.withColumns(columns(across))
         .where((F.col(SLICE) > 0) & (F.col(POS) <= reach))
@@ -127,6 +134,7 @@ def running(
     columns: dict[str, tuple[str, Column]],
     tie: Sequence[str] = (),
     slice_rows: int = SLICE_ROWS,
+    hot: list[Row] | None = None,
 ) -> DataFrame:
     """Add running columns over all earlier rows and the current one.
 
@@ -138,12 +146,17 @@ def running(
         "max": F.max,
         "last": lambda value: F.last(value, ignorenulls=True),
     }
-    cut = with_slices(df, keys, order, slice_rows)
     by = _sort(order, tie)
-    upto = Window.partitionBy(*keys, SLICE).orderBy(*by).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    local = cut.withColumns({name: agg[kind](value).over(upto) for name, (kind, value) in columns.items()})
+    hot = find_hot(df, keys, order, slice_rows) if hot is None else hot
+
+    def upto(*parts: str) -> dict[str, Column]:
+        rows = Window.partitionBy(*parts).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return {name: agg[kind](value).over(rows) for name, (kind, value) in columns.items()}
+
+    if not hot:
+        return df.withColumns(upto(*keys))
+    cut = with_slices(df, keys, order, hot)
+    local = cut.withColumns(upto(*keys, SLICE))
 
     rank = F.struct(*[F.col(name) for name in (order, *tie)])
     whole = {
@@ -181,10 +194,11 @@ def numbered(
     name: str,
     tie: Sequence[str] = (),
     slice_rows: int = SLICE_ROWS,
+    hot: list[Row] | None = None,
 ) -> DataFrame:
     """Add a 1-based row number per key."""
     one = F.lit(1).cast("bigint")
-    return running(df, keys, order, {name: ("sum", one)}, tie, slice_rows)
+    return running(df, keys, order, {name: ("sum", one)}, tie, slice_rows, hot)
 
 
 def previous(
@@ -194,6 +208,7 @@ def previous(
     columns: dict[str, str],
     tie: Sequence[str] = (),
     slice_rows: int = SLICE_ROWS,
+    hot: list[Row] | None = None,
 ) -> DataFrame:
     """Add the value of a column one row earlier: {new name: source column}."""
     return bounded_frame(
@@ -204,6 +219,7 @@ def previous(
         lambda window: {name: F.lag(source).over(window) for name, source in columns.items()},
         tie,
         slice_rows,
+        hot,
     )
 
 
@@ -216,13 +232,14 @@ def text_parts(
     tie: Sequence[str] = (),
     part_rows: int = 10_000,
     slice_rows: int = SLICE_ROWS,
+    hot: list[Row] | None = None,
 ) -> DataFrame:
     """Join ordered text rows per key into parts of at most `part_rows` rows.
 
     Returns (keys, part, n_rows, text); the parts of a key, joined in order with `glue`, are
     its whole text. No task holds more than one part, however long the text is.
     """
-    rows = numbered(df, keys, order, POS, tie, slice_rows)
+    rows = numbered(df, keys, order, POS, tie, slice_rows, hot)
     placed = rows.select(
         *keys,
         F.floor((F.col(POS) - 1) / part_rows).cast("bigint").alias("part"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import vocab
 from faultline.operators import causal, eventlog, lifecycle, sinks, timeline
+from faultline.plans.slices import find_hot
 from suite.duck import OPEN_LOG, number, text, types
 from suite.registry import query, stamp
 from suite.views import derive, read
@@ -148,7 +149,10 @@ def payload_edges(spark, sf_dir):
 )
 def graph_nodes(spark, sf_dir):
     log = _log(spark, sf_dir)
-    return causal.graph_nodes(eventlog.latest_edges(log), eventlog.affected_services(log))
+    calm = not find_hot(log, ["incident_id"], "ts")
+    return causal.graph_nodes(
+        eventlog.latest_edges(log), eventlog.affected_services(log), hot=[] if calm else None
+    )
 
 
 TOKENS = f"""

@@ -58,7 +58,10 @@ SELECT ts, 'inc-' || nt AS incident_id, seq, event_type, CASE
     WHEN event_type = 'BLOCKED_BY_GUARDRAIL' THEN '{"categories":["prompt_safety"],"screen_latency_ms":' || kt || ',"step":"postmortem"}'
     ELSE '{"action":"SLACK_SEND_MESSAGE","idempotency_scope":"inc-' || nt || ':RESOLVED","screen_latency_ms":' || kt || '}'
   END AS payload
-FROM (
+FROM @v_log_base@
+"""
+
+LOG_BASE = """
   SELECT *, CAST(n AS STRING) AS nt, CAST(k AS STRING) AS kt, CASE WHEN u % 10 = 0 THEN 'null' ELSE CAST(k AS STRING) END AS lat,
     CASE WHEN s = 0 THEN 'alert.received'
          WHEN s = 1 THEN CASE WHEN n % 11 = 0 THEN 'extraction.completed' ELSE 'incident.opened' END
@@ -81,7 +84,6 @@ FROM (
            CAST(floor(value * 10) AS BIGINT) AS k, user_id AS u, event_type AS svc
     FROM @events@
   )
-)
 """
 
 # What each of two sinks kept of the log.
@@ -151,6 +153,7 @@ SELECT doc_id * 3 + 2, doc_id, 'inc-' || CAST(doc_id AS STRING) || ':RESOLVED',
 VIEWS: dict[str, str] = {
     "v_metrics": METRICS,
     "v_log": LOG,
+    "v_log_base": LOG_BASE,
     "v_sink_a": SINK_A,
     "v_sink_b": SINK_B,
     "v_alerts": ALERTS,
@@ -161,7 +164,7 @@ VIEWS: dict[str, str] = {
     "v_drafts": DRAFTS,
 }
 
-STORED = {"v_log", "v_alert_base", "v_extractions", "v_screens"}
+STORED = {"v_log_base", "v_alert_base", "v_extractions", "v_screens"}
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
