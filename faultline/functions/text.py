@@ -36,6 +36,11 @@ def html_escape(value: Column) -> Column:
     return value
 
 
+def strip(value: Column) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.trim(value, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def first_line(value: Column) -> Column:
     return F.split(value, r"\r\n|\n|\r", 2)[0]
 

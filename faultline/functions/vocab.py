@@ -60,6 +60,7 @@ PROJECT_KEY = "INC"
 SUGGESTION = "Suggested owner — awaiting confirmation"
 HUMAN_CONFIRMS = "A human must confirm"
 NO_MATCH_ANSWER = "No results found for your query."
+CITATION_PREFIX = "senso:"
 
 # retrieval intents: query prefix per kind of document
 INTENTS = {

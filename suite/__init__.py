@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("timeseries", "eventlog", "alerts", "verdicts")
+FAMILIES = ("timeseries", "eventlog", "alerts", "verdicts", "retrieval", "history")
 
 
 def load():

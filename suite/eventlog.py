@@ -55,14 +55,14 @@ def log_block(spark, sf_dir):
 
 @query(
     "refused_incidents",
-    """WITH w AS (SELECT DISTINCT 'inc-' || CAST(user_id AS VARCHAR) AS incident_id FROM events)
+    """WITH w AS (SELECT DISTINCT 'inc-' || CAST(event_id AS VARCHAR) AS incident_id FROM events)
     SELECT incident_id FROM w WHERE incident_id NOT IN (SELECT incident_id FROM v_log)""",
     V,
 )
 def refused_incidents(spark, sf_dir):
     log = _log(spark, sf_dir)
     events = read(spark, sf_dir, "events")
-    wanted = events.select(F.concat(F.lit("inc-"), F.col("user_id").cast("string")).alias("incident_id"))
+    wanted = events.select(F.concat(F.lit("inc-"), F.col("event_id").cast("string")).alias("incident_id"))
     return eventlog.refused_incidents(wanted, log)
 
 

@@ -150,7 +150,57 @@ UNION ALL
 SELECT doc_id * 3 + 2, doc_id, 'inc-' || CAST(doc_id AS STRING) || ':RESOLVED', 'FAX_' || upper(lang), text FROM @documents@
 """
 
+# Documents as knowledge entries, runbooks and ownership maps.
+DOCS = "SELECT doc_id AS content_id, source || ' ' || lang || ' ' || CAST(n_chars AS STRING) AS title, text FROM @documents@"
+RUNBOOKS = """
+SELECT doc_id AS content_id, source || '-' || CAST(doc_id % 700 AS STRING) AS title, lang AS service,
+  '## Symptom pattern' || chr(10) || text || chr(10) || chr(10)
+  || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '## Steps' || chr(10) || '  1. Check ' || source || ' pool.  ' || chr(10) || '2. Raise it.' || chr(10) END
+  || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '## Last applied' || chr(10) || 'INC-' || CAST(doc_id AS STRING) || chr(10) END
+  || '## ' || CASE WHEN doc_id % 4 = 0 THEN 'other' ELSE lang END || chr(10) || '- team: x' || chr(10)
+  || CASE WHEN doc_id % 6 = 0 THEN '' ELSE '- Primary owner: eng-' || CAST(doc_id % 11 AS STRING) || chr(10) END
+  || '## zz' || chr(10) || '- Primary owner: eng-last' || chr(10)
+  || '## Resolution time' || chr(10) || CAST(n_chars AS STRING) || ' minutes' AS text
+FROM @documents@
+"""
+RESPONSES = """
+SELECT doc_id AS query_id,
+  CASE WHEN doc_id % 31 = 0 THEN '["list"]'
+       WHEN doc_id % 29 = 0 THEN '{"answer":"x"}'
+       WHEN doc_id % 23 = 0 THEN '{"results":[{"title":"t"}]}'
+       WHEN doc_id % 19 = 0 THEN '{"answer":"a","results":[],"total_results":0}'
+       WHEN doc_id % 17 = 0 THEN '{"answer":"No results found for your query.","results":[{"title":"t"}],"total_results":1}'
+       WHEN doc_id % 13 = 0 THEN '{"answer":"a","results":["t"],"total_results":1}'
+       WHEN doc_id % 11 = 0 THEN '{"answer":" ","results":[{"title":"' || source || '","chunk_text":"' || lang || '"}],"total_results":1}'
+       WHEN doc_id % 7 = 0 THEN '{"answer":null,"results":[{"title":"' || source || '","content_id":"c' || CAST(doc_id AS STRING) || '"}],"total_results":1}'
+       WHEN doc_id % 5 = 0 THEN '{"answer":"' || lang || '","results":[{"title":" ","chunk_text":"x"}],"total_results":1}'
+       WHEN doc_id % 3 = 0 THEN '{"answer":"' || lang || '","results":[{"content_id":' || CAST(doc_id AS STRING) || '}],"total_results":1}'
+       ELSE '{"answer":"' || source || ' says","results":[{"title":" ' || source || '","content_id":"c' || CAST(doc_id AS STRING) || '"}],"total_results":3}'
+  END AS body
+FROM @documents@
+"""
+# Orders as tickets: open ones lack a resolution.
+TICKETS = """
+SELECT o_orderkey AS external_id, CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderpriority AS service, 'eng-' || CAST(o_custkey % 7 AS STRING) AS author,
+  'P' || CAST(o_custkey % 4 AS STRING) || ' ' || o_orderpriority || ' case ' || CAST(o_custkey AS STRING) AS summary,
+  'Severity: P' || CAST(o_custkey % 4 AS STRING) || '. Date: ' || CAST(CAST(o_orderdate AS DATE) AS STRING) || '. Services: ' || o_orderpriority
+    || CASE WHEN o_custkey % 3 = 0 THEN ', db-primary' ELSE '' END || '.' || chr(10) || chr(10) || 'Symptom: x.'
+    || CASE WHEN o_orderstatus = 'O' THEN '' ELSE chr(10) || chr(10) || 'Resolved by: eng-' || CAST(o_custkey % 7 AS STRING)
+       || ' (platform). Duration: ' || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING) || ' minutes.' END AS description,
+  CASE WHEN o_custkey % 10 = 0 THEN 'follow-up,' ELSE 'incident,' END || o_orderpriority AS label_text,
+  CASE WHEN o_orderstatus = 'O' THEN 'To Do' ELSE 'Done' END AS status
+FROM @orders@
+"""
+MESSAGES = """
+SELECT conv_id, turn, 'c' || CAST(conv_id % 5 AS STRING) AS channel, text, CASE WHEN turn % 4 = 0 THEN 'channel_join' END AS subtype, role FROM @conversations@
+"""
+
 VIEWS: dict[str, str] = {
+    "v_docs": DOCS,
+    "v_runbooks": RUNBOOKS,
+    "v_responses": RESPONSES,
+    "v_tickets": TICKETS,
+    "v_messages": MESSAGES,
     "v_metrics": METRICS,
     "v_log": LOG,
     "v_log_base": LOG_BASE,
@@ -164,7 +214,7 @@ VIEWS: dict[str, str] = {
     "v_drafts": DRAFTS,
 }
 
-STORED = {"v_log_base", "v_alert_base", "v_extractions", "v_screens"}
+STORED = {"v_log_base", "v_alert_base", "v_extractions", "v_screens", "v_runbooks", "v_responses", "v_tickets"}
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
