@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("timeseries", "eventlog", "alerts", "verdicts", "retrieval", "history")
+FAMILIES = ("timeseries", "eventlog", "alerts", "verdicts", "retrieval", "history", "report")
 
 
 def load():

@@ -195,7 +195,34 @@ MESSAGES = """
 SELECT conv_id, turn, 'c' || CAST(conv_id % 5 AS STRING) AS channel, text, CASE WHEN turn % 4 = 0 THEN 'channel_join' END AS subtype, role FROM @conversations@
 """
 
+# Report tokens with their arrival delay, and a screening verdict for most incidents.
+CHUNKS = """
+SELECT 'inc-' || nt AS incident_id, 13 - s AS idx, 'w' || kt || ' ' AS token, (k - 100) / 5000.0E0 AS delay
+FROM @v_log_base@ WHERE event_type = 'postmortem_token'
+"""
+REPORT_VERDICTS = """
+SELECT 'inc-' || nt AS incident_id, u % 5 <> 0 AS available, CASE WHEN u % 7 = 0 THEN NULL ELSE u % 3 <> 0 END AS allowed,
+       CAST(k AS DOUBLE) AS latency_ms
+FROM @v_log_base@ WHERE event_type = 'alert.received' AND svc <> 'signup'
+"""
+SPANS = """
+SELECT event_type AS name, CASE WHEN value >= 100 THEN 'ERROR' ELSE 'DEFAULT' END AS level, value AS duration_ms FROM @events@
+"""
+CALLS = "SELECT event_type AS service, event_id AS call_id, CAST(ts AS TIMESTAMP) AS ts, value < 50 AS ok FROM @events@"
+ATTEMPTS = """
+SELECT CAST(floor(event_id / 3) AS BIGINT) AS call_id, event_id % 3 + 1 AS attempt,
+  CASE WHEN value < 30 THEN 'ok' WHEN value >= 200 THEN 'not_configured' ELSE 'error' END AS outcome,
+  CASE WHEN value < 30 OR value >= 200 THEN NULL WHEN event_type = 'click' THEN 503 WHEN event_type = 'view' THEN 404
+       WHEN event_type = 'error' THEN 429 WHEN event_type = 'signup' THEN NULL ELSE 500 END AS status
+FROM @events@
+"""
+
 VIEWS: dict[str, str] = {
+    "v_chunks": CHUNKS,
+    "v_report_verdicts": REPORT_VERDICTS,
+    "v_spans": SPANS,
+    "v_calls": CALLS,
+    "v_attempts": ATTEMPTS,
     "v_docs": DOCS,
     "v_runbooks": RUNBOOKS,
     "v_responses": RESPONSES,
