@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("timeseries", "eventlog", "alerts", "verdicts", "retrieval", "history", "report")
+FAMILIES = ("timeseries", "eventlog", "alerts", "verdicts", "retrieval", "history", "report", "streams", "tables")
 
 
 def load():

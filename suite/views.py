@@ -244,15 +244,14 @@ VIEWS: dict[str, str] = {
 STORED = {"v_log_base", "v_alert_base", "v_extractions", "v_screens", "v_runbooks", "v_responses", "v_tickets"}
 
 
-def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view as a DataFrame."""
+def derive(spark: SparkSession, sf_dir: str, name: str, source=None) -> DataFrame:
+    """The view as a DataFrame; `source` reads a supplied table (a stream of it, say)."""
     prepare(spark)
+    source = source or read
     text = VIEWS[name]
     for table in set(_TABLE.findall(text)):
-        if table in VIEWS:
-            derive(spark, sf_dir, table).createOrReplaceTempView(f"suite_{table}")
-        else:
-            read(spark, sf_dir, table).createOrReplaceTempView(f"suite_{table}")
+        inner = derive(spark, sf_dir, table, source) if table in VIEWS else source(spark, sf_dir, table)
+        inner.createOrReplaceTempView(f"suite_{table}")
     view = spark.sql(_TABLE.sub(lambda match: f"suite_{match.group(1)}", text))
     # long generated texts stand for stored columns: keep them out of the operators' expressions
     return settled(view) if name in STORED else view
@@ -264,6 +263,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table as a stream of its files."""
+    prepare(spark)
+    reader = spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
+    return reader.parquet(sf_dir)
+
+
 def with_views(sql: str, *names: str) -> str:
     """A DuckDB statement with the named views, and those they use, in front of it."""
     parts: list[str] = []
