@@ -29,11 +29,11 @@ def number(value: Column, path: str) -> Column:
 
 
 def is_object(value: Column, path: str = "$") -> Column:
-    return F.coalesce(kind_at(value, path).startswith("OBJECT<"), F.lit(False))
+    return F.try_variant_get(value, path, "map<string,variant>").isNotNull()
 
 
 def is_array(value: Column, path: str = "$") -> Column:
-    return F.coalesce(kind_at(value, path).startswith("ARRAY<"), F.lit(False))
+    return F.try_variant_get(value, path, "array<variant>").isNotNull()
 
 
 def open_payload(payload: Column) -> Column:

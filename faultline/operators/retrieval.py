@@ -91,8 +91,11 @@ def search_topk(
     wanted = asked.join(spread.withColumn("idf", weight), "term").select("query_id", "term", "idf")
     norm = k1 * (1 - b + b * F.col("size") / mean)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+    # by document, which is one input row, so that the sums per query below need no shuffle of
+    # the far more numerous candidate pairs
     scored = (
-        hits.join(wanted, "term")
+        hits.repartition("content_id")
+        .join(wanted, "term")
         .groupBy("query_id", *CHUNK)
         .agg(F.round(F.sum(part), 6).alias("score"))
     )

@@ -21,7 +21,9 @@ def kb_manifest(documents: DataFrame) -> DataFrame:
 
 
 def write_report_pages(pages: DataFrame, path: str) -> None:
-    """Pages (incident_id, html) as text, one folder per incident; refused ones are left out."""
-    pages.where(F.col("html").isNotNull()).select("incident_id", "html").write.mode("append").partitionBy(
-        "incident_id"
-    ).option("lineSep", "\x00").text(path)
+    """Pages (incident_id, html) as a table in incident order; refused ones are left out.
+
+    One file per page would not scale; a reader filters on the incident and takes the text.
+    """
+    kept = pages.where(F.col("html").isNotNull()).select("incident_id", "html")
+    kept.repartitionByRange("incident_id").sortWithinPartitions("incident_id").write.mode("append").parquet(path)

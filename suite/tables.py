@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.functions.text import iso_stamp
+from faultline.operators import report
 from faultline.session import scratch_path
-from faultline.sources import events, knowledge, logs, metrics
+from faultline.sources import events, knowledge, logs, metrics, tables
 from faultline.streaming import live
 from suite.registry import query, stamp
+from suite.report import ESCAPED
 from suite.streams import settle_stream
-from suite.views import derive
+from suite.views import derive, read
 
 METRIC_ROWS = f"SELECT {stamp('ts')} AS ts, service, metric, value FROM v_metrics"
 
@@ -101,6 +103,36 @@ def scan_json_logs(spark, sf_dir):
     )
 
 
+@query("create_tables", METRIC_ROWS, ("v_metrics",))
+def create_tables(spark, sf_dir):
+    """The tables are made twice, filled, and dropped from the catalog; their files stay."""
+    place = scratch_path(spark, "tables")
+    prefix = "faultline_" + place[-8:] + "_"
+    names = tables.create_tables(spark, prefix, place)
+    tables.create_tables(spark, prefix, place)
+    derive(spark, sf_dir, "v_metrics").select("ts", "service", "metric", "value").write.insertInto(f"{prefix}metrics")
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+    return spark.read.parquet(f"{place}/metrics")
+
+
+@query(
+    "write_report_html",
+    f"""SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS incident_id, length(text) AS n_chars, {ESCAPED} AS page
+    FROM documents WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> ''""",
+)
+def write_report_html(spark, sf_dir):
+    path = scratch_path(spark, "pages")
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("incident_id"), "text")
+    knowledge.write_report_pages(report.report_html(rows), path)
+    back = spark.read.parquet(path).withColumn(
+        "page", F.regexp_extract("html", r"(?s)<pre>(.*)</pre></body></html>\n$", 1)
+    )
+    sizes = rows.select("incident_id", F.char_length("text").cast("bigint").alias("n_chars"))
+    return back.join(sizes, "incident_id").select("incident_id", "n_chars", "page")
+
+
 @query(
     "kb_manifest",
     r"""WITH b AS (SELECT content_id, title, '# ' || title || chr(10) || chr(10) || '> ' || CAST(length(text) AS VARCHAR) || ' characters' || chr(10) || chr(10) || text AS body FROM v_docs)

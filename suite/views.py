@@ -243,14 +243,32 @@ VIEWS: dict[str, str] = {
 
 STORED = {"v_log_base", "v_alert_base", "v_extractions", "v_screens", "v_runbooks", "v_responses", "v_tickets"}
 
+# Views whose rows cost much CPU to make or to read.
+HEAVY = STORED | {"v_docs", "v_drafts"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows handed round to all cores where a table comes in fewer splits than there are cores.
+
+    The supplied tables are single files with one row group. A table of many splits is left as
+    it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) == 1 and df.rdd.getNumPartitions() < cores else df
+
 
 def derive(spark: SparkSession, sf_dir: str, name: str, source=None) -> DataFrame:
     """The view as a DataFrame; `source` reads a supplied table (a stream of it, say)."""
     prepare(spark)
-    source = source or read
     text = VIEWS[name]
     for table in set(_TABLE.findall(text)):
-        inner = derive(spark, sf_dir, table, source) if table in VIEWS else source(spark, sf_dir, table)
+        if table in VIEWS:
+            inner = derive(spark, sf_dir, table, source)
+        elif source is not None:
+            inner = source(spark, sf_dir, table)
+        else:
+            inner = read(spark, sf_dir, table)
+            inner = spread(inner) if name in HEAVY else inner
         inner.createOrReplaceTempView(f"suite_{table}")
     view = spark.sql(_TABLE.sub(lambda match: f"suite_{match.group(1)}", text))
     # long generated texts stand for stored columns: keep them out of the operators' expressions
