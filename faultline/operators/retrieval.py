@@ -53,7 +53,7 @@ def precedent_query(log: DataFrame) -> DataFrame:
 
 def kb_chunks(documents: DataFrame, max_chars: int = 1_000) -> DataFrame:
     """Documents (content_id, title, text) as chunks: blank-line paragraphs, cut at `max_chars`."""
-    paragraphs = F.filter(F.split("text", r"\n[ \t]*\n"), lambda part: strip(part) != "")
+    paragraphs = F.filter(F.split("text", r"\n(?:[ \t]*\n)+"), lambda part: strip(part) != "")
     cut = F.flatten(
         F.transform(
             paragraphs,

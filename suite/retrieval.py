@@ -66,8 +66,8 @@ def precedent_query(spark, sf_dir):
 
 @query(
     "kb_chunks",
-    r"""WITH p AS (SELECT content_id, title, unnest(string_split_regex(text, '\n[ \t]*\n')) AS part,
-         unnest(range(len(string_split_regex(text, '\n[ \t]*\n')))) AS pi FROM v_docs),
+    r"""WITH p AS (SELECT content_id, title, unnest(string_split_regex(text, '\n(?:[ \t]*\n)+')) AS part,
+         unnest(range(len(string_split_regex(text, '\n(?:[ \t]*\n)+')))) AS pi FROM v_docs),
     c AS (SELECT content_id, title, pi, ci, substring(part, ci * 1000 + 1, 1000) AS chunk_text
           FROM (SELECT *, unnest(range((length(part) - 1) // 1000 + 1)) AS ci FROM p WHERE trim(part) <> ''))
     SELECT content_id, title, row_number() OVER (PARTITION BY content_id ORDER BY pi, ci) - 1 AS chunk_index, chunk_text FROM c""",
