@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonval, vocab
-from faultline.operators.eventlog import INCIDENT, ORDER, at, of_type, opened
-from faultline.plans.slices import SLICE_ROWS, numbered, previous
+from faultline.operators.eventlog import INCIDENT, at, of_type, opened
+from faultline.plans.slices import SLICE_ROWS, numbered, previous, settled
 
 
 def legal_move(source: Column, target: Column) -> Column:
@@ -18,30 +18,32 @@ def legal_move(source: Column, target: Column) -> Column:
 
 
 def incident_state(log: DataFrame) -> DataFrame:
-    """Last valid target state; INVESTIGATING once opened or alerted; else null."""
-    target = F.when(
-        of_type(vocab.STATE_TRANSITION), jsonval.text(jsonval.open_payload(F.col("payload")), "$.to")
+    """Last valid target state; INVESTIGATING once opened or alerted; else null.
+
+    Only transitions are parsed and ordered. The rest of the log is hash-aggregated from two
+    columns, and both sides end up partitioned by incident, which the join then shares.
+    """
+    every = log.groupBy("incident_id").agg(
+        F.bool_or(of_type(vocab.INCIDENT_OPENED, vocab.ALERT_RECEIVED)).alias("begun")
     )
-    begun = of_type(vocab.INCIDENT_OPENED, vocab.ALERT_RECEIVED)
-    moved = log.select("incident_id", *ORDER, target.alias("to"), begun.alias("begun"))
-    valid = F.col("to").isin(*vocab.STATES)
-    return moved.groupBy("incident_id").agg(
-        F.coalesce(
-            F.max_by("to", F.when(valid, at())),
-            F.when(F.bool_or("begun"), F.lit(vocab.INVESTIGATING)),
-        ).alias("state")
+    moves = transitions(log).where(F.col("to_state").isin(*vocab.STATES))
+    last = moves.groupBy("incident_id").agg(F.max_by("to_state", at()).alias("to_state"))
+    return every.join(last, "incident_id", "left").select(
+        "incident_id",
+        F.coalesce("to_state", F.when(F.col("begun"), F.lit(vocab.INVESTIGATING))).alias("state"),
     )
 
 
 def transitions(log: DataFrame) -> DataFrame:
     rows = opened(log, vocab.STATE_TRANSITION)
-    return rows.select(
+    moves = rows.select(
         "incident_id",
         "ts",
         "seq",
         jsonval.text(F.col("p"), "$.from").alias("from_state"),
         jsonval.text(F.col("p"), "$.to").alias("to_state"),
     )
+    return settled(moves)
 
 
 def illegal_transitions(log: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -105,8 +107,8 @@ def report_outcome(log: DataFrame) -> DataFrame:
     A refusal outranks a skip, a skip a failure, a failure a completion. An incident that is
     resolved, with neither text nor a refusal, skip or failure, is `waiting`.
     """
-    p = jsonval.open_payload(F.col("payload"))
-    relevant = (
+    rows = opened(
+        log,
         vocab.REPORT_TOKEN,
         vocab.REPORT_COMPLETE,
         vocab.BLOCKED,
@@ -114,7 +116,6 @@ def report_outcome(log: DataFrame) -> DataFrame:
         vocab.REPORT_ERROR,
         vocab.STATE_TRANSITION,
     )
-    rows = log.withColumn("p", F.when(of_type(*relevant), p))
     step = jsonval.text(F.col("p"), "$.step")
     error = jsonval.text(F.col("p"), "$.error")
     target = jsonval.text(F.col("p"), "$.to")
@@ -135,7 +136,8 @@ def report_outcome(log: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(token), F.lit(False)).alias("has_text"),
         F.max_by(target, F.when(of_type(vocab.STATE_TRANSITION) & target.isin(*vocab.STATES), at())).alias("state"),
     )
-    return last.select(
+    every = log.select("incident_id").distinct()
+    return every.join(last, "incident_id", "left").select(
         "incident_id",
         F.when(F.col("blocked"), "blocked")
         .when(F.col("skip.e").isNotNull(), "skipped")

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from faultline.functions import jsonval, vocab
 from faultline.functions.text import strip, words
+from faultline.plans.slices import planned_bytes
 
 CHUNK = ("content_id", "chunk_index")
+SMALL_QUERIES = 16 << 20
 
 
 def intent_queries(symptoms: DataFrame) -> DataFrame:
@@ -101,6 +103,9 @@ def search_topk(
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), *CHUNK)
     top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # k short rows per query: as small as the queries themselves
+    if planned_bytes(queries) < SMALL_QUERIES:
+        top = F.broadcast(top)
     shown = chunks.select(*CHUNK, "chunk_text", "title")
     return shown.join(top, list(CHUNK)).select(
         "query_id", "rank", "score", "content_id", "chunk_index", "title", "chunk_text"
@@ -148,11 +153,13 @@ def vector_topk(
     Queries are taken in blocks of about `block`; each block is one pass of matrix products over
     the vectors, of which every partition hands on its own best `k` only.
     """
-    passes = max(1, -(-queries.count() // block))
+    head = queries.limit(block + 1).collect()
+    passes = 1 if len(head) <= block else -(-queries.count() // block)
     schema = "query_id bigint, vec_id bigint, score double"
     found = None
     for number in range(passes):
-        share = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number).collect()
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number
+        share = head if passes == 1 else queries.where(mine).collect()
         if not share:
             continue
         ids = [row["query_id"] for row in share]

@@ -23,6 +23,8 @@ def build_session(app: str = "faultline", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split a hot join key even where the aggregate above must then shuffle again
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": MIN_PARTITION,
         "spark.python.unix.domain.socket.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -37,6 +39,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options a caller-made session may lack."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", MIN_PARTITION)
     return spark
 

@@ -105,10 +105,10 @@ def alert_sentence(spark, sf_dir):
       FROM fold f JOIN r ON r.client = f.client AND r.rn = f.rn + 1)
     SELECT client, request_id, had >= 1.0 AS allowed,
       round(CASE WHEN had < 1.0 THEN (1.0 - had) / ({LIMIT} / {WINDOW}::DOUBLE) END, 6) AS retry_after,
-      CAST(CASE WHEN had < 1.0 THEN greatest(1, ceil((1.0 - had) / ({LIMIT} / {WINDOW}::DOUBLE))) END AS BIGINT) AS retry_after_seconds
+      CAST(CASE WHEN had < 1.0 THEN greatest(1, ceil((1.0 - had) / ({LIMIT} / {WINDOW}::DOUBLE))) ELSE 0 END AS BIGINT) AS retry_after_seconds
     FROM fold""",
     ("v_requests",),
 )
 def token_bucket(spark, sf_dir):
     decided = alerts.token_bucket(derive(spark, sf_dir, "v_requests"), LIMIT, WINDOW)
-    return decided.withColumn("retry_after", F.round("retry_after", 6))
+    return decided.withColumn("retry_after", F.round("retry_after", 6)).fillna({"retry_after_seconds": 0})

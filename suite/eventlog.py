@@ -44,7 +44,7 @@ def log_lines(spark, sf_dir):
 
 @query(
     "log_block",
-    f"""WITH {OPEN_LOG}, {LINES} SELECT incident_id, 0 AS part, count(*) AS n_rows,
+    f"""WITH {OPEN_LOG}, {LINES} SELECT incident_id, CAST(0 AS BIGINT) AS part, count(*) AS n_rows,
     '{vocab.LOG_BEGIN}' || chr(10) || string_agg(line, chr(10) ORDER BY ts, seq) || chr(10) || '{vocab.LOG_END}' AS text
     FROM lines GROUP BY incident_id""",
     V,
@@ -85,12 +85,14 @@ def event_sequence(spark, sf_dir):
                  min(pos) FILTER (WHERE event_type = 'extraction.completed') AS extraction_at,
                  min(pos) FILTER (WHERE event_type LIKE 'llm.%' OR event_type LIKE 'postmortem%') AS report_at,
                  count(*) AS n_events FROM o GROUP BY incident_id)
-    SELECT *, coalesce(first_type = 'incident.opened' AND second_type = 'extraction.completed'
+    SELECT * REPLACE (CAST(extraction_at AS DOUBLE) AS extraction_at, CAST(report_at AS DOUBLE) AS report_at), coalesce(first_type = 'incident.opened' AND second_type = 'extraction.completed'
                        AND (report_at IS NULL OR report_at > extraction_at), false) AS ok FROM a""",
     V,
 )
 def sequence_contract(spark, sf_dir):
-    return eventlog.sequence_contract(_log(spark, sf_dir))
+    found = eventlog.sequence_contract(_log(spark, sf_dir))
+    places = ("extraction_at", "report_at")
+    return found.withColumns({name: F.col(name).cast("double") for name in places})
 
 
 @query(
@@ -164,7 +166,7 @@ tk AS (SELECT incident_id, row_number() OVER (PARTITION BY incident_id ORDER BY
 
 @query(
     "report_text",
-    f"""WITH {OPEN_LOG}, {TOKENS} SELECT incident_id, 0 AS part, count(*) AS n_tokens,
+    f"""WITH {OPEN_LOG}, {TOKENS} SELECT incident_id, CAST(0 AS BIGINT) AS part, count(*) AS n_tokens,
     string_agg(token, '' ORDER BY coalesce(given, arrival - 1), arrival) AS text FROM tk GROUP BY incident_id""",
     V,
 )

@@ -24,10 +24,16 @@ def tickets(spark, sf_dir):
     return derive(spark, sf_dir, "v_tickets").withColumn("labels", F.split("label_text", ","))
 
 
-@query("ticket_fields", f"WITH {FIELDS} SELECT external_id, severity, date, services, resolver, minutes FROM tf", V)
+@query("ticket_fields", f"WITH {FIELDS} SELECT external_id, severity, date, services, resolver, CAST(minutes AS DOUBLE) AS minutes FROM tf", V)
 def ticket_fields(spark, sf_dir):
     found = history.ticket_fields(tickets(spark, sf_dir))
-    return found.withColumns({"services": F.array_join("services", "|"), "date": F.col("date").cast("string")})
+    return found.withColumns(
+        {
+            "services": F.array_join("services", "|"),
+            "date": F.col("date").cast("string"),
+            "minutes": F.col("minutes").cast("double"),
+        }
+    )
 
 
 @query(
@@ -71,14 +77,15 @@ def history_window(spark, sf_dir):
 @query(
     "new_tickets",
     """WITH e AS (SELECT summary, min(external_id) AS existing_key FROM v_tickets WHERE status = 'Done' GROUP BY summary)
-    SELECT t.external_id, t.summary, existing_key, CASE WHEN existing_key IS NULL THEN 'new' ELSE 'exists' END AS action
+    SELECT t.external_id, t.summary, CAST(existing_key AS VARCHAR) AS existing_key, CASE WHEN existing_key IS NULL THEN 'new' ELSE 'exists' END AS action
     FROM v_tickets t LEFT JOIN e USING (summary) WHERE t.status = 'To Do'""",
     V,
 )
 def new_tickets(spark, sf_dir):
     rows = tickets(spark, sf_dir)
     specs = rows.where(F.col("status") == history.OPEN).select("external_id", "summary")
-    return history.new_tickets(specs, history.done_targets(rows))
+    found = history.new_tickets(specs, history.done_targets(rows))
+    return found.withColumn("existing_key", F.col("existing_key").cast("string"))
 
 
 @query(

@@ -35,7 +35,7 @@ def precedents(log):
     f"""WITH {OPEN_LOG}, {LINES}, {ALL_EDGES}, {EDGE_TEXT}, {CITED},
     e AS (SELECT incident_id, string_agg(line, chr(10) ORDER BY ord) AS text FROM et GROUP BY incident_id),
     c AS (SELECT incident_id, '[citation: ' || citation || ']' || chr(10) || content AS text FROM pr WHERE citation IS NOT NULL)
-    SELECT incident_id, 0 AS ord, 0 AS part, 'Incident ' || incident_id || chr(10) || '{report.RULES}' || chr(10)
+    SELECT incident_id, CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS part, 'Incident ' || incident_id || chr(10) || '{report.RULES}' || chr(10)
       || '## Timeline' || chr(10) || '## Root Cause' || chr(10) || '## Impact' || chr(10) || '## Action Items' AS text FROM ids
     UNION ALL SELECT ids.incident_id, 1, 0, coalesce(e.text, '- no causal edge detected') FROM ids LEFT JOIN e USING (incident_id)
     UNION ALL SELECT ids.incident_id, 2, 0, coalesce(c.text, '{report.NO_PRECEDENT}') FROM ids LEFT JOIN c USING (incident_id)
@@ -172,9 +172,9 @@ def breaker_states(spark, sf_dir):
     """WITH a AS (SELECT *, outcome = 'error' AND (status IS NULL OR status IN (408, 425, 429, 500, 502, 503, 504)) AND attempt < 3 AS again FROM v_attempts),
     e AS (SELECT call_id, min(attempt) FILTER (WHERE NOT again) AS stop, max(attempt) AS seen FROM a GROUP BY call_id)
     SELECT e.call_id, CASE WHEN stop IS NULL THEN 'pending' WHEN a.outcome = 'error' THEN 'degraded' ELSE a.outcome END AS result,
-      coalesce(stop, seen) AS attempts, CAST(a.status AS BIGINT) AS status, 0.5::DOUBLE * (pow(2, coalesce(stop, seen) - 1) - 1) AS wait_seconds
+      coalesce(stop, seen) AS attempts, coalesce(CAST(a.status AS BIGINT), 0) AS status, 0.5::DOUBLE * (pow(2, coalesce(stop, seen) - 1) - 1) AS wait_seconds
     FROM e LEFT JOIN a ON a.call_id = e.call_id AND a.attempt = stop""",
     ("v_attempts",),
 )
 def retry_outcomes(spark, sf_dir):
-    return telemetry.retry_outcomes(derive(spark, sf_dir, "v_attempts"))
+    return telemetry.retry_outcomes(derive(spark, sf_dir, "v_attempts")).fillna({"status": 0})

@@ -45,7 +45,7 @@ def symptom_query(spark, sf_dir):
 
 @query(
     "intent_queries",
-    f"""WITH {SYMPTOMS} SELECT query_id, 'runbook' AS intent, 'runbook: ' || symptom AS query, 3 AS max_results FROM sy
+    f"""WITH {SYMPTOMS} SELECT query_id, 'runbook' AS intent, 'runbook: ' || symptom AS query, CAST(3 AS BIGINT) AS max_results FROM sy
     UNION ALL SELECT query_id, 'ownership', 'service ownership map: ' || symptom, 3 FROM sy
     UNION ALL SELECT query_id, 'precedent', 'past incident postmortem: ' || symptom, 3 FROM sy""",
     ("v_log",),
@@ -113,7 +113,7 @@ def items(spark, sf_dir):
 
 @query(
     "search_topk",
-    f"""WITH {DOC_SEARCH} SELECT query_id, rank, score, content_id, 0 AS chunk_index, title, text AS chunk_text
+    f"""WITH {DOC_SEARCH} SELECT query_id, rank, score, content_id, CAST(0 AS BIGINT) AS chunk_index, title, text AS chunk_text
     FROM top JOIN v_docs USING (content_id)""",
     ("v_docs",),
 )

@@ -71,13 +71,14 @@ def onsets(spark, sf_dir):
     f"""WITH {HITS},
     placed AS (SELECT service, metric, ts, row_number() OVER (PARTITION BY service, metric ORDER BY ts, value) - 1 AS idx
                FROM v_metrics)
-    SELECT p.service, p.metric, min(CASE WHEN h.ts IS NOT NULL THEN p.idx END) AS onset_index
+    SELECT p.service, p.metric, coalesce(CAST(min(CASE WHEN h.ts IS NOT NULL THEN p.idx END) AS VARCHAR), 'none') AS onset_index
     FROM placed p LEFT JOIN hits h ON p.service = h.service AND p.metric = h.metric AND p.ts = h.ts
     GROUP BY p.service, p.metric""",
     V,
 )
 def onset_index(spark, sf_dir):
-    return timeseries.onset_index(_metrics(spark, sf_dir))
+    found = timeseries.onset_index(_metrics(spark, sf_dir))
+    return found.withColumn("onset_index", F.coalesce(F.col("onset_index").cast("string"), F.lit("none")))
 
 
 @query(

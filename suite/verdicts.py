@@ -58,14 +58,16 @@ def parse_extraction(spark, sf_dir):
 
 @query(
     "parse_screen",
-    f"""WITH {SC} SELECT response_id, CASE WHEN error IS NULL THEN lab = 'safe' END AS allowed,
+    f"""WITH {SC} SELECT response_id, CASE WHEN error IS NULL THEN CASE WHEN lab = 'safe' THEN 'true' ELSE 'false' END END AS allowed,
     CASE WHEN error IS NULL THEN CASE WHEN lab = 'safe' THEN '' ELSE 'prompt_safety' END END AS categories,
     CASE WHEN error IS NULL THEN conf END AS confidence, CASE WHEN error IS NULL THEN lat END AS latency_ms, error FROM z""",
     ("v_screens",),
 )
 def parse_screen(spark, sf_dir):
     parsed = verdicts.parse_screen(derive(spark, sf_dir, "v_screens"))
-    return parsed.withColumn("categories", F.array_join("categories", ","))
+    return parsed.withColumns(
+        {"categories": F.array_join("categories", ","), "allowed": F.col("allowed").cast("string")}
+    )
 
 
 @query(

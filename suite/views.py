@@ -282,10 +282,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table as a stream of its files."""
+    """A supplied table as a stream of its files, a bounded number per micro-batch."""
     prepare(spark)
     reader = spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(sf_dir)
+    return reader.option("maxFilesPerTrigger", 64).parquet(sf_dir)
 
 
 def with_views(sql: str, *names: str) -> str:
