@@ -40,6 +40,13 @@ TONE_LABELS = {
     "error": "ERROR",
 }
 
+# opening words of timeline summaries; readers of other logs may pass their own
+SUMMARY_WORDS = {
+    EXTRACTION_COMPLETED: "extraction — severity ",
+    CHAINS_DETECTED: "causal query complete",
+    RUNBOOK_RETRIEVED: "runbook (cited): ",
+}
+
 # onset detection defaults
 BASELINE_ROWS = 60
 MIN_BASELINE_ROWS = 12

@@ -25,15 +25,15 @@ def _service(p: Column) -> Column:
     return F.coalesce(jsonval.text(p, "$.service"), jsonval.text(p, "$.alert.service"))
 
 
-def _summary(p: Column) -> Column:
+def _summary(p: Column, words: dict[str, str]) -> Column:
     def field(name: str, default: str) -> Column:
         return F.coalesce(jsonval.text(p, f"$.{name}"), F.lit(default))
 
     error = jsonval.text(p, "$.error")
     return (
-        F.when(of_type(vocab.EXTRACTION_COMPLETED), F.concat(F.lit("extraction — severity "), field("severity", "?")))
-        .when(of_type(vocab.CHAINS_DETECTED), F.lit("causal query complete"))
-        .when(of_type(vocab.RUNBOOK_RETRIEVED), F.concat(F.lit("runbook (cited): "), field("citation", "")))
+        F.when(of_type(vocab.EXTRACTION_COMPLETED), F.concat(F.lit(words[vocab.EXTRACTION_COMPLETED]), field("severity", "?")))
+        .when(of_type(vocab.CHAINS_DETECTED), F.lit(words[vocab.CHAINS_DETECTED]))
+        .when(of_type(vocab.RUNBOOK_RETRIEVED), F.concat(F.lit(words[vocab.RUNBOOK_RETRIEVED]), field("citation", "")))
         .when(
             of_type(vocab.OWNERSHIP_SUGGESTED),
             F.concat(field("note", "Suggested owner"), F.lit(": "), field("suggested_owner", "(see cited doc)")),
@@ -48,8 +48,12 @@ def _summary(p: Column) -> Column:
     )
 
 
-def timeline(log: DataFrame) -> DataFrame:
-    """Display rows of the log: tone and its label, service, severity, summary. No tokens."""
+def timeline(log: DataFrame, words: dict[str, str] | None = None) -> DataFrame:
+    """Display rows of the log: tone and its label, service, severity, summary. No tokens.
+
+    `words` replaces the opening words of summaries by event type.
+    """
+    words = {**vocab.SUMMARY_WORDS, **(words or {})}
     p = F.col("p")
     tone = F.col("tone")
     labels = F.create_map(*[F.lit(text) for pair in vocab.TONE_LABELS.items() for text in pair])
@@ -62,7 +66,7 @@ def timeline(log: DataFrame) -> DataFrame:
         F.try_element_at(labels, tone).alias("tone_label"),
         _service(p).alias("service"),
         jsonval.text(p, "$.severity").alias("severity"),
-        _summary(p).alias("summary"),
+        _summary(p, words).alias("summary"),
     )
 
 

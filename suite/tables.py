@@ -63,35 +63,59 @@ def append_event(spark, sf_dir):
     return events.read_events(spark, path)
 
 
-@query(
-    "audit_sink",
-    """SELECT incident_id, seq, event_type FROM v_log WHERE incident_id = 'inc-3' ORDER BY ts, seq LIMIT 1000""",
-    ("v_log",),
-)
-def audit_sink(spark, sf_dir):
-    """The whole log goes to the audit sink; one incident is read back, as its reader does."""
+def audited(spark, sf_dir, limit):
     path = scratch_path(spark, "audit")
     events.append_audit(derive(spark, sf_dir, "v_log"), path)
-    read = events.read_audit(spark, path, "inc-3")
     kind = F.get_json_object("body", "$.content.event_type")
-    return read.select("incident_id", "seq", kind.alias("event_type"))
+    return events.read_audit(spark, path, limit=limit).select("incident_id", "seq", kind.alias("event_type"))
+
+
+@query("audit_sink", "SELECT incident_id, seq, event_type FROM v_log", ("v_log",))
+def audit_sink(spark, sf_dir):
+    return audited(spark, sf_dir, None)
 
 
 @query(
-    "scan_json_logs",
-    f"""SELECT {stamp('received_at')} AS timestamp, 'INFO' AS level, 'intake' AS logger, body AS msg, event_id, idempotency_key AS "key" FROM v_alert_base""",
-    ("v_alert_base",),
+    "read_audit",
+    """SELECT incident_id, seq, event_type FROM v_log
+    QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY ts, seq) <= 10""",
+    ("v_log",),
 )
-def scan_json_logs(spark, sf_dir):
-    path = scratch_path(spark, "logs")
-    rows = derive(spark, sf_dir, "v_alert_base").select(
+def read_audit(spark, sf_dir):
+    """The first ten documents of every incident."""
+    return audited(spark, sf_dir, 10)
+
+
+def log_records(spark, sf_dir):
+    return derive(spark, sf_dir, "v_alert_base").select(
         F.col("received_at").alias("timestamp"),
         F.lit("INFO").alias("level"),
         F.lit("intake").alias("logger"),
         F.col("body").alias("msg"),
         F.to_json(F.struct("event_id", F.col("idempotency_key").alias("key"))).alias("extra"),
     )
-    logs.write_json_logs(rows, path)
+
+
+@query(
+    "write_json_logs",
+    f"""SELECT '{{"timestamp":"' || {stamp('received_at')} || '+00:00","level":"INFO","logger":"intake","msg":' || CAST(to_json(body) AS VARCHAR)
+    || ',"event_id":' || CAST(event_id AS VARCHAR) || coalesce(',"key":"' || idempotency_key || '"', '') || '}}' AS value FROM v_alert_base""",
+    ("v_alert_base",),
+)
+def write_json_logs(spark, sf_dir):
+    path = scratch_path(spark, "logs")
+    logs.write_json_logs(log_records(spark, sf_dir), path)
+    return spark.read.text(path)
+
+
+@query(
+    "scan_json_logs",
+    f"""SELECT {stamp('received_at')} AS timestamp, 'INFO' AS level, 'intake' AS logger, body AS msg, event_id, idempotency_key AS "key" FROM v_alert_base""",
+    ("v_alert_base",),
+)
+def scan_json_logs(spark, sf_dir):
+    path = scratch_path(spark, "logs")
+    logs.write_json_logs(log_records(spark, sf_dir), path)
     back = logs.scan_json_logs(spark, path)
     return back.select(
         "timestamp",
