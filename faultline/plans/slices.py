@@ -26,6 +26,9 @@ SLICE_ROWS = 1_000_000
 # Only so many of the largest hot keys are cut; any other key holds less than 1/HOT_KEYS of all rows.
 HOT_KEYS = 5_000
 ROW_BYTES = 64
+# A slice with this many times the rows it should have is cut into up to INNER_SLICES again.
+CROWDED = 4
+INNER_SLICES = 1 << 20
 
 
 def order_number(df: DataFrame, order: str) -> Column:
@@ -61,8 +64,27 @@ def find_hot(
     return large.orderBy(F.desc("__n")).limit(HOT_KEYS).select(*keys, "__lo", "__hi", parts).collect()
 
 
-def with_slices(df: DataFrame, keys: Sequence[str], order: str, hot: list[Row]) -> DataFrame:
-    """Add `__slice` (0-based, rising with `order`) and `__hot` (the key was cut)."""
+def with_slices(
+    df: DataFrame, keys: Sequence[str], order: str, hot: list[Row], slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Add `__slice` (0-based, rising with `order`) and `__hot` (the key was cut).
+
+    Slices have equal ranges of the order column. Where a burst overfills one, it is cut once more.
+    """
+    cut = _cut(df, keys, order, hot)
+    inner = [*keys, SLICE]
+    crowded = find_hot(cut.where(HOT), inner, order, CROWDED * slice_rows)
+    if not crowded:
+        return cut
+    crowded = [Row(**{**row.asDict(), "__parts": row["__parts"] * CROWDED}) for row in crowded]
+    finer = _cut(cut.withColumnRenamed(HOT, "__cut"), inner, order, crowded, "__inner")
+    place = F.col(SLICE) * INNER_SLICES + F.least(F.col("__inner"), F.lit(INNER_SLICES - 1))
+    return finer.select(*df.columns, place.alias(SLICE), F.col("__cut").alias(HOT))
+
+
+def _cut(
+    df: DataFrame, keys: Sequence[str], order: str, hot: list[Row], name: str = SLICE
+) -> DataFrame:
     at = order_number(df, order)
     if keys:
         fields = [T.StructField(key, df.schema[key].dataType) for key in keys]
@@ -77,7 +99,7 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: str, hot: list[Row])
     cut = F.greatest(F.lit(0), F.least(place, parts.cast("bigint") - 1))
     return joined.select(
         *[F.col(name) for name in df.columns],
-        F.coalesce(F.when(parts.isNotNull(), cut), F.lit(0).cast("bigint")).alias(SLICE),
+        F.coalesce(F.when(parts.isNotNull(), cut), F.lit(0).cast("bigint")).alias(name),
         parts.isNotNull().alias(HOT),
     )
 
@@ -115,7 +137,7 @@ def bounded_frame(
     hot = find_hot(df, keys, order, slice_rows) if hot is None else hot
     if not hot:
         return df.withColumns(columns(across))
-    cut = with_slices(df, keys, order, hot)
+    cut = with_slices(df, keys, order, hot, slice_rows)
     inner = Window.partitionBy(*keys, SLICE).orderBy(*by)
     inside = (
         cut.withColumns({**columns(inner), POS: F.row_number().over(inner)})
@@ -164,7 +186,7 @@ def running(
 
     if not hot:
         return df.withColumns(upto(*keys))
-    cut = with_slices(df, keys, order, hot)
+    cut = with_slices(df, keys, order, hot, slice_rows)
     local = cut.withColumns(upto(*keys, SLICE))
 
     rank = F.struct(*[F.col(name) for name in (order, *tie)])

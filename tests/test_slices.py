@@ -70,10 +70,24 @@ def test_slices_bound_what_one_task_holds(spark):
     df = skewed(spark, 1, False)
     hot = slices.find_hot(df, ["k"], "t", 50)
     assert [row["k"] for row in hot] == ["hot"]
-    sizes = slices.with_slices(df, ["k"], "t", hot).groupBy("k", slices.SLICE).count()
+    sizes = slices.with_slices(df, ["k"], "t", hot, 50).groupBy("k", slices.SLICE).count()
     assert sizes.agg(F.max("count")).first()[0] < 120
 
 
+def test_a_burst_is_cut_again(spark):
+    rows = [("hot", 1_000_000 + i % 500 if i < 900 else i * 50_000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, t bigint, id bigint")
+    hot = slices.find_hot(df, ["k"], "t", 20)
+    once = slices._cut(df, ["k"], "t", hot).groupBy(slices.SLICE).count().agg(F.max("count")).first()[0]
+    cut = slices.with_slices(df, ["k"], "t", hot, 20)
+    twice = cut.groupBy(slices.SLICE).count().agg(F.max("count")).first()[0]
+    assert once >= 900 and twice <= 60
+    ordered = [(row["t"], row[slices.SLICE]) for row in cut.orderBy("t").collect()]
+    assert all(a[1] <= b[1] for a, b in zip(ordered, ordered[1:]))
+    numbers = slices.numbered(df, ["k"], "t", "n", ("id",), 20).orderBy("t", "id").collect()
+    assert [row["n"] for row in numbers] == list(range(1, 1001))
+
+
 def test_text_parts_join_to_the_whole_text(spark):
     df = skewed(spark, 2, False).withColumn("w", F.col("id").cast("string"))
     parts = slices.text_parts(df, ["k"], "t", "w", ",", ("id",), part_rows=30, slice_rows=40)
