@@ -12,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry
 from check import compare, duck
+from suite import load
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no supplied tables")
@@ -22,9 +23,9 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(load().QUERIES))
 def test_query(spark, con, name):
-    message = compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF_DIR)
+    message = compare(spark, con, load().QUERIES[name], load().CHECKS[name], SF_DIR)
     assert message is None or message.startswith("EMPTY"), message
 
 
@@ -33,4 +34,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_check():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(load().CHECKS) == set(load().QUERIES)
+    assert set(load().QUERIES) <= set(entry.queries())
