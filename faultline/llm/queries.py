@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import exact_dedup
+from faultline.llm import exact_dedup, pareto_mix
 from faultline.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -22,3 +22,38 @@ __all__ = ["CHECKS", "QUERIES"]
 )
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_pareto_mix",
+    r"""
+    WITH RECURSIVE
+    d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+            ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT AS drawn
+          FROM documents),
+    s AS (SELECT source, source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight
+          FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+    whole AS (SELECT sum(source_size)::BIGINT AS total, sum(weight)::BIGINT AS weights FROM s),
+    r AS (SELECT 0 AS step, 0::BIGINT AS capped, 0::BIGINT AS capped_weight
+          UNION ALL
+          SELECT step + 1, n.c, n.w FROM r, whole, LATERAL (
+            SELECT coalesce(sum(3 * source_size), 0)::BIGINT AS c, coalesce(sum(weight), 0)::BIGINT AS w FROM s
+            WHERE 3 * source_size * (weights - capped_weight) < weight * (total - capped)) n
+          WHERE n.c <> capped OR n.w <> capped_weight),
+    e AS (SELECT * FROM r ORDER BY step DESC LIMIT 1),
+    t AS (SELECT source, source_size, CASE WHEN 3 * source_size * (weights - capped_weight) < weight * (total - capped)
+            THEN (3 * source_size)::DOUBLE ELSE weight * (total - capped) / greatest(weights - capped_weight, 1)::DOUBLE END AS target
+          FROM s, whole, e),
+    p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t),
+    q AS (SELECT d.*, source_size, target, floor(ratio)::BIGINT AS whole_copies, ratio - floor(ratio) AS chance,
+            target - floor(ratio)::BIGINT * source_size AS need, (drawn + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+          FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+    k AS (SELECT *, CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rnk FROM q),
+    c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rnk, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM k)
+    SELECT doc_id, size, source_size, target,
+           (size * (whole_copies + CASE WHEN chance > 0 AND before + size / 2 <= need THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM c
+    """,
+)
+def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto_mix.mix(table(spark, sf_dir, "documents"))
