@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faultline.llm import exact_dedup, pareto_mix
+from faultline.llm import byte_bpe, exact_dedup, pareto_mix
 from faultline.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -57,3 +59,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(table(spark, sf_dir, "documents"))
+
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+@query("op9_byte_bpe")
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(VOCABULARY))
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, ranks, public_tokenizers.PATTERN).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("raw", 256).alias("decoded_sha256"),
+    )

@@ -23,4 +23,6 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # rows of text are long: small batches keep Python workers small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
