@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, exact_dedup, pareto_mix
+from faultline.llm import byte_bpe, exact_dedup, pareto_mix, toxicity
 from faultline.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -74,3 +74,20 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("raw", 256).alias("decoded_sha256"),
     )
+
+
+def training_rows(labels: DataFrame) -> DataFrame:
+    """Labelled rows that may be learned from; every fifth id by its checksum is held out."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, training_rows(table(spark, sf_dir, "labels")), "doc_id", "text", "toxic")
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
