@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.components import components
-from faultline.llm.tables import BLOCK_BITS, col, written
+from faultline.llm.tables import BLOCK_BITS, col, fresh, written
 from faultline.llm.wordhash import shingles
 
 WIDTH = 5
@@ -394,6 +394,21 @@ def linked(placed: DataFrame, most_runs: int, most_docs: int, rounds: int) -> Da
     return edges
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, of least id in their component; null ids come last.
+
+    A document is known by id and text, so equal ids do no harm; rows alike in both are one
+    document and stay or go together. Only the names of what goes are joined on.
+    """
+    (name,) = fresh(docs, "document_name")
+    place = F.coalesce(col(id_col).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)"), F.lit("9" * 20).cast("decimal(20,0)"))
+    text = F.coalesce(col(text_col), F.lit(""))
+    named = docs.withColumn(name, F.concat(F.lpad(place.cast("string"), 20, "0"), F.lit("-"), F.hex(F.xxhash64(text))))
+    found = join(named.select(col(name).alias("doc_id"), col(text_col).alias("text")))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    return named.join(gone, name, "left_anti").select(docs.columns)
+
+
 def join(
     docs: DataFrame,
     id_col: str = "doc_id",

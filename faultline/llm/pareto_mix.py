@@ -95,9 +95,9 @@ def _beside(df: DataFrame, per_source: DataFrame, source: str) -> DataFrame:
 
 
 def _rank(drawn: Column, chance: Column) -> Column:
-    """Pareto rank: random odds over inclusion odds."""
+    """Pareto rank: random odds over inclusion odds; null where nothing is left to chance."""
     u = (drawn + F.lit(0.5)) / F.lit(float(1 << DRAW_BITS))
-    return (u / (F.lit(1.0) - u)) / (chance / (F.lit(1.0) - chance))
+    return (u / (F.lit(1.0) - u)) / F.when(chance > 0, chance / (F.lit(1.0) - chance))
 
 
 def _cell(rank: Column) -> tuple[Column, Column]:
