@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, exact_dedup, jaccard_join, pareto_mix, toxicity
+from faultline.llm import byte_bpe, exact_dedup, jaccard_join, license_join, pareto_mix, toxicity
 from faultline.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -96,3 +96,48 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_jaccard_join")
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    low = f"translate(coalesce(text, ''), '{license_join.UPPER}', '{license_join.LOWER}')"
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in license_join.PHRASES.items())
+    templates = ", ".join(f"('{label}', '{text}')" for label, text in license_join.TEMPLATES.items())
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, {low} AS low FROM documents),
+    w AS (SELECT row_no, doc_id, low, regexp_extract_all(low, '{word}') AS words FROM d),
+    p(phrase, label) AS (VALUES {phrases}),
+    s AS (SELECT row_no, label, unnest(list_filter(range(len(words) - n + 1), lambda i: array_to_string(words[i + 1:i + n], ' ') = phrase)) AS spot
+          FROM w, (SELECT *, len(string_split(phrase, ' ')) AS n FROM p) WHERE len(words) >= n AND contains(low, 'license')),
+    b AS (SELECT row_no, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list_distinct(list(label)) AS base FROM s GROUP BY row_no),
+    t(label, text) AS (VALUES {templates}),
+    x AS (SELECT label, list_distinct(string_split(text, ' ')) AS tokens FROM t),
+    l AS (SELECT row_no, list_distinct(regexp_extract_all(line, '{word}')) AS tokens
+          FROM (SELECT row_no, unnest(string_split(low, chr(10))) AS line FROM d)),
+    m AS (SELECT row_no, list_distinct(list(label)) AS labels, max(n / len(tokens)) AS score
+          FROM (SELECT row_no, label, x.tokens, len(list_intersect(l.tokens, x.tokens)) AS n FROM l, x)
+          WHERE n >= ceil(len(tokens) * 4 / 5.0) GROUP BY row_no)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+           array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+           array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(labels, [])))), ',') AS labels,
+           coalesce(CASE WHEN n_base > 0 THEN 1.0::DOUBLE END, score, 0.0)::DOUBLE AS score
+    FROM w LEFT JOIN b USING (row_no) LEFT JOIN m USING (row_no)
+    """
+
+
+@query("op5_license_join", _license_sql())
+def op5_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_join.scan(table(spark, sf_dir, "documents"))
+    matched = F.coalesce("matched.label", F.expr("cast(array() as array<string>)"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join(F.sort_array("base"), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union("base", matched)), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0)
+        .otherwise(F.coalesce(F.array_max("matched.contained"), F.lit(0.0)))
+        .alias("score"),
+    )
