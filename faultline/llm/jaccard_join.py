@@ -47,8 +47,9 @@ PIVOTS = 8
 NEAR = 0.6
 LEAF = 192  # documents whose intersections are counted at once
 ISLAND_RUNS = 2_000_000  # an island of more runs or documents is cut before it is joined
-ISLAND_DOCS = 4_096
+ISLAND_DOCS = 1_024
 ROUNDS = 3
+MOST_VISITS = 3  # times the documents that cells of a useful cut hold, visitors included
 FILTER_BITS = 1 << 28
 
 
@@ -149,7 +150,7 @@ def join_sets(sets: list[np.ndarray], rows: np.ndarray, forest: Forest) -> None:
         chosen = rows[np.linspace(0, len(rows) - 1, PIVOTS).astype(int)]
         parts = cells(distances([sets[r] for r in rows], [sets[r] for r in chosen]))
         parts = [np.concatenate(part) for part in parts if len(part[0])]
-        if max(map(len, parts)) <= 0.8 * len(rows) and sum(map(len, parts)) <= 3 * len(rows):
+        if max(map(len, parts)) <= 0.8 * len(rows) and sum(map(len, parts)) <= MOST_VISITS * len(rows):
             for part in parts:
                 join_sets(sets, rows[np.sort(part)], forest)
             return
@@ -380,8 +381,11 @@ def linked(placed: DataFrame, most_runs: int, most_docs: int, rounds: int) -> Da
         large = sized.where("blocks > 1")
         if large.isEmpty():
             return edges
-        if turn < rounds:
-            placed = written(_cut(large), "jaccard-cells")
+        if turn == rounds:
+            break
+        placed = written(_cut(large), "jaccard-cells")
+        if placed.count() > MOST_VISITS * large.count():
+            break  # all pivots are about as near: cells would hold whole regions again
     # cutting did not help: all pairs of bounded blocks
     block = F.pmod(F.xxhash64("k"), F.col("blocks"))
     pairs = large.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

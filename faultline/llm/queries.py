@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, exact_dedup, jaccard_join, license_join, pareto_mix, toxicity
+from faultline.llm import byte_bpe, disclosure, exact_dedup, jaccard_join, license_join, pareto_mix, toxicity
 from faultline.llm.registry import CHECKS, QUERIES, query, table
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -141,3 +141,20 @@ def op5_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.coalesce(F.array_max("matched.contained"), F.lit(0.0)))
         .alias("score"),
     )
+
+
+@query("op3_disclosure")
+def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.spans(table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(kind) for kind in disclosure.KINDS])
+
+    def text(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"]))
+        return F.array_join(parts, ",")
+
+    counts = [
+        F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("bigint").alias(f"n_{kind}")
+        for n, kind in enumerate(disclosure.KINDS[:4])
+    ]
+    every = F.sort_array(F.concat("base", "more"))
+    return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(every).alias("spans"))
