@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, disclosure, exact_dedup, jaccard_join, license_join, pareto_mix, toxicity
+from faultline.llm import byte_bpe, disclosure, exact_dedup, jaccard_join, license_join, merkle, pareto_mix, toxicity
 from faultline.llm.registry import CHECKS, QUERIES, query, table
+from faultline.llm.tables import written
 
 __all__ = ["CHECKS", "QUERIES"]
 
@@ -158,3 +159,48 @@ def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     every = F.sort_array(F.concat("base", "more"))
     return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(every).alias("spans"))
+
+
+@query(
+    "op2_merkle_audit",
+    rf"""
+    WITH r AS (SELECT 'url: ' || coalesce(url, '') || chr(10) || 'id: ' || coalesce(page_id::VARCHAR, '') || chr(10) || coalesce(html, '') AS record
+               FROM pages),
+    k AS (SELECT record, sha256(record) AS key, count(*) AS copies FROM r GROUP BY record),
+    t AS (SELECT greatest(1, ceil(sum(strlen(record)) / {merkle.FILE_BYTES}.0))::BIGINT AS files FROM k),
+    a AS (SELECT *, 'part-' || (('0x' || substr(key, 1, 8))::BIGINT % files) || '.warc' AS file, ('0x' || substr(key, 9, 4))::BIGINT % 1000 AS fate FROM k, t)
+    SELECT file, (coalesce(sum(strlen(record)) OVER (PARTITION BY file ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset",
+           CASE WHEN fate < 3 THEN 'missing' WHEN fate < 10 THEN 'changed' WHEN copies > 1 AND fate < 300 THEN 'changed' END AS kind
+    FROM a QUALIFY kind IS NOT NULL
+    """,
+)
+def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as an archive, audited against a replica that lost, damaged or stored once some records."""
+    pages = table(spark, sf_dir, "pages")
+    text = F.concat(
+        F.lit("url: "), F.coalesce("url", F.lit("")), F.lit("\n"),
+        F.lit("id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\n"),
+        F.coalesce("html", F.lit("")),
+    )
+    record = pages.select(text.alias("record")).withColumn("key", F.sha2("record", 256))
+    fate = F.pmod(F.conv(F.substring("key", 9, 4), 16, 10).cast("bigint"), F.lit(1000))
+    # what the replica holds: a damaged record has its first character overwritten
+    other = F.sha2(F.concat(F.lit("?"), F.expr("substring(record, 2)")), 256)
+    hashes = record.select(
+        "key", F.octet_length("record").cast("bigint").alias("length"), fate.alias("fate"),
+        F.when((fate >= 3) & (fate < 10), other).otherwise(F.col("key")).alias("replica"),
+    )
+    once = written(
+        hashes.groupBy("key").agg(
+            F.max("length").alias("length"), F.max("fate").alias("fate"), F.max("replica").alias("replica"), F.count(F.lit(1)).alias("copies")
+        ),
+        "merkle-records",
+    )
+    total = once.agg(F.sum("length")).first()[0] or 0
+    placed = written(merkle.packed(once, "key", "length", max(1, -(-total // merkle.FILE_BYTES))), "merkle-packed")
+    copies = lambda n: F.concat_ws("*", F.col("hash"), F.when(n > 1, n))
+    ours = placed.select("file", "offset", F.col("key").alias("hash"), "copies").withColumn("hash", copies(F.col("copies")))
+    theirs = placed.where("fate >= 3").select("file", "offset", F.col("replica").alias("hash"), "fate", "copies")
+    theirs = theirs.withColumn("hash", copies(F.when(F.col("fate") < 300, 1).otherwise(F.col("copies"))))
+    trees = [written(merkle.tree(side.select("file", "offset", "hash")), "merkle-tree") for side in (ours, theirs)]
+    return merkle.audit(*trees)
