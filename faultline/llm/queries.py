@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, disclosure, exact_dedup, jaccard_join, license_join, merkle, pareto_mix, toxicity
+from faultline.llm import byte_bpe, disclosure, exact_dedup, jaccard_join, license_join, merkle, pareto_mix, substring_dedup, toxicity
 from faultline.llm.registry import CHECKS, QUERIES, query, table
 from faultline.llm.tables import written
 
@@ -204,3 +204,10 @@ def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     theirs = theirs.withColumn("hash", copies(F.when(F.col("fate") < 300, 1).otherwise(F.col("copies"))))
     trees = [written(merkle.tree(side.select("file", "offset", "hash")), "merkle-tree") for side in (ours, theirs)]
     return merkle.audit(*trees)
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -52,15 +52,15 @@ def _slot(key: Column, seed: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bits)) + F.lit(1)
 
 
-def repeated_filter(df: DataFrame, key: str, bits: int) -> DataFrame:
-    """First pass: bitmap blocks (block, bitmap) of the slots that at least two rows hit.
+def repeated_filter(df: DataFrame, key: str, bits: int, least: int = 2) -> DataFrame:
+    """First pass: bitmap blocks (block, bitmap) of the slots that at least `least` rows hit.
 
     Every row sets one slot per seed. A key that two rows share hits each of its slots twice, so
     both of its bits are set. Slots are counted with a partial aggregate before the shuffle.
     """
     slots = df.select(F.explode(F.array(*[_slot(F.col(key), seed, bits) for seed in SEEDS])).alias("slot"))
-    twice = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("hits")).where("hits > 1")
-    return twice.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(
+    often = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= least)
+    return often.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")
     )
 
