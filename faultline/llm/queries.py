@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, disclosure, exact_dedup, jaccard_join, license_join, merkle, pareto_mix, substring_dedup, toxicity
+from faultline.llm import byte_bpe, disclosure, exact_dedup, jaccard_join, learned_partitions, license_join, merkle, pareto_mix, substring_dedup, toxicity
 from faultline.llm.registry import CHECKS, QUERIES, query, table
 from faultline.llm.tables import written
 
@@ -211,3 +211,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op6_learned_partitions")
+def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
