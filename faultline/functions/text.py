@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+ISO = r"^\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?([Zz]|[+-]\d{2}(:?\d{2})?)?)?$"
+
+
+def iso_time(value: Column) -> Column:
+    """Time of an ISO date or date and time; null for any other text, bare clock times and years too."""
+    return F.when(value.rlike(ISO), F.try_to_timestamp(value))
 
 
 def iso_stamp(ts: Column) -> Column:
@@ -21,7 +27,7 @@ def lag_label(seconds: Column) -> Column:
 
 def clock(ts_text: Column) -> Column:
     """HH:MM:SS of an ISO timestamp text; text that is no timestamp passes through."""
-    return F.coalesce(F.date_format(F.try_to_timestamp(ts_text), "HH:mm:ss"), ts_text)
+    return F.coalesce(F.date_format(iso_time(ts_text), "HH:mm:ss"), ts_text)
 
 
 def slug(title: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonval
-from faultline.functions.text import STAMP
+from faultline.functions.text import STAMP, iso_time
 from faultline.plans.firsts import flag_first
 from faultline.plans.folds import fold_rows
 from faultline.plans.slices import SLICE_ROWS, find_hot, previous, running, settled
@@ -18,23 +18,28 @@ from faultline.plans.slices import SLICE_ROWS, find_hot, previous, running, sett
 FIELDS = ("service", "metric", "value", "timestamp", "incident_id")
 
 
+NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+NO_NUMBER = r"^(?i)([+-]?(inf|infinity)|nan)$"
+LAST_SECOND = 253_402_300_799  # of the year 9999
+
+
 def _value(p: Column) -> Column:
     """Number, numeric text or boolean as double."""
+    text = F.trim(jsonval.raw_text(p, "$.value"))
     return F.coalesce(
         jsonval.number(p, "$.value"),
-        F.trim(jsonval.raw_text(p, "$.value")).try_cast("double"),
+        F.when(text.rlike(NUMBER) | text.rlike(NO_NUMBER), text.try_cast("double")),
         F.when(jsonval.kind_at(p, "$.value") == "BOOLEAN", F.try_variant_get(p, "$.value", "boolean").cast("double")),
     )
 
 
 def _timestamp(p: Column) -> Column:
-    """ISO text, or a number of seconds (milliseconds when too large for seconds)."""
-    epoch = jsonval.number(p, "$.timestamp")
+    """ISO text, or a number of seconds (milliseconds when too large for seconds), also as text."""
+    text = jsonval.raw_text(p, "$.timestamp")
+    epoch = F.coalesce(jsonval.number(p, "$.timestamp"), F.when(text.rlike(NUMBER), text.try_cast("double")))
     seconds = F.when(F.abs(epoch) > 2e10, epoch / 1000).otherwise(epoch)
-    return F.coalesce(
-        F.try_to_timestamp(jsonval.raw_text(p, "$.timestamp")),
-        F.timestamp_micros((seconds * 1e6).cast("bigint")),
-    )
+    inside = F.when(F.abs(seconds) <= LAST_SECOND, seconds)
+    return F.coalesce(iso_time(text), F.timestamp_micros((inside * 1e6).try_cast("bigint")))
 
 
 def parse_alerts(deliveries: DataFrame) -> DataFrame:
@@ -70,13 +75,15 @@ def alert_rejects(deliveries: DataFrame) -> DataFrame:
 
 def alert_keys(alerts: DataFrame) -> DataFrame:
     """Add `alert_key`: the caller's key, else a digest of the validated fields in fixed order."""
-    fields = F.concat_ws(
-        "|",
-        F.col("service"),
-        F.col("metric"),
-        F.col("value").cast("decimal(38,6)").cast("string"),
-        F.date_format("timestamp", STAMP),
-        F.coalesce(F.col("incident_id"), F.lit("~")),
+    # JSON: separators inside a name are quoted, absent is null, the number is whole, -0 is 0
+    fields = F.to_json(
+        F.array(
+            F.col("service"),
+            F.col("metric"),
+            (F.col("value") + F.lit(0.0)).cast("string"),
+            F.date_format("timestamp", STAMP),
+            F.col("incident_id"),
+        )
     )
     given = F.nullif(F.col("idempotency_key"), F.lit(""))
     return alerts.withColumn("alert_key", F.coalesce(given, F.sha2(fields, 256)))

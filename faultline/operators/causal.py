@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import vocab
@@ -51,7 +51,7 @@ def edge_labels(edges: DataFrame) -> DataFrame:
     return edges.withColumn("label", F.concat(F.lit("precedes by "), lag_label(F.col("lag_seconds"))))
 
 
-def graph_nodes(edges: DataFrame, mentioned: DataFrame, hot: list[Row] | None = None) -> DataFrame:
+def graph_nodes(edges: DataFrame, mentioned: DataFrame, hot: DataFrame | list | None = None) -> DataFrame:
     """Services of each incident's graph in order of first appearance, with their role.
 
     `edges` has (incident_id, ord, cause_service, effect_service); `mentioned` has

@@ -81,12 +81,12 @@ def action_text(incidents: DataFrame) -> DataFrame:
     """Chat update and ticket text of (incident_id, state, causal_summary, suggested_owner)."""
     owner: Column = F.concat(F.lit(vocab.SUGGESTION + ": "), F.col("suggested_owner"))
     update = F.concat(
-        F.lit(":rotating_light: Incident "), "incident_id", F.lit(" — state: "), "state",
-        F.lit("\nCausal chain: "), "causal_summary", F.lit("\n"), owner,
+        F.lit("[incident] "), "incident_id", F.lit(" is now "), "state",
+        F.lit("\nWhat led to what: "), "causal_summary", F.lit("\n"), owner,
     )
     followup = F.concat(
-        F.lit("Follow-up for incident "), "incident_id", F.lit(" (state: "), "state", F.lit(")\n\n"), owner,
-        F.lit(f"\n{vocab.HUMAN_CONFIRMS} ownership before any assignment happens."),
+        F.lit("Open work from "), "incident_id", F.lit(", which is "), "state", F.lit(".\n\n"), owner,
+        F.lit(f"\n{vocab.HUMAN_CONFIRMS} who takes this; nobody is assigned before."),
     )
     return incidents.select("incident_id", update.alias("update_text"), followup.alias("followup_text"))
 

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonval, vocab
@@ -146,7 +146,7 @@ def latest_edges(log: DataFrame) -> DataFrame:
 
 
 def report_tokens(
-    log: DataFrame, slice_rows: int = SLICE_ROWS, hot: list[Row] | None = None
+    log: DataFrame, slice_rows: int = SLICE_ROWS, hot: DataFrame | list | None = None
 ) -> DataFrame:
     """Streamed report tokens with their index; without one, the arrival position counts."""
     tokens = opened(log, vocab.REPORT_TOKEN)

@@ -149,10 +149,14 @@ def climb_shape(
 
 
 def metric_diff(recorded: DataFrame, expected: DataFrame) -> DataFrame:
-    """Rows on one side only, duplicates counted."""
-    extra = recorded.exceptAll(expected).withColumn("side", F.lit("unexpected"))
-    missing = expected.exceptAll(recorded).withColumn("side", F.lit("missing"))
-    return extra.unionAll(missing)
+    """Rows on one side only, duplicates counted: one union and one aggregate, each side read once."""
+    columns = recorded.columns
+    both = recorded.withColumn("__more", F.lit(1)).unionByName(expected.select(columns).withColumn("__more", F.lit(-1)))
+    counts = both.groupBy(*columns).agg(F.sum("__more").alias("__more")).where("__more <> 0")
+    side = F.when(F.col("__more") > 0, "unexpected").otherwise("missing").alias("side")
+    # a row surplus many times comes out as often
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("__more")))
+    return counts.select(*columns, side, times.alias("__copy")).drop("__copy")
 
 
 def spread_samples(metrics: DataFrame, samples: int, step_seconds: float) -> DataFrame:

@@ -19,15 +19,15 @@ RULES = (
     "State only times, names, numbers and actions that the log holds. Name a precedent only with "
     "its citation, as past context. Where a step was skipped or degraded, say so. Be brief."
 )
-NO_EDGE = "- no causal edge detected"
-NO_PRECEDENT = "(no precedent documents were found — say so if relevant)"
+NO_EDGE = "- none: no onset led to another within the bound"
+NO_PRECEDENT = "None on record; mention that only where a reader would expect one."
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:
     """Edges (incident_id, ord, cause_service, effect_service, lag_seconds) as list lines."""
     line = F.concat(
         F.lit("- "), "cause_service", F.lit(" precedes "), "effect_service", F.lit(" by "),
-        F.col("lag_seconds").cast("bigint").cast("string"), F.lit(" seconds (detected anomaly-onset lag)"),
+        F.col("lag_seconds").cast("bigint").cast("string"), F.lit(" seconds, measured between onsets"),
     )
     return edges.select("incident_id", "ord", line.alias("line"))
 

@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 
 from faultline.functions import jsonval, vocab
 from faultline.functions.text import strip, words
-from faultline.plans.slices import planned_bytes
 
 CHUNK = ("content_id", "chunk_index")
-SMALL_QUERIES = 16 << 20
 
 
 def intent_queries(symptoms: DataFrame) -> DataFrame:
@@ -103,71 +101,68 @@ def search_topk(
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), *CHUNK)
     top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    # k short rows per query: as small as the queries themselves
-    if planned_bytes(queries) < SMALL_QUERIES:
-        top = F.broadcast(top)
     shown = chunks.select(*CHUNK, "chunk_text", "title")
     return shown.join(top, list(CHUNK)).select(
         "query_id", "rank", "score", "content_id", "chunk_index", "title", "chunk_text"
     )
 
 
-# Queries of one pass over the vectors; more queries take more passes.
+# Queries and vectors that meet in one task.
 QUERY_BLOCK = 512
-
-
-def _local_top(ids: np.ndarray, matrix: np.ndarray, k: int):
-    """Scan function that keeps the k nearest vectors per query within a partition."""
-    unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = [pd.DataFrame({"vec_id": [], "score": []}) for _ in ids]
-        for batch in batches:
-            rows = np.stack(batch["embedding"].to_numpy()).astype("float64")
-            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-            scores = np.round(rows @ unit.T, 6)
-            names = batch["vec_id"].to_numpy()
-            for q in range(len(ids)):
-                column = scores[:, q]
-                if len(column) > k:
-                    near = column >= np.partition(column, -k)[-k]
-                else:
-                    near = np.ones(len(column), dtype=bool)
-                fresh = pd.DataFrame({"vec_id": names[near], "score": column[near]})
-                merged = pd.concat([best[q], fresh]) if len(best[q]) else fresh
-                best[q] = merged.sort_values(["score", "vec_id"], ascending=[False, True]).head(k)
-        for query, found in zip(ids, best):
-            if len(found):
-                yield pd.DataFrame(
-                    {"query_id": query, "vec_id": found["vec_id"].astype("int64"), "score": found["score"]}
-                )
-
-    return scan
+VECTOR_BLOCK = 16_384
+
+
+def _unit(column: pd.Series) -> np.ndarray:
+    rows = np.stack(column.to_numpy()).astype("float64")
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The `k` nearest of a block of vectors for every query of a block."""
+    if not len(vectors) or not len(queries):
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    vectors = vectors.sort_values("vec_id", kind="stable")
+    scores = np.round(_unit(queries["embedding"]) @ _unit(vectors["embedding"]).T, 6)
+    # stable on ids in order, so ties go to the lower id
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return pd.DataFrame(
+        {
+            "query_id": np.repeat(queries["query_id"].to_numpy(), order.shape[1]),
+            "vec_id": vectors["vec_id"].to_numpy()[order.ravel()],
+            "score": np.take_along_axis(scores, order, axis=1).ravel(),
+        }
+    )
 
 
 def vector_topk(
-    vectors: DataFrame, queries: DataFrame, k: int = vocab.MAX_RESULTS, block: int = QUERY_BLOCK
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int = vocab.MAX_RESULTS,
+    block: int = QUERY_BLOCK,
+    vector_block: int = VECTOR_BLOCK,
 ) -> DataFrame:
     """The `k` nearest vectors (vec_id, embedding) by cosine per (query_id, embedding).
 
-    Queries are taken in blocks of about `block`; each block is one pass of matrix products over
-    the vectors, of which every partition hands on its own best `k` only.
+    Both sides are cut into blocks of about the given sizes, and every pair of blocks is one matrix
+    product in one job; it hands on its own best `k` only. Null embeddings take no part.
     """
-    head = queries.limit(block + 1).collect()
-    passes = 1 if len(head) <= block else -(-queries.count() // block)
-    schema = "query_id bigint, vec_id bigint, score double"
-    found = None
-    for number in range(passes):
-        mine = F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number
-        share = head if passes == 1 else queries.where(mine).collect()
-        if not share:
-            continue
-        ids = [row["query_id"] for row in share]
-        matrix = np.array([row["embedding"] for row in share], dtype="float64")
-        part = vectors.select("vec_id", "embedding").mapInPandas(_local_top(ids, matrix, k), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
+    vectors = vectors.select("vec_id", "embedding").where("embedding IS NOT NULL")
+    queries = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
+    rows, columns = -(-vectors.count() // vector_block), -(-queries.count() // block)
+
+    def placed(df: DataFrame, key: str, own: str, mine: int, other: str, theirs: int) -> DataFrame:
+        every = F.sequence(F.lit(0).cast("bigint"), F.lit(max(theirs, 1) - 1).cast("bigint"))
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(max(mine, 1)))).withColumn(other, F.explode(every))
+
+    left = placed(vectors, "vec_id", "__row", rows, "__column", columns)
+    right = placed(queries, "query_id", "__column", columns, "__row", rows)
+    found = (
+        left.groupBy("__row", "__column")
+        .cogroup(right.groupBy("__row", "__column"))
+        .applyInPandas(
+            lambda ours, theirs: _nearest(ours, theirs, k), "query_id bigint, vec_id bigint, score double"
+        )
+    )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -195,6 +190,8 @@ def cited_documents(responses: DataFrame) -> DataFrame:
         ).alias("whole"),
         (
             F.coalesce(F.size(F.try_variant_get(p, "$.results", "array<variant>")) == 0, F.lit(False))
+            | F.coalesce(F.size(F.map_keys(F.try_variant_get(p, "$.results", "map<string,variant>"))) == 0, F.lit(False))
+            | F.coalesce(jsonval.raw_text(p, "$.results") == "", F.lit(False))
             | F.coalesce(jsonval.number(p, "$.total_results") == 0, F.lit(False))
             | F.coalesce(jsonval.raw_text(p, "$.answer") == vocab.NO_MATCH_ANSWER, F.lit(False))
         ).alias("empty"),

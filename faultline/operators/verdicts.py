@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from faultline.functions import jsonval, vocab
 
 DATA = "$.result.data"
+NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
 def _label(p: Column, path: str) -> Column:
@@ -23,7 +24,24 @@ def _label(p: Column, path: str) -> Column:
 
 
 def _confidence(p: Column, path: str) -> Column:
-    return F.coalesce(jsonval.number(p, f"{path}.confidence"), F.lit(0.0))
+    """A number, or text that is one; 0 only where the field is absent, null where it can't be read."""
+    at = f"{path}.confidence"
+    text = F.trim(jsonval.raw_text(p, at))
+    read = F.coalesce(jsonval.number(p, at), F.when(text.rlike(NUMBER), text.try_cast("double")))
+    return F.when(jsonval.kind_at(p, at).isNull(), F.lit(0.0)).otherwise(read)
+
+
+def _blank(p: Column, path: str) -> Column:
+    """An empty value of any kind: null, empty text, list or object, false or zero."""
+    kind = jsonval.kind_at(p, path)
+    return (
+        (kind == "VOID")
+        | (kind == "STRING") & (F.try_variant_get(p, path, "string") == "")
+        | (kind == "BOOLEAN") & ~F.try_variant_get(p, path, "boolean")
+        | F.coalesce(jsonval.number(p, path) == 0, F.lit(False))
+        | F.coalesce(F.size(F.try_variant_get(p, path, "array<variant>")) == 0, F.lit(False))
+        | F.coalesce(F.size(F.map_keys(F.try_variant_get(p, path, "map<string,variant>"))) == 0, F.lit(False))
+    )
 
 
 def latency_pref(p: Column, wall_ms: Column) -> Column:
@@ -32,7 +50,7 @@ def latency_pref(p: Column, wall_ms: Column) -> Column:
 
 
 def parse_extraction(responses: DataFrame) -> DataFrame:
-    """Severity, services and confidence, or `error`: shape, severity, label, entities, span."""
+    """Severity, services and confidence, or `error`: shape, severity, label, confidence, entities, span."""
     p = F.col("p")
     severity, entity = f"{DATA}.severity", f"{DATA}.entities.{vocab.SERVICE_ENTITY}"
     items = F.try_variant_get(p, entity, "array<variant>")
@@ -49,15 +67,17 @@ def parse_extraction(responses: DataFrame) -> DataFrame:
         _label(p, severity).alias("severity"),
         _confidence(p, severity).alias("confidence"),
         jsonval.kind_at(p, entity).alias("kind"),
+        _blank(p, entity).alias("blank"),
         names.alias("names"),
         latency_pref(p, F.col("wall_ms")).alias("latency_ms"),
     )
-    services = F.when(F.col("kind") == "VOID", F.array().cast("array<string>")).otherwise(F.col("names"))
+    services = F.when(F.col("blank"), F.array().cast("array<string>")).otherwise(F.col("names"))
     unread = services.isNull() | F.exists(services, lambda name: name.isNull())
     error = (
         F.when(~F.col("object"), "shape")
         .when(~F.coalesce(F.col("rated"), F.lit(False)), "severity")
         .when(~F.coalesce(F.col("severity").isin(*vocab.SEVERITIES), F.lit(False)), "label")
+        .when(F.col("confidence").isNull(), "confidence")
         .when(F.col("kind").isNull(), "entities")
         .when(unread, "span")
     )
@@ -74,7 +94,7 @@ def parse_extraction(responses: DataFrame) -> DataFrame:
 
 
 def parse_screen(responses: DataFrame) -> DataFrame:
-    """Allowed flag, categories and confidence, or `error`: shape, task, label."""
+    """Allowed flag, categories and confidence, or `error`: shape, task, label, confidence."""
     p = F.col("p")
     task = f"{DATA}.{vocab.SAFETY_TASK}"
     read = responses.withColumn("p", F.try_parse_json("body")).select(
@@ -89,6 +109,7 @@ def parse_screen(responses: DataFrame) -> DataFrame:
         F.when(~F.col("object"), "shape")
         .when(~F.col("has_task"), "task")
         .when(~F.coalesce(F.col("label").isin(*vocab.SAFETY_LABELS), F.lit(False)), "label")
+        .when(F.col("confidence").isNull(), "confidence")
     )
     judged = read.withColumn("error", error)
     fine = F.col("error").isNull()

@@ -1,34 +1,35 @@
 """Ordered windows that survive hot keys.
 
-A plain `Window.partitionBy(key)` sends a whole key to one task. The helpers here first look
-for keys with very many rows. Without any, the plan is the plain window. Otherwise only those
-keys are cut into consecutive slices of the order column; the window runs inside each slice
-and the slice borders are repaired from a small remainder. Results are the same either way.
-
-Keys must not be null. Rows with equal order values always share a slice, so `tie` columns
-only have to break ties inside one.
+A plain `Window.partitionBy(key)` sends a whole key to one task. The helpers here first count rows
+per key. Where no key is above the limit, the plan is the plain window. Otherwise only those keys
+are cut into consecutive slices of the order column; the window runs inside each slice and the
+slice borders are repaired from a small remainder. Results are the same either way: null order
+values come first, in the first slice, as they do in a plain window.
+
+Keys must not be null. A slice that a burst overfills is cut again, by its own range of the order
+column or, where all its rows share one order value, by the first tie column if that is numeric.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.session import scratch_path
+
 SLICE = "__slice"
 HOT = "__hot"
 POS = "__pos"
 
 # A key is hot above this many rows; a slice then aims at this many.
 SLICE_ROWS = 1_000_000
-# Only so many of the largest hot keys are cut; any other key holds less than 1/HOT_KEYS of all rows.
-HOT_KEYS = 5_000
-ROW_BYTES = 64
-# A slice with this many times the rows it should have is cut into up to INNER_SLICES again.
+# A slice with this many times the rows it should have is cut again, LEVELS times at most.
 CROWDED = 4
-INNER_SLICES = 1 << 20
+LEVELS = 4
+FIRST_BITS, INNER_BITS = 20, 10  # of a slice number: 2^20 slices of a key, 2^10 of a crowded slice
 
 
 def order_number(df: DataFrame, order: str) -> Column:
@@ -39,68 +40,98 @@ def order_number(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("double")
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """The planner's size estimate; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _tie_number(df: DataFrame, tie: Sequence[str]) -> Column:
+    """The first tie column as a double, or null where it can't cut."""
+    if tie and isinstance(df.schema[tie[0]].dataType, (T.NumericType, T.TimestampType, T.DateType)):
+        return order_number(df, tie[0])
+    return F.lit(None).cast("double")
 
 
 def find_hot(
     df: DataFrame, keys: Sequence[str], order: str, slice_rows: int = SLICE_ROWS
-) -> list[Row]:
-    """The largest keys above `slice_rows` rows, with their order range and slice count.
+) -> DataFrame | list:
+    """Keys above `slice_rows` rows, with their order range and slice count; an empty list if none.
 
-    Runs one job over the key and order columns, pre-aggregated before its shuffle, and
-    returns at most HOT_KEYS rows; an input estimated at under 64 bytes per slice row spares
-    the job. Stale or wrong figures only unbalance slices, never results.
+    One job over the key and order columns, pre-aggregated before its shuffle. However many keys
+    are hot, they stay a table: only whether there is one comes back.
     """
-    if planned_bytes(df) < slice_rows * ROW_BYTES:
-        return []
     at = order_number(df, order)
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), F.min(at).alias("__lo"), F.max(at).alias("__hi")
     )
-    large = stats.where((F.col("__n") > slice_rows) & (F.col("__hi") > F.col("__lo")))
-    parts = F.ceil(F.col("__n") / float(slice_rows)).cast("double").alias("__parts")
-    return large.orderBy(F.desc("__n")).limit(HOT_KEYS).select(*keys, "__lo", "__hi", parts).collect()
+    large = stats.where(F.col("__n") > slice_rows)
+    if large.isEmpty():
+        return []
+    parts = F.least(F.ceil(F.col("__n") / float(slice_rows)), F.lit(1 << FIRST_BITS)).cast("double").alias("__parts")
+    return _kept(large.select(*keys, "__lo", "__hi", parts))
+
+
+def _kept(table: DataFrame) -> DataFrame:
+    """Written, so that every plan that uses the table cuts by the same figures."""
+    path = scratch_path(table.sparkSession, "slices")
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def with_slices(
-    df: DataFrame, keys: Sequence[str], order: str, hot: list[Row], slice_rows: int = SLICE_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    hot: DataFrame,
+    slice_rows: int = SLICE_ROWS,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Add `__slice` (0-based, rising with `order`) and `__hot` (the key was cut).
+    """Add `__slice` (0 for a key's first, rising with `order`) and `__hot` (the key was cut)."""
+    cut = _cut(df, keys, order_number(df, order), hot, SLICE, HOT)
+    for _ in range(LEVELS):
+        crowded = _crowded(cut, keys, order, tie, slice_rows)
+        if crowded is None:
+            break
+        at = F.when(F.col("__by_tie"), _tie_number(df, tie)).otherwise(order_number(df, order))
+        finer = _cut(cut, [*keys, SLICE], at, crowded, "__inner", "__again")
+        place = F.shiftleft(F.col(SLICE), INNER_BITS) + F.col("__inner")
+        cut = finer.select(*df.columns, place.alias(SLICE), HOT)
+    return cut
+
+
+def _crowded(
+    cut: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], slice_rows: int
+) -> DataFrame | None:
+    """Slices that hold far more rows than they should and can be cut, with their ranges."""
+    at, other = order_number(cut, order), _tie_number(cut, tie)
+    stats = cut.where(HOT).groupBy(*keys, SLICE).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.min(at).alias("lo"), F.max(at).alias("hi"), F.min(other).alias("tie_lo"), F.max(other).alias("tie_hi"),
+        F.count(at).alias("known"),
+    )
+    # nulls come first and tie with each other only: they leave the order range alone
+    by_tie = ~F.coalesce(F.col("hi") > F.col("lo"), F.lit(False)) & ((F.col("known") == F.col("__n")) | (F.col("known") == 0))
+    parts = F.least(F.ceil(F.col("__n") / float(slice_rows)) * CROWDED, F.lit(1 << INNER_BITS)).cast("double")
+    ranged = stats.where(F.col("__n") > CROWDED * slice_rows).select(
+        *keys,
+        SLICE,
+        F.when(by_tie, F.col("tie_lo")).otherwise(F.col("lo")).alias("__lo"),
+        F.when(by_tie, F.col("tie_hi")).otherwise(F.col("hi")).alias("__hi"),
+        parts.alias("__parts"),
+        by_tie.alias("__by_tie"),
+    ).where("__hi > __lo")
+    return None if ranged.isEmpty() else _kept(ranged)
 
-    Slices have equal ranges of the order column. Where a burst overfills one, it is cut once more.
-    """
-    cut = _cut(df, keys, order, hot)
-    inner = [*keys, SLICE]
-    crowded = find_hot(cut.where(HOT), inner, order, CROWDED * slice_rows)
-    if not crowded:
-        return cut
-    crowded = [Row(**{**row.asDict(), "__parts": row["__parts"] * CROWDED}) for row in crowded]
-    finer = _cut(cut.withColumnRenamed(HOT, "__cut"), inner, order, crowded, "__inner")
-    place = F.col(SLICE) * INNER_SLICES + F.least(F.col("__inner"), F.lit(INNER_SLICES - 1))
-    return finer.select(*df.columns, place.alias(SLICE), F.col("__cut").alias(HOT))
-
-
-def _cut(
-    df: DataFrame, keys: Sequence[str], order: str, hot: list[Row], name: str = SLICE
-) -> DataFrame:
-    at = order_number(df, order)
+
+def _cut(df: DataFrame, keys: Sequence[str], at: Column, table: DataFrame, name: str, flag: str) -> DataFrame:
+    """Add the place, from 0, of a row in the range of its key's entry in `table`, and whether it has one."""
     if keys:
-        fields = [T.StructField(key, df.schema[key].dataType) for key in keys]
-        fields += [T.StructField(name, T.DoubleType()) for name in ("__lo", "__hi", "__parts")]
-        table = df.sparkSession.createDataFrame(hot, T.StructType(fields))
-        joined = df.join(F.broadcast(table), list(keys), "left")
-        low, high, parts = F.col("__lo"), F.col("__hi"), F.col("__parts")
+        joined = df.join(table, list(keys), "left")
     else:
-        joined = df
-        low, high, parts = (F.lit(float(hot[0][name])) for name in ("__lo", "__hi", "__parts"))
-    place = F.floor((at - low) / (high - low) * parts)
-    cut = F.greatest(F.lit(0), F.least(place, parts.cast("bigint") - 1))
+        joined = df.join(F.broadcast(table), how="left")  # one row
+    low, high, parts = F.col("__lo"), F.col("__hi"), F.col("__parts")
+    place = F.when(high > low, F.floor((at - low) / F.when(high > low, high - low) * parts))
+    inside = F.greatest(F.lit(0), F.least(place, parts.cast("bigint") - 1))
+    # null order values are sorted first
     return joined.select(
-        *[F.col(name) for name in df.columns],
-        F.coalesce(F.when(parts.isNotNull(), cut), F.lit(0).cast("bigint")).alias(name),
-        parts.isNotNull().alias(HOT),
+        *[F.col(column) for column in df.columns],
+        F.when(at.isNull() | place.isNull(), 0).otherwise(inside).cast("bigint").alias(name),
+        parts.isNotNull().alias(flag),
     )
 
 
@@ -124,7 +155,7 @@ def bounded_frame(
     columns: Callable[[Window], dict[str, Column]],
     tie: Sequence[str] = (),
     slice_rows: int = SLICE_ROWS,
-    hot: list[Row] | None = None,
+    hot: DataFrame | list | None = None,
 ) -> DataFrame:
     """Add window columns whose frames look back at most `reach` rows.
 
@@ -137,7 +168,7 @@ def bounded_frame(
     hot = find_hot(df, keys, order, slice_rows) if hot is None else hot
     if not hot:
         return df.withColumns(columns(across))
-    cut = with_slices(df, keys, order, hot, slice_rows)
+    cut = with_slices(df, keys, order, hot, slice_rows, tie)
     inner = Window.partitionBy(*keys, SLICE).orderBy(*by)
     inside = (
         cut.withColumns({**columns(inner), POS: F.row_number().over(inner)})
@@ -165,7 +196,7 @@ def running(
     columns: dict[str, tuple[str, Column]],
     tie: Sequence[str] = (),
     slice_rows: int = SLICE_ROWS,
-    hot: list[Row] | None = None,
+    hot: DataFrame | list | None = None,
 ) -> DataFrame:
     """Add running columns over all earlier rows and the current one.
 
@@ -186,7 +217,7 @@ def running(
 
     if not hot:
         return df.withColumns(upto(*keys))
-    cut = with_slices(df, keys, order, hot, slice_rows)
+    cut = with_slices(df, keys, order, hot, slice_rows, tie)
     local = cut.withColumns(upto(*keys, SLICE))
 
     rank = F.struct(*[F.col(name) for name in (order, *tie)])
@@ -225,7 +256,7 @@ def numbered(
     name: str,
     tie: Sequence[str] = (),
     slice_rows: int = SLICE_ROWS,
-    hot: list[Row] | None = None,
+    hot: DataFrame | list | None = None,
 ) -> DataFrame:
     """Add a 1-based row number per key."""
     one = F.lit(1).cast("bigint")
@@ -239,7 +270,7 @@ def previous(
     columns: dict[str, str],
     tie: Sequence[str] = (),
     slice_rows: int = SLICE_ROWS,
-    hot: list[Row] | None = None,
+    hot: DataFrame | list | None = None,
 ) -> DataFrame:
     """Add the value of a column one row earlier: {new name: source column}."""
     return bounded_frame(
@@ -263,7 +294,7 @@ def text_parts(
     tie: Sequence[str] = (),
     part_rows: int = 10_000,
     slice_rows: int = SLICE_ROWS,
-    hot: list[Row] | None = None,
+    hot: DataFrame | list | None = None,
 ) -> DataFrame:
     """Join ordered text rows per key into parts of at most `part_rows` rows.
 

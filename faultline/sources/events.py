@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENT_SCHEMA = "ts TIMESTAMP, incident_id STRING, seq BIGINT, event_type STRING, payload STRING"
-READ_LIMIT = 1000
 
 
 def event_rows(rows: DataFrame, event_type: Column, payload: list[str]) -> DataFrame:
@@ -43,11 +42,11 @@ def append_audit(events: DataFrame, path: str) -> None:
 
 
 def read_audit(
-    spark: SparkSession, path: str, incident_id: str | None = None, limit: int | None = READ_LIMIT
+    spark: SparkSession, path: str, incident_id: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """The first `limit` audit documents of one incident, or of every incident, in time order.
+    """All audit documents of one incident, or of every incident.
 
-    Without a limit, all of them.
+    With a limit, the first so many of each in time order.
     """
     rows = spark.read.schema("incident_id STRING, ts TIMESTAMP, seq BIGINT, body STRING").parquet(path)
     if incident_id is not None:

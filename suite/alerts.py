@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from faultline.operators import alerts
@@ -16,22 +17,39 @@ jp AS (SELECT *, TRY_CAST(body AS JSON) AS j FROM v_alerts),
 f AS (SELECT delivery_id, received_at, idempotency_key, body, j,
     nullif(CASE WHEN json_type(j, '$.service') = 'VARCHAR' THEN json_extract_string(j, '$.service') END, '') AS service,
     nullif(CASE WHEN json_type(j, '$.metric') = 'VARCHAR' THEN json_extract_string(j, '$.metric') END, '') AS metric,
-    TRY_CAST(json_extract_string(j, '$.value') AS DOUBLE) AS value,
-    TRY_CAST(json_extract_string(j, '$.timestamp') AS TIMESTAMP) AS timestamp,
+    TRY_CAST(json_extract_string(j, '$.value') AS DOUBLE) + 0.0 AS value,
+    CASE WHEN regexp_full_match(json_extract_string(j, '$.timestamp'), '[0-9]{4}-[0-9]{2}-[0-9]{2}([T ].*)?')
+           THEN TRY_CAST(json_extract_string(j, '$.timestamp') AS TIMESTAMP)
+         WHEN abs(TRY_CAST(json_extract_string(j, '$.timestamp') AS DOUBLE)) <= 2e10
+           THEN make_timestamp(CAST(TRY_CAST(json_extract_string(j, '$.timestamp') AS DOUBLE) * 1e6 AS BIGINT)) END AS timestamp,
     CASE WHEN json_type(j, '$.incident_id') = 'VARCHAR' THEN json_extract_string(j, '$.incident_id') END AS incident_id,
     coalesce(json_type(j, '$.incident_id'), 'NULL') IN ('VARCHAR', 'NULL') AS id_ok FROM jp),
 parsed AS (SELECT *, CASE WHEN j IS NULL THEN 'body' WHEN service IS NULL THEN 'service' WHEN metric IS NULL THEN 'metric'
     WHEN value IS NULL THEN 'value' WHEN timestamp IS NULL THEN 'timestamp' WHEN NOT id_ok THEN 'incident_id' END AS reason FROM f)
 """
+# the digest itself is opaque: what counts is which deliveries share it
 KEYED = f"""{PARSED},
-keyed AS (SELECT delivery_id, received_at, service, metric, value, timestamp, incident_id, coalesce(nullif(idempotency_key, ''),
-    sha256(service || '|' || metric || '|' || CAST(CAST(value AS DECIMAL(38, 6)) AS VARCHAR) || '|' || {stamp('timestamp')}
-           || '|' || coalesce(incident_id, '~'))) AS alert_key FROM parsed WHERE reason IS NULL),
-dd AS (SELECT *, row_number() OVER (PARTITION BY alert_key ORDER BY received_at, delivery_id) > 1 AS duplicate FROM keyed),
-named AS (SELECT * REPLACE (coalesce(nullif(incident_id, ''), 'inc-' || left(alert_key, 12)) AS incident_id) FROM dd)
+keyed AS (SELECT delivery_id, received_at, service, metric, value, timestamp, incident_id, nullif(idempotency_key, '') AS given,
+    coalesce('given ' || nullif(idempotency_key, ''),
+             CAST(json_array(service, metric, CAST(value AS VARCHAR), CAST(timestamp AS VARCHAR), incident_id) AS VARCHAR)) AS alert_key
+    FROM parsed WHERE reason IS NULL),
+dd AS (SELECT *, row_number() OVER (PARTITION BY alert_key ORDER BY received_at, delivery_id) > 1 AS duplicate,
+       min(delivery_id) OVER (PARTITION BY alert_key) AS same_as FROM keyed),
+named AS (SELECT * REPLACE (coalesce(nullif(incident_id, ''), 'like ' || same_as) AS incident_id) FROM dd)
 """
 
 
+def same_as(key):
+    """Which rows share a key, without showing it."""
+    return F.min("delivery_id").over(Window.partitionBy(key))
+
+
+def shown_ids():
+    """Incident ids; made ones as the least delivery of their key."""
+    made = F.col("incident_id") == F.concat(F.lit("inc-"), F.left("alert_key", F.lit(12)))
+    return F.when(made, F.concat(F.lit("like "), F.col("same_as").cast("string"))).otherwise(F.col("incident_id"))
+
+
 def _alerts(spark, sf_dir):
     return alerts.scan_alerts(derive(spark, sf_dir, "v_alerts"))
 
@@ -51,19 +69,23 @@ def alert_rejects(spark, sf_dir):
     return alerts.alert_rejects(derive(spark, sf_dir, "v_alerts"))
 
 
-@query("alert_keys", f"WITH {KEYED} SELECT delivery_id, alert_key FROM keyed", V)
+@query("alert_keys", f"WITH {KEYED} SELECT delivery_id, given, same_as FROM dd", V)
 def alert_keys(spark, sf_dir):
-    return alerts.alert_keys(_alerts(spark, sf_dir)).select("delivery_id", "alert_key")
+    keyed = alerts.alert_keys(_alerts(spark, sf_dir))
+    given = F.nullif("idempotency_key", F.lit("")).alias("given")
+    return keyed.select("delivery_id", given, same_as("alert_key").alias("same_as"))
 
 
-@query("alert_dedupe", f"WITH {KEYED} SELECT delivery_id, alert_key, duplicate FROM dd", V)
+@query("alert_dedupe", f"WITH {KEYED} SELECT delivery_id, duplicate FROM dd", V)
 def alert_dedupe(spark, sf_dir):
-    return alerts.alert_dedupe(_alerts(spark, sf_dir)).select("delivery_id", "alert_key", "duplicate")
+    return alerts.alert_dedupe(_alerts(spark, sf_dir)).select("delivery_id", "duplicate")
 
 
 @query("alert_incident_ids", f"WITH {KEYED} SELECT delivery_id, incident_id FROM named", V)
 def alert_incident_ids(spark, sf_dir):
-    return alerts.alert_incident_ids(_alerts(spark, sf_dir)).select("delivery_id", "incident_id")
+    named = alerts.alert_incident_ids(_alerts(spark, sf_dir))
+    named = named.withColumn("same_as", same_as("alert_key"))
+    return named.select("delivery_id", shown_ids().alias("incident_id"))
 
 
 @query(
@@ -73,14 +95,19 @@ def alert_incident_ids(spark, sf_dir):
     V,
 )
 def incident_starts(spark, sf_dir):
-    return alerts.incident_starts(_alerts(spark, sf_dir)).select("delivery_id", "incident_id", "starts")
+    started = alerts.incident_starts(_alerts(spark, sf_dir))
+    keys = alerts.alert_keys(_alerts(spark, sf_dir))
+    keys = keys.select("alert_key", "delivery_id").groupBy("alert_key").agg(F.min("delivery_id").alias("same_as"))
+    named = started.join(keys, "alert_key")
+    return named.select("delivery_id", shown_ids().alias("incident_id"), "starts")
 
 
 @query(
     "alert_sentence",
-    """WITH jp AS (SELECT delivery_id, TRY_CAST(body AS JSON) AS j FROM v_alerts),
+    r"""WITH jp AS (SELECT delivery_id, TRY_CAST(body AS JSON) AS j FROM v_alerts),
     f AS (SELECT *, nullif(json_extract_string(j, '$.service'), '') AS s, nullif(json_extract_string(j, '$.metric'), '') AS m,
-                 json_extract_string(j, '$.value') AS v, json_extract_string(j, '$.timestamp') AS t, json_extract_string(j, '$.incident_id') AS i FROM jp),
+                 regexp_replace(json_extract_string(j, '$.value'), '^([0-9])e[+]?', '\1.0E') AS v,
+                 regexp_replace(json_extract_string(j, '$.timestamp'), '^([0-9])e[+]?', '\1.0E') AS t, json_extract_string(j, '$.incident_id') AS i FROM jp),
     l AS (SELECT f.delivery_id, string_agg(e.key || ' ' || json_extract_string(e.value, '$'), ', ' ORDER BY e.key) AS listed
           FROM f, json_each(f.j) e GROUP BY f.delivery_id)
     SELECT delivery_id, coalesce('Alert ' || coalesce(i, '') || ': service ' || s || ' metric ' || m || ' breached with value ' || v

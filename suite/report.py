@@ -13,7 +13,7 @@ from suite.views import derive, read
 
 EDGE_TEXT = """
 et AS (SELECT incident_id, ord, '- ' || cause_service || ' precedes ' || effect_service || ' by ' || CAST(CAST(lag_seconds AS BIGINT) AS VARCHAR)
-       || ' seconds (detected anomaly-onset lag)' AS line FROM edges),
+       || ' seconds, measured between onsets' AS line FROM edges),
 ids AS (SELECT DISTINCT incident_id FROM v_log)
 """
 CITED = f"pr AS (SELECT incident_id, {text('citation')} AS citation, {text('source_id')} AS content FROM lg WHERE event_type = 'runbook.retrieved')"
@@ -37,7 +37,7 @@ def precedents(log):
     c AS (SELECT incident_id, '[citation: ' || citation || ']' || chr(10) || content AS text FROM pr WHERE citation IS NOT NULL)
     SELECT incident_id, CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS part, 'Incident ' || incident_id || chr(10) || '{report.RULES}' || chr(10)
       || '## Timeline' || chr(10) || '## Root Cause' || chr(10) || '## Impact' || chr(10) || '## Action Items' AS text FROM ids
-    UNION ALL SELECT ids.incident_id, 1, 0, coalesce(e.text, '- no causal edge detected') FROM ids LEFT JOIN e USING (incident_id)
+    UNION ALL SELECT ids.incident_id, 1, 0, coalesce(e.text, '{report.NO_EDGE}') FROM ids LEFT JOIN e USING (incident_id)
     UNION ALL SELECT ids.incident_id, 2, 0, coalesce(c.text, '{report.NO_PRECEDENT}') FROM ids LEFT JOIN c USING (incident_id)
     UNION ALL SELECT incident_id, 3, 0, '{vocab.LOG_BEGIN}' || chr(10) || string_agg(line, chr(10) ORDER BY ts, seq) || chr(10) || '{vocab.LOG_END}'
       FROM lines GROUP BY incident_id""",
@@ -56,7 +56,7 @@ def report_prompts(spark, sf_dir):
              bool_or(event_type = 'owner_confirmed') AS confirmed FROM lg GROUP BY incident_id)
     SELECT incident_id, 'Timeline' AS section, row_number() OVER (PARTITION BY incident_id ORDER BY ts, seq) AS ord,
       '- ' || strftime(ts, '%H:%M:%S') || ' ' || event_type || coalesce(': ' || summary, '') AS line FROM tl
-    UNION ALL SELECT ids.incident_id, 'Root Cause', coalesce(ord, 0), coalesce(line, '- no causal edge detected') FROM ids LEFT JOIN et USING (incident_id)
+    UNION ALL SELECT ids.incident_id, 'Root Cause', coalesce(ord, 0), coalesce(line, '{report.NO_EDGE}') FROM ids LEFT JOIN et USING (incident_id)
     UNION ALL SELECT ids.incident_id, 'Impact', 0, '- severity: ' || coalesce(severity, 'not in the log') FROM ids LEFT JOIN sev USING (incident_id)
     UNION ALL SELECT incident_id, 'Impact', ord + 1, '- affected service: ' || service FROM aff
     UNION ALL SELECT incident_id, 'Action Items', 1, '- follow up ' || event_type || ' of ' || subject || ' (×' || CAST(n_events AS VARCHAR) || ')' FROM gp

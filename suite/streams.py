@@ -53,10 +53,18 @@ def stream_states(spark, sf_dir):
     return settle_stream(spark, live.stream_states(derive(spark, sf_dir, "v_log", stream)), "states")
 
 
-@query("stream_alert_dedupe", f"WITH {KEYED} SELECT DISTINCT alert_key FROM keyed", ("v_alerts",))
+@query(
+    "stream_alert_dedupe",
+    f"""WITH {KEYED} SELECT DISTINCT given, CASE WHEN given IS NULL THEN service END AS service, CASE WHEN given IS NULL THEN metric END AS metric,
+    CASE WHEN given IS NULL THEN value END AS value, CASE WHEN given IS NULL THEN {stamp('timestamp')} END AS timestamp,
+    CASE WHEN given IS NULL THEN incident_id END AS incident_id FROM keyed""",
+    ("v_alerts",),
+)
 def stream_alert_dedupe(spark, sf_dir):
     accepted = alerts.scan_alerts(derive(spark, sf_dir, "v_alerts", stream))
-    fresh = live.stream_alert_dedupe(accepted, "60 days").select("alert_key")
+    given = F.nullif("idempotency_key", F.lit(""))
+    own = [F.when(given.isNull(), F.col(name)).alias(name) for name in ("service", "metric", "value", "timestamp", "incident_id")]
+    fresh = live.stream_alert_dedupe(accepted, "60 days").select(given.alias("given"), *own)
     return settle_stream(spark, fresh, "alerts")
 
 

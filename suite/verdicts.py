@@ -128,10 +128,10 @@ cs AS (SELECT incident_id, string_agg(cause_service || ' → ' || effect_service
        FROM edges GROUP BY incident_id),
 ow AS (SELECT incident_id, {text('suggested_owner')} AS suggested_owner FROM lg WHERE event_type = 'ownership.suggested'),
 tx AS (SELECT incident_id,
-  ':rotating_light: Incident ' || incident_id || ' — state: ' || state || chr(10) || 'Causal chain: ' || causal_summary || chr(10)
+  '[incident] ' || incident_id || ' is now ' || state || chr(10) || 'What led to what: ' || causal_summary || chr(10)
     || 'Suggested owner — awaiting confirmation: ' || suggested_owner AS update_text,
-  'Follow-up for incident ' || incident_id || ' (state: ' || state || ')' || chr(10) || chr(10)
-    || 'Suggested owner — awaiting confirmation: ' || suggested_owner || chr(10) || 'A human must confirm ownership before any assignment happens.' AS followup_text
+  'Open work from ' || incident_id || ', which is ' || state || '.' || chr(10) || chr(10)
+    || 'Suggested owner — awaiting confirmation: ' || suggested_owner || chr(10) || 'A human must confirm who takes this; nobody is assigned before.' AS followup_text
   FROM st JOIN cs USING (incident_id) JOIN ow USING (incident_id) WHERE state IS NOT NULL AND suggested_owner IS NOT NULL)
 """
 

@@ -106,6 +106,20 @@ SELECT event_id, value, CAST(ts AS TIMESTAMP) AS received_at,
        WHEN value < 10 THEN '{"service":"' || event_type || '","value":1.5,"timestamp":"2024-01-02T03:04:05Z"}'
        WHEN value < 12 THEN '{"service":"' || event_type || '","metric":"m1","value":1.5,"timestamp":"2024-01-02T03:04:05Z","incident_id":7}'
        WHEN value < 14 THEN '{"service":"' || event_type || '","metric":"m1","value":"12.5","timestamp":"2024-01-02T03:04:05Z"}'
+       WHEN value < 14.5 THEN '{"service":"s","metric":"m","value":1e40,"timestamp":"2024-01-02T03:04:05Z"}'
+       WHEN value < 15 THEN '{"service":"s","metric":"m","value":"NaN","timestamp":"2024-01-02T03:04:05Z"}'
+       WHEN value < 15.5 THEN '{"service":"s","metric":"m","value":"Infinity","timestamp":"2024-01-02T03:04:05Z"}'
+       WHEN value < 16 THEN '{"service":"s","metric":"m","value":"1d","timestamp":"2024-01-02T03:04:05Z"}'
+       WHEN value < 16.5 THEN '{"service":"s","metric":"m","value":1.5,"timestamp":1e30}'
+       WHEN value < 17 THEN '{"service":"s","metric":"m","value":1.5,"timestamp":"10:30"}'
+       WHEN value < 17.5 THEN '{"service":"s","metric":"m","value":1.5,"timestamp":"2024"}'
+       WHEN value < 18 THEN '{"service":"s","metric":"m","value":1.5,"timestamp":"2024-01"}'
+       WHEN value < 18.5 THEN '{"service":"s","metric":"m","value":1.5,"timestamp":"1704067200"}'
+       WHEN value < 19 THEN '{"service":"a|b","metric":"c","value":1.5,"timestamp":"2024-01-02"}'
+       WHEN value < 19.5 THEN '{"service":"a","metric":"b|c","value":1.5,"timestamp":"2024-01-02"}'
+       WHEN value < 20 THEN '{"service":"s","metric":"m","value":1.0000001,"timestamp":"2024-01-02T03:04:05Z"}'
+       WHEN value < 20.5 THEN '{"service":"s","metric":"m","value":1.0000004,"timestamp":"2024-01-02T03:04:05Z"}'
+       WHEN value < 21 THEN '{"service":"s","metric":"m","value":1.0000004,"timestamp":"2024-01-02T03:04:05Z","incident_id":"~"}'
        ELSE '{"service":"' || event_type || '","metric":"m' || CAST(user_id % 4 AS STRING) || '","value":' || CAST(value AS STRING)
          || ',"timestamp":"2024-01-' || lpad(CAST(1 + user_id % 28 AS STRING), 2, '0') || 'T00:00:' || lpad(CAST(event_id % 60 AS STRING), 2, '0') || 'Z"'
          || CASE WHEN user_id % 2 = 0 THEN ',"incident_id":"inc-' || CAST(user_id AS STRING) || '"' ELSE '' END || '}'

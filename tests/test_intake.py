@@ -101,13 +101,46 @@ def test_extraction(spark):
             {"result": None},
             "[1]",
             "oops",
+            wrapped({"severity": {"label": "P1", "confidence": "0.9"}, "entities": {"affected_service": ""}}),
+            wrapped({"severity": {"label": "P1", "confidence": None}, "entities": {"affected_service": {}}}),
         )
     ).orderBy("response_id").collect()
-    assert [row["error"] for row in got] == [None, None, "label", "label", "severity", "entities", "span", "severity", "shape", "shape"]
+    assert [row["error"] for row in got] == [
+        None, None, "label", "label", "severity", "entities", "span", "severity", "shape", "shape", None, "confidence"
+    ]
+    assert (got[10]["affected_services"], got[10]["confidence"]) == ([], 0.9)
     assert (got[0]["severity"], got[0]["affected_services"], got[0]["confidence"], got[0]["latency_ms"]) == ("P1", ["pay", "db"], 0.7, 42.0)
     assert (got[1]["affected_services"], got[1]["confidence"], got[1]["latency_ms"]) == ([], 0.0, 9.5)
 
 
+def test_hostile_alerts_are_rejected_or_kept_apart(spark):
+    base = {"service": "s", "metric": "m", "value": 1.5, "timestamp": "2024-01-02T03:04:05Z"}
+    cases = [
+        ({"value": 1e40}, None),
+        ({"value": "1d"}, "value"),
+        ({"timestamp": 1e30}, "timestamp"),
+        ({"timestamp": "10:30"}, "timestamp"),
+        ({"timestamp": "2024-01"}, "timestamp"),
+        ({"timestamp": "2024"}, None),
+        ({"timestamp": "1704067200"}, None),
+        ({"service": "a|b", "metric": "c"}, None),
+        ({"service": "a", "metric": "b|c"}, None),
+        ({"value": 1e-7}, None),
+        ({"value": 4e-7}, None),
+        ({"value": "NaN"}, None),
+        ({"value": "inf"}, None),
+        ({"incident_id": "~"}, None),
+        ({}, None),
+    ]
+    rows = [(n, None, json.dumps(base | change)) for n, (change, _) in enumerate(cases)]
+    deliveries = spark.createDataFrame(rows, "delivery_id bigint, idempotency_key string, body string")
+    deliveries = deliveries.withColumn("received_at", F.lit("2024-01-01").cast("timestamp"))
+    parsed = alerts.parse_alerts(deliveries).orderBy("delivery_id").collect()
+    assert [row["reason"] for row in parsed] == [reason for _, reason in cases]
+    keys = [row["alert_key"] for row in alerts.alert_keys(alerts.scan_alerts(deliveries)).collect()]
+    assert len(set(keys)) == len(keys) == sum(reason is None for _, reason in cases)
+
+
 def test_screen_is_never_an_implicit_pass(spark):
     got = verdicts.parse_screen(
         responses(

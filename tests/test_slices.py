@@ -69,7 +69,7 @@ def test_numbers_and_previous(spark, keys):
 def test_slices_bound_what_one_task_holds(spark):
     df = skewed(spark, 1, False)
     hot = slices.find_hot(df, ["k"], "t", 50)
-    assert [row["k"] for row in hot] == ["hot"]
+    assert [row["k"] for row in hot.collect()] == ["hot"]
     sizes = slices.with_slices(df, ["k"], "t", hot, 50).groupBy("k", slices.SLICE).count()
     assert sizes.agg(F.max("count")).first()[0] < 120
 
@@ -78,7 +78,7 @@ def test_a_burst_is_cut_again(spark):
     rows = [("hot", 1_000_000 + i % 500 if i < 900 else i * 50_000, i) for i in range(1000)]
     df = spark.createDataFrame(rows, "k string, t bigint, id bigint")
     hot = slices.find_hot(df, ["k"], "t", 20)
-    once = slices._cut(df, ["k"], "t", hot).groupBy(slices.SLICE).count().agg(F.max("count")).first()[0]
+    once = slices._cut(df, ["k"], F.col("t").cast("double"), hot, slices.SLICE, slices.HOT).groupBy(slices.SLICE).count().agg(F.max("count")).first()[0]
     cut = slices.with_slices(df, ["k"], "t", hot, 20)
     twice = cut.groupBy(slices.SLICE).count().agg(F.max("count")).first()[0]
     assert once >= 900 and twice <= 60
@@ -88,6 +88,19 @@ def test_a_burst_is_cut_again(spark):
     assert [row["n"] for row in numbers] == list(range(1, 1001))
 
 
+def test_nulls_ties_and_nested_bursts(spark):
+    """Nulls come first, rows of one time are cut by the tie column, and bursts inside bursts are cut."""
+    times = [None] * 40 + [7] * 300 + [10**9 + i % 3 for i in range(300)] + [10**6 * i for i in range(100)]
+    df = spark.createDataFrame([("hot", t, i) for i, t in enumerate(times)], "k string, t bigint, id bigint")
+    hot = slices.find_hot(df, ["k"], "t", 20)
+    cut = slices.with_slices(df, ["k"], "t", hot, 20, ("id",))
+    assert cut.groupBy(slices.SLICE).count().agg(F.max("count")).first()[0] <= 80
+    plain = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")).cast("bigint"))
+    assert rows_of(slices.numbered(df, ["k"], "t", "n", ("id",), 20).fillna(-1)) == rows_of(plain.fillna(-1))
+    back = df.withColumn("b", F.lag("id").over(Window.partitionBy("k").orderBy("t", "id")))
+    assert rows_of(slices.previous(df, ["k"], "t", {"b": "id"}, ("id",), 20).fillna(-1)) == rows_of(back.fillna(-1))
+
+
 def test_text_parts_join_to_the_whole_text(spark):
     df = skewed(spark, 2, False).withColumn("w", F.col("id").cast("string"))
     parts = slices.text_parts(df, ["k"], "t", "w", ",", ("id",), part_rows=30, slice_rows=40)
