@@ -8,8 +8,10 @@ probable part, and routes every query to its most probable ones; how many is the
 finds ROUTED of the sample's own neighbours, so the data decide. Routed queries are scored against
 all rows of those parts, exactly.
 
-Parts may be of any size: both sides meet in blocks of bounded size, each block passes on its own
-best, and these are ranked per query. Nearness is the largest inner product in double precision, ties go to the
+Parts may be of any size: neighbouring small ones share a bin, a large one is cut into blocks, so
+rows and queries meet in blocks of bounded size. A query goes once to each bin that holds parts of
+its own, is scored there against just those parts, and each block passes on its own best; these are
+ranked per query. Nearness is the largest inner product in double precision, ties go to the
 smaller id. Vectors that are null, zero, hold nulls or non-finite numbers, or are not as long as
 most vectors take no part; null ids neither. All rows of a query's own id are left out of its
 answer. Empty tables give an empty result.
@@ -32,8 +34,10 @@ ROWS_PER_PART = 1_000
 MOST_PARTS = 256
 ROUTED = 0.96
 HIDDEN = 64
-INDEX_BLOCK = 4_096
-QUERY_BLOCK = 512
+INDEX_BLOCK = 16_384
+QUERY_BLOCK = 2_048
+BLOCK_VALUES = 1 << 21  # numbers in a block: 16 MB
+PRODUCT_ROWS = 512
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -154,22 +158,36 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 1))
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
-    """(query, id, score) of the k best rows of each query; `ids` ascend."""
-    out = []
-    near = queries @ rows.T
-    near[query_ids[:, None] == ids[None, :]] = -np.inf
-    for n in range(len(queries)):
-        line = near[n]
-        if len(line) > k:
-            edge = np.partition(line, len(line) - k)[len(line) - k]
-            # products of equal vectors may differ in the last bits: score the doubtful ones alike
-            at = np.flatnonzero((line >= edge - 1e-9 * max(1.0, abs(edge))) & (line > -np.inf))
-        else:
-            at = np.flatnonzero(line > -np.inf)
-        score = (rows[at] * queries[n]).sum(1)
-        order = np.lexsort((ids[at], -score))[:k]
-        out += [(query_ids[n], ids[at[o]], score[o]) for o in order]
+def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    """(query_id, vec_id, score) of the k best rows of each query; `ids` ascend."""
+    found = []
+    for low in range(0, len(queries), PRODUCT_ROWS):
+        near = queries[low : low + PRODUCT_ROWS] @ rows.T
+        near[query_ids[low : low + PRODUCT_ROWS, None] == ids[None, :]] = -np.inf
+        for n, line in enumerate(near, low):
+            if len(line) > k:
+                edge = np.partition(line, len(line) - k)[len(line) - k]
+                # products of equal vectors may differ in the last bits: score the doubtful ones alike
+                at = np.flatnonzero((line >= edge - 1e-9 * max(1.0, abs(edge))) & (line > -np.inf))
+            else:
+                at = np.flatnonzero(line > -np.inf)
+            score = (rows[at] * queries[n]).sum(1)
+            order = np.lexsort((ids[at], -score))[:k]
+            found.append((np.full(len(order), query_ids[n]), ids[at[order]], score[order]))
+    if not found:
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    query, vec, score = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
+
+
+def binned(sizes: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """(part, bin, blocks): parts that halving split last share a bin of at most `most` rows; a larger part has its own."""
+    out, number, filled = [], -1, most
+    for part in sorted(sizes, key=lambda p: int(f"{p:016b}"[::-1], 2)):
+        if filled + sizes[part] > most:
+            number, filled = number + 1, 0
+        filled += sizes[part]
+        out.append((part, number, -(-filled // most)))
     return out
 
 
@@ -195,48 +213,59 @@ def search(
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     router = fit(matrix(sample["v"]), total, routed)
 
-    def route(queries: bool):
-        def run(batches):
-            for batch in batches:
-                ranked = router.ranked(matrix(batch["v"])) if len(batch) else np.zeros((0, 1), int)
-                yield batch.assign(parts=list(ranked[:, : router.probes if queries else 1].astype(np.int32)))
+    def place(batches):
+        for batch in batches:
+            ranked = router.ranked(matrix(batch["v"])) if len(batch) else np.zeros((0, 1), int)
+            yield batch.assign(part=ranked[:, 0].astype(np.int32))
+
+    index = written(rows.mapInPandas(place, "vec_id bigint, v array<double>, part int"), "ann-index")
+    # at most MOST_PARTS rows here and below
+    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
+    most = max(1, min(INDEX_BLOCK, BLOCK_VALUES // length[0]))
+    bins = binned(sizes, most)
+    bin_of = {part: number for part, number, _ in bins}
+
+    def route(batches):
+        for batch in batches:
+            ranked = router.ranked(matrix(batch["v"])) if len(batch) else np.zeros((0, 1), int)
+            sent = []
+            for n, parts in enumerate(ranked[:, : router.probes]):
+                wanted = {}
+                for part in parts:
+                    if part in bin_of:
+                        wanted.setdefault(bin_of[part], []).append(part)
+                sent += [(batch["vec_id"].iloc[n], batch["v"].iloc[n], number, parts) for number, parts in wanted.items()]
+            yield pd.DataFrame(sent, columns=["vec_id", "v", "bin", "parts"])
 
-        return run
-
-    kind = "vec_id bigint, v array<double>, parts array<int>"
-    index = written(
-        rows.mapInPandas(route(False), kind).select("vec_id", "v", F.col("parts")[0].alias("part")), "ann-index"
-    )
     asked = written(
-        rows.where(is_query(F.col("vec_id"))).mapInPandas(route(True), kind).select("vec_id", "v", F.explode("parts").alias("part")),
+        rows.where(is_query(F.col("vec_id"))).mapInPandas(route, "vec_id bigint, v array<double>, bin int, parts array<int>"),
         "ann-queries",
     )
-    # at most MOST_PARTS rows on either side
-    sizes = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / INDEX_BLOCK).alias("blocks"))
-    asks = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("q_blocks"))
-    sizes = F.broadcast(written(sizes.join(asks, "part"), "ann-sizes"))
+    asks = {r["bin"]: -(-r["count"] // QUERY_BLOCK) for r in asked.groupBy("bin").count().collect()}
+    home = [(part, number, blocks, asks[number]) for part, number, blocks in bins if number in asks]
+    home = spark.createDataFrame(home, "part int, bin int, blocks bigint, q_blocks bigint")
+    homes = F.broadcast(home)
+    met = F.broadcast(home.groupBy("bin").agg(F.max("blocks").alias("blocks"), F.max("q_blocks").alias("q_blocks")))
 
     def upto(n: str):
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
-    left = index.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    left = left.withColumn("q_block", upto("q_blocks")).select("part", "block", "q_block", "vec_id", "v")
-    right = asked.join(sizes, "part").withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.col("q_blocks")))
-    right = right.withColumn("block", upto("blocks")).select("part", "block", "q_block", "vec_id", "v")
+    left = index.join(homes, "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    left = left.withColumn("q_block", upto("q_blocks")).select("bin", "block", "q_block", "vec_id", "v", "part")
+    right = asked.join(met, "bin").withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.col("q_blocks")))
+    right = right.withColumn("block", upto("blocks")).select("bin", "block", "q_block", "vec_id", "v", "parts")
 
     def score(stored: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(stored) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        stored = stored.sort_values("vec_id", kind="stable")
-        found = []
-        matrix_of = matrix(stored["v"])
-        # a hash may put more than a block together: keep products small
-        for low in range(0, len(queries), QUERY_BLOCK):
-            part = queries.iloc[low : low + QUERY_BLOCK]
-            found += best(matrix(part["v"]), part["vec_id"].to_numpy(), matrix_of, stored["vec_id"].to_numpy(), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    keys = ["part", "block", "q_block"]
+        found = [best(np.zeros((0, 1)), np.zeros(0), np.zeros((0, 1)), np.zeros(0), k)]
+        if len(queries):
+            asking, asking_ids = matrix(queries["v"]), queries["vec_id"].to_numpy()
+            for part, here in stored.sort_values("vec_id", kind="stable").groupby("part"):
+                at = np.flatnonzero([part in wanted for wanted in queries["parts"]])
+                found.append(best(asking[at], asking_ids[at], matrix(here["v"]), here["vec_id"].to_numpy(), k))
+        found = pd.concat([f for f in found if len(f)] or found[:1]).drop_duplicates()
+        return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+    keys = ["bin", "block", "q_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
