@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from faultline.llm import byte_bpe, exact_dedup, jaccard_join, pareto_mix, toxicity
 from faultline.llm.queries import VOCABULARY, training_rows
 from faultline.llm.registry import table
-from faultline.llm.tables import fresh, written
+from faultline.llm.tables import col, fresh, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below one half; learned from the labels that may be learned from."""
     model = toxicity.train(docs, training_rows(table(spark, sf_dir, "labels")), "doc_id", "text", "toxic")
     (score,) = fresh(docs, "score")
-    return toxicity.score(docs, model, out=score).where(F.col(score) < 0.5).select(docs.columns)
+    return toxicity.score(docs, model, out=score).where(F.col(score) < 0.5).select([col(name) for name in docs.columns])
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,4 +83,5 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stay = shared.dropDuplicates([digest, order]).join(
         keepers, (col(digest) == keepers["digest"]) & (col(order) == keepers["keep_order"]), "left_semi"
     )
-    return alone.select(docs.columns).unionByName(stay.select(docs.columns))
+    own = [col(name) for name in docs.columns]
+    return alone.select(own).unionByName(stay.select(own))

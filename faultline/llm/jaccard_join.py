@@ -410,7 +410,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = docs.withColumn(name, F.concat(F.lpad(place.cast("string"), 20, "0"), F.lit("-"), F.hex(F.xxhash64(text))))
     found = join(named.select(col(name).alias("doc_id"), col(text_col).alias("text")))
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name))
-    return named.join(gone, name, "left_anti").select(docs.columns)
+    return named.join(gone, name, "left_anti").select([col(own) for own in docs.columns])
 
 
 def join(

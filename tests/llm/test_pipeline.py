@@ -64,7 +64,8 @@ def test_odd_rows_pass(spark, sf_dir):
         (3, "fine words here and there", None, "t", 1, "d"),
         (3, "fine words here and there", None, "t", 1, "d"),
     ]
-    docs = spark.createDataFrame(odd, "doc_id bigint, text string, lang string, source string, n_chars bigint, score string")
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, `a.b` string"
+    docs = spark.createDataFrame([(*row, "dotted") for row in odd], names)
     for table_ in (docs, docs.limit(0)):
         for name, stage in pipeline.STAGES:
             out = stage(spark, table_, sf_dir)
