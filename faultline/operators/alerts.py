@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from faultline.functions import jsonval
 from faultline.functions.text import STAMP, iso_time
 from faultline.plans.firsts import flag_first
-from faultline.plans.folds import fold_rows
-from faultline.plans.slices import SLICE_ROWS, find_hot, previous, running, settled
+from faultline.plans.folds import fold_slices
+from faultline.plans.slices import SLICE_ROWS, settled
 
 FIELDS = ("service", "metric", "value", "timestamp", "incident_id")
 
@@ -165,30 +165,21 @@ def token_bucket(
 ) -> DataFrame:
     """Allow or throttle requests (client, request_id, ts) with one bucket per client.
 
-    A bucket holds `limit` tokens and gains `limit` per window. After a pause of a whole
-    window it is full whatever happened before, so where a client is hot its requests fall
-    apart there into runs that are folded independently.
+    A bucket holds `limit` tokens and gains `limit` per window. A client that holds most requests
+    is folded in slices, which agree once the bucket was full again.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    timed = requests.select("client", "request_id", "ts", at.alias("t"))
-    hot = find_hot(timed, ["client"], "ts", slice_rows)
-    if hot:
-        spaced = previous(timed, ["client"], "ts", {"__before": "t"}, ("request_id",), slice_rows, hot)
-        rested = F.col("__before").isNull() | (F.col("t") - F.col("__before") > window_seconds * 1.01)
-        marked = spaced.withColumn("__start", F.when(rested, F.col("t")))
-        start = {"__run": ("last", F.col("__start"))}
-        runs = running(marked, ["client"], "ts", start, ("request_id",), slice_rows, hot)
-    else:
-        runs = timed.withColumn("__run", F.lit(0.0))
-    decided = fold_rows(
-        runs,
-        ["client", "__run"],
-        ["t", "request_id"],
+    decided = fold_slices(
+        requests.select("client", "request_id", "ts", at.alias("t")),
+        ["client"],
+        "ts",
+        ["request_id"],
         bucket_step(float(limit), limit / window_seconds),
         ["t"],
         ["allowed", "retry_after"],
         "client string, request_id bigint, allowed boolean, retry_after double",
         ["client", "request_id"],
+        slice_rows,
     )
     whole = F.greatest(F.lit(1), F.ceil("retry_after")).cast("bigint")
     return decided.withColumn("retry_after_seconds", F.when(~F.col("allowed"), whole))

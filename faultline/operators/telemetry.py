@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import vocab
-from faultline.plans.folds import fold_rows
+from faultline.plans.folds import fold_slices
 from faultline.plans.quantiles import exact_quantiles
-from faultline.plans.slices import SLICE_ROWS, bounded_frame, find_hot, running
+from faultline.plans.slices import SLICE_ROWS
 
 
 def span_rollup(spans: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -49,46 +49,23 @@ def breaker_states(
 ) -> DataFrame:
     """Breaker state each call (service, call_id, ts, ok) meets, whether it runs, and what it leaves.
 
-    A call that comes after a pause longer than the cooldown always runs; when it also succeeds,
-    nothing before it matters any more. Where a service is hot, its calls are cut after such
-    calls and the pieces folded independently.
+    A service that holds most calls is folded in slices, which agree once a call succeeded after a
+    pause longer than the cooldown, or the breaker opened alike.
     """
     if failures_to_open < 1:
         raise ValueError(f"failures_to_open must be at least 1, got {failures_to_open}")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    timed = calls.select("service", "call_id", "ts", "ok", at.alias("t"))
-    hot = find_hot(timed, ["service"], "ts", slice_rows)
-    if hot:
-        back = bounded_frame(
-            timed,
-            ["service"],
-            "ts",
-            2,
-            lambda window: {
-                "__ok1": F.lag("ok").over(window),
-                "__t1": F.lag("t").over(window),
-                "__t2": F.lag("t", 2).over(window),
-            },
-            ("call_id",),
-            slice_rows,
-            hot,
-        )
-        fresh = F.col("__ok1") & (F.col("__t2").isNull() | (F.col("__t1") - F.col("__t2") > cooldown))
-        marked = back.withColumn("__start", F.when(fresh, F.col("t")))
-        start = {"__run": ("last", F.col("__start"))}
-        runs = running(marked, ["service"], "ts", start, ("call_id",), slice_rows, hot)
-        runs = runs.fillna({"__run": -1.0})
-    else:
-        runs = timed.withColumn("__run", F.lit(-1.0))
-    return fold_rows(
-        runs,
-        ["service", "__run"],
-        ["t", "call_id"],
+    return fold_slices(
+        calls.select("service", "call_id", "ts", "ok", at.alias("t")),
+        ["service"],
+        "ts",
+        ["call_id"],
         breaker_step(failures_to_open, cooldown),
         ["t", "ok"],
         ["state", "runs", "state_after"],
         "service string, call_id bigint, state string, runs boolean, state_after string",
         ["service", "call_id"],
+        slice_rows,
     )
 
 

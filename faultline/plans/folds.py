@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
+from itertools import repeat
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from faultline.plans.slices import HOT, SLICE, SLICE_ROWS, find_hot, kept, with_slices
+
+BEGIN, END = "__begin", "__end"
+Step = Callable[[object, tuple], tuple[object, tuple]]
+
+
+def _state(text: str | None) -> tuple | None:
+    """A state from its JSON text, in which floats keep all their digits."""
+    return None if text is None else tuple(json.loads(text))
 
 
 def fold_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    step: Callable[[object, tuple], tuple[object, tuple]],
+    step: Step,
     inputs: Sequence[str],
     outputs: Sequence[str],
     schema: str,
     keep: Sequence[str],
+    begin: str | None = None,
 ) -> DataFrame:
     """Run `step(state, input values) -> (state, output values)` along each key.
 
-    The state starts as None per key. Keys lie next to each other in sorted partitions, which
-    arrive in Arrow batches: memory is bounded by a batch, and many short keys cost nothing
-    extra. `keep` columns are passed through.
+    The state starts as None per key, or as what the column `begin` says. Keys lie next to each
+    other in sorted partitions, which arrive in Arrow batches: memory is bounded by a batch, and
+    many short keys cost nothing extra. `keep` columns are passed through.
     """
     keys, inputs, outputs, keep = list(keys), list(inputs), list(outputs), list(keep)
 
@@ -32,9 +47,10 @@ def fold_rows(
             rows = []
             marks = zip(*[batch[key].tolist() for key in keys])
             values = zip(*[batch[name].tolist() for name in inputs])
-            for mark, value in zip(marks, values):
+            starts = batch[begin].tolist() if begin else repeat(None)
+            for mark, value, start in zip(marks, values, starts):
                 if mark != here:
-                    here, state = mark, None
+                    here, state = mark, _state(start)
                 state, out = step(state, value)
                 rows.append(out)
             made = pd.DataFrame(rows, columns=outputs, index=batch.index, dtype=object)
@@ -43,3 +59,67 @@ def fold_rows(
     return (
         df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
     )
+
+
+def _ends(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, inputs: Sequence[str]) -> DataFrame:
+    """(keys, `__begin`, `__end`): the state that each key's fold leaves, from the state it begins with."""
+    keys = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, begin, state = None, None, None
+        for batch in batches:
+            done = []
+            marks = zip(*[batch[key].tolist() for key in keys])
+            values = zip(*[batch[name].tolist() for name in inputs])
+            for mark, value, start in zip(marks, values, batch[BEGIN].tolist()):
+                if mark != here:
+                    if here is not None:
+                        done.append((*here, begin, json.dumps(state)))
+                    here, begin, state = mark, start, _state(start)
+                state, _ = step(state, value)
+            if done:
+                yield pd.DataFrame(done, columns=[*keys, BEGIN, END])
+        if here is not None:
+            yield pd.DataFrame([(*here, begin, json.dumps(state))], columns=[*keys, BEGIN, END])
+
+    fields = [df.schema[key] for key in keys] + [T.StructField(name, T.StringType()) for name in (BEGIN, END)]
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, T.StructType(fields))
+
+
+def fold_slices(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    tie: Sequence[str],
+    step: Step,
+    inputs: Sequence[str],
+    outputs: Sequence[str],
+    schema: str,
+    keep: Sequence[str],
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """`fold_rows` for keys that may hold most rows; the same result. Step states are tuples of numbers.
+
+    Hot keys are cut into slices that are folded side by side, as if nothing came before. Slices
+    that begin otherwise than the one before them ends are folded again, until none does: each
+    round settles one more slice at least, and all of them as soon as states no longer depend on
+    where they began. One small row per slice is kept between rounds.
+    """
+    hot = find_hot(df, keys, order, slice_rows)
+    by = [order, *tie]
+    if not hot:
+        return fold_rows(df, keys, by, step, inputs, outputs, schema, keep)
+    cut = kept(with_slices(df, keys, order, hot, slice_rows, tie))
+    slices = [*keys, SLICE]
+    chain = Window.partitionBy(*keys).orderBy(SLICE)
+    begun = cut.where(HOT).withColumn(BEGIN, F.lit(None).cast("string"))
+    ends = kept(_ends(begun, slices, by, step, inputs))
+    while True:
+        before = ends.select(*slices, F.col(BEGIN).alias("__was"), F.lag(END).over(chain).alias(BEGIN))
+        stale = kept(before.where(~F.col(BEGIN).eqNullSafe(F.col("__was"))).drop("__was"))
+        if stale.isEmpty():
+            break
+        again = _ends(cut.join(stale, slices), slices, by, step, inputs)
+        ends = kept(ends.join(stale, slices, "left_anti").unionByName(again))
+    placed = cut.join(ends.drop(END), slices, "left")
+    return fold_rows(placed, slices, by, step, inputs, outputs, schema, keep, BEGIN)

@@ -63,10 +63,10 @@ def find_hot(
     if large.isEmpty():
         return []
     parts = F.least(F.ceil(F.col("__n") / float(slice_rows)), F.lit(1 << FIRST_BITS)).cast("double").alias("__parts")
-    return _kept(large.select(*keys, "__lo", "__hi", parts))
+    return kept(large.select(*keys, "__lo", "__hi", parts))
 
 
-def _kept(table: DataFrame) -> DataFrame:
+def kept(table: DataFrame) -> DataFrame:
     """Written, so that every plan that uses the table cuts by the same figures."""
     path = scratch_path(table.sparkSession, "slices")
     table.write.parquet(path)
@@ -115,7 +115,7 @@ def _crowded(
         parts.alias("__parts"),
         by_tie.alias("__by_tie"),
     ).where("__hi > __lo")
-    return None if ranged.isEmpty() else _kept(ranged)
+    return None if ranged.isEmpty() else kept(ranged)
 
 
 def _cut(df: DataFrame, keys: Sequence[str], at: Column, table: DataFrame, name: str, flag: str) -> DataFrame:

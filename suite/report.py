@@ -8,7 +8,7 @@ from faultline.functions import vocab
 from faultline.operators import eventlog, lifecycle, report, telemetry
 from suite.duck import OPEN_LOG, text
 from suite.eventlog import AFFECTED, ALL_EDGES, GAPS, LINES, TIMELINE
-from suite.registry import query
+from suite.registry import CHECKS, query
 from suite.views import derive, read
 
 EDGE_TEXT = """
@@ -167,6 +167,20 @@ def breaker_states(spark, sf_dir):
     return telemetry.breaker_states(derive(spark, sf_dir, "v_calls"), FAILS, COOLDOWN)
 
 
+# one service takes a third of all calls
+CHECKS["breaker_states_busy"] = (
+    CHECKS["breaker_states"]
+    .replace("SELECT service, call_id, epoch_us(ts)", "SELECT CASE WHEN call_id % 3 = 0 THEN 'busy' ELSE service END AS service, call_id, epoch_us(ts)")
+    .replace("PARTITION BY service ORDER", "PARTITION BY CASE WHEN call_id % 3 = 0 THEN 'busy' ELSE service END ORDER")
+)
+
+
+@query("breaker_states_busy")
+def breaker_states_busy(spark, sf_dir):
+    busy = F.when(F.col("call_id") % 3 == 0, "busy").otherwise(F.col("service"))
+    return telemetry.breaker_states(derive(spark, sf_dir, "v_calls").withColumn("service", busy), FAILS, COOLDOWN, 1_000)
+
+
 @query(
     "retry_outcomes",
     """WITH a AS (SELECT *, outcome = 'error' AND (status IS NULL OR status IN (408, 425, 429, 500, 502, 503, 504)) AND attempt < 3 AS again FROM v_attempts),

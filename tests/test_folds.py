@@ -12,22 +12,25 @@ from faultline.operators import alerts, telemetry
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
-def requests(spark, seed):
-    """One client sends a third of everything, in bursts with pauses."""
+def requests(spark, seed, gaps):
+    """One client sends a third of everything."""
     rnd = random.Random(seed)
     rows, clocks = [], {}
     for number in range(600):
         client = "hot" if number % 3 == 0 else f"c{rnd.randrange(20)}"
-        gap = rnd.choice([0, 1, 1, 2, 5, 90])
+        gap = rnd.choice(gaps)
         clocks[client] = clocks.get(client, 0) + gap
         rows.append((client, number, START + timedelta(seconds=clocks[client])))
     return spark.createDataFrame(rows, "client string, request_id bigint, ts timestamp"), rows
 
 
-@pytest.mark.parametrize("slice_rows", [10, 1_000_000])
-@pytest.mark.parametrize("limit", [1, 7])
-def test_token_bucket(spark, slice_rows, limit):
-    df, rows = requests(spark, limit)
+PAUSES = [0, 1, 1, 2, 5, 90]
+NO_PAUSE = [0, 1, 2, 15]
+
+
+@pytest.mark.parametrize("slice_rows, limit, gaps", [(10, 1, PAUSES), (10, 7, PAUSES), (50, 7, NO_PAUSE), (1_000_000, 7, PAUSES)])
+def test_token_bucket(spark, slice_rows, limit, gaps):
+    df, rows = requests(spark, limit, gaps)
     want, state = {}, {}
     for client, number, ts in sorted(rows, key=lambda row: (row[2], row[1])):
         now = ts.timestamp()
@@ -43,13 +46,13 @@ def test_token_bucket(spark, slice_rows, limit):
     assert not all(want.values()) and any(want.values())
 
 
-@pytest.mark.parametrize("slice_rows", [10, 1_000_000])
-def test_breaker(spark, slice_rows):
+@pytest.mark.parametrize("slice_rows, gaps", [(20, [1, 1, 3, 10, 40]), (40, [0, 1, 2]), (1_000_000, [1, 1, 3, 10, 40])])
+def test_breaker(spark, slice_rows, gaps):
     rnd = random.Random(8)
     rows, clocks = [], {}
     for number in range(900):
         service = "hot" if number % 3 == 0 else f"s{rnd.randrange(6)}"
-        clocks[service] = clocks.get(service, 0) + rnd.choice([1, 1, 3, 10, 40])
+        clocks[service] = clocks.get(service, 0) + rnd.choice(gaps)
         rows.append((service, number, START + timedelta(seconds=clocks[service]), rnd.random() < 0.45))
     df = spark.createDataFrame(rows, "service string, call_id bigint, ts timestamp, ok boolean")
     want, fails, opened = {}, {}, {}
