@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import jsonval, vocab
 from faultline.operators.eventlog import INCIDENT, at, of_type, opened
+from faultline.plans.firsts import position
 from faultline.plans.slices import SLICE_ROWS, numbered, previous, settled
 
 
@@ -20,17 +21,25 @@ def legal_move(source: Column, target: Column) -> Column:
 def incident_state(log: DataFrame) -> DataFrame:
     """Last valid target state; INVESTIGATING once opened or alerted; else null.
 
-    Only transitions are parsed and ordered. The rest of the log is hash-aggregated from two
-    columns, and both sides end up partitioned by incident, which the join then shares.
+    One hash aggregate over the log: a state is its number in the list of states, a place in the
+    order a decimal. Payloads of transitions alone are parsed.
     """
-    every = log.groupBy("incident_id").agg(
-        F.bool_or(of_type(vocab.INCIDENT_OPENED, vocab.ALERT_RECEIVED)).alias("begun")
+    moved = F.when(of_type(vocab.STATE_TRANSITION), jsonval.open_payload(F.col("payload")))
+    target = F.nullif(F.array_position(F.array(*[F.lit(state) for state in vocab.STATES]), jsonval.text(moved, "$.to")), F.lit(0))
+    read = log.select(
+        "incident_id",
+        of_type(vocab.INCIDENT_OPENED, vocab.ALERT_RECEIVED).alias("begun"),
+        target.cast("bigint").alias("target"),
+        position(F.col("ts"), F.col("seq")).alias("place"),
     )
-    moves = transitions(log).where(F.col("to_state").isin(*vocab.STATES))
-    last = moves.groupBy("incident_id").agg(F.max_by("to_state", at()).alias("to_state"))
-    return every.join(last, "incident_id", "left").select(
+    last = read.groupBy("incident_id").agg(
+        F.max_by("target", F.when(F.col("target").isNotNull(), F.col("place"))).alias("target"),
+        F.bool_or("begun").alias("begun"),
+    )
+    names = F.array(*[F.lit(state) for state in vocab.STATES])
+    return last.select(
         "incident_id",
-        F.coalesce("to_state", F.when(F.col("begun"), F.lit(vocab.INVESTIGATING))).alias("state"),
+        F.coalesce(F.get(names, F.col("target") - 1), F.when(F.col("begun"), F.lit(vocab.INVESTIGATING))).alias("state"),
     )
 
 

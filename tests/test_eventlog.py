@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import vocab
 from faultline.operators import causal, eventlog, lifecycle, sinks, timeline
+from faultline.plans.firsts import flag_first, position
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "ts timestamp, incident_id string, seq bigint, event_type string, payload string"
@@ -204,3 +206,45 @@ def test_no_driver_collect_of_rows(spark):
     rows = log(spark, *[("a", {"n": n}) for n in range(5)])
     plan = eventlog.log_lines(rows).where(F.col("seq") > 1)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_state_of_a_log_with_ties_and_nulls(spark):
+    rnd = random.Random(6)
+    kinds = [vocab.STATE_TRANSITION] * 4 + [vocab.ALERT_RECEIVED, "other"]
+    targets = [*vocab.STATES, "unknown", None]
+    rows = []
+    for n in range(400):
+        ts = None if rnd.random() < 0.1 else START + timedelta(seconds=rnd.randrange(40))
+        payload = rnd.choice([json.dumps({"to": rnd.choice(targets)}), "no json", None])
+        rows.append((ts, f"i{n % 23}", None if n % 31 == 0 else rnd.choice([n, -n]), rnd.choice(kinds), payload))
+    want = {}
+    low = datetime(1, 1, 1, tzinfo=timezone.utc)
+    for ts, incident, seq, kind, payload in sorted(rows, key=lambda r: (r[0] or low, -(10**9) if r[2] is None else r[2])):
+        state, begun = want.get(incident, (None, False))
+        if kind == vocab.STATE_TRANSITION and payload and payload.startswith("{"):
+            to = json.loads(payload)["to"]
+            state = to if to in vocab.STATES else state
+        want[incident] = (state, begun or kind == vocab.ALERT_RECEIVED)
+    got = lifecycle.incident_state(spark.createDataFrame(rows, SCHEMA))
+    assert {r["incident_id"]: r["state"] for r in got.collect()} == {
+        i: s or (vocab.INVESTIGATING if b else None) for i, (s, b) in want.items()
+    }
+
+
+def test_state_and_first_rows_hash(spark, tmp_path):
+    """One scan and no sort for the state; no sort-based aggregate for first rows."""
+    log(spark, *[("a", {"n": n}) for n in range(5)]).write.parquet(f"{tmp_path}/log")
+    df = spark.read.parquet(f"{tmp_path}/log")
+    plan = lifecycle.incident_state(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("FileScan") == 1
+    first = flag_first(df, ["incident_id"], "seq", ["ts"], "first")
+    assert "SortAggregate" not in first._jdf.queryExecution().executedPlan().toString()
+    assert [r["seq"] for r in first.where("first").collect()] == [0]
+
+
+def test_positions_order_as_structs_do(spark):
+    times = [None, datetime(1900, 1, 1), datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 0, 1), datetime(9999, 12, 31)]
+    numbers = [None, -(1 << 62), -1, 0, 1, (1 << 63) - 1]
+    rows = spark.createDataFrame([(t, n) for t in times for n in numbers], "ts timestamp_ntz, seq bigint")
+    by_place = [tuple(r) for r in rows.orderBy(position(F.col("ts"), F.col("seq"))).collect()]
+    assert by_place == [(t, n) for t in times for n in numbers]
