@@ -153,8 +153,11 @@ def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts = F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"]))
         return F.array_join(parts, ",")
 
+    def of_kind(n):  # one parameter only: Spark would hand a second one the place in the array
+        return lambda s: s["kind"] == n
+
     counts = [
-        F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("bigint").alias(f"n_{kind}")
+        F.size(F.filter("base", of_kind(n))).cast("bigint").alias(f"n_{kind}")
         for n, kind in enumerate(disclosure.KINDS[:4])
     ]
     every = F.sort_array(F.concat("base", "more"))
