@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, disclosure, exact_dedup, jaccard_join, learned_partitions, license_join, merkle, pareto_mix, substring_dedup, toxicity
+from faultline.llm import byte_bpe, cover_tree, disclosure, exact_dedup, jaccard_join, learned_partitions, license_join, merkle, pareto_mix, substring_dedup, toxicity
 from faultline.llm.registry import CHECKS, QUERIES, query, table
 from faultline.llm.tables import written
 
@@ -219,3 +219,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_learned_partitions")
 def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_partitions.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+def _whole_numbers_sql(factor: int) -> str:
+    """Rows that take part, numbered, with floor(factor * x) per component."""
+    return f"""v AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor({factor} * x::DOUBLE)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+@query(
+    "op11_cover_tree",
+    f"""
+    WITH {_whole_numbers_sql(1024)},
+    s AS (SELECT q.rid, q.vec_id AS query_id, v.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, v.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+          FROM v q JOIN v ON q.rid <> v.rid WHERE q.vec_id % 100 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 10
+    """,
+)
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
