@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, cover_tree, disclosure, exact_dedup, jaccard_join, learned_partitions, license_join, merkle, pareto_mix, substring_dedup, toxicity
+from faultline.llm import byte_bpe, cover_tree, disclosure, exact_dedup, jaccard_join, learned_partitions, license_join, merkle, pareto_mix, substring_dedup, token_alignment, toxicity
 from faultline.llm.registry import CHECKS, QUERIES, query, table
 from faultline.llm.tables import written
 
@@ -238,3 +238,9 @@ def _whole_numbers_sql(factor: int) -> str:
 )
 def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return token_alignment.statistics(table(spark, sf_dir, "documents"), a.read(), b.read())
