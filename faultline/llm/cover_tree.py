@@ -44,7 +44,6 @@ MOST_LEAVES = 2_048
 FAN = 32  # children of a node
 BASE = 1.3
 SEEDED = 4  # times k
-QUERY_BLOCK = 2_048
 SLACK = 1e-9  # of a bound, for rounding
 FOUND = "asked bigint, vec_id bigint, score bigint"
 
@@ -182,18 +181,6 @@ class Index:
                 yield node, others.tolist()
 
 
-def binned(leaves: list[int], sizes: dict[int, int], most: int) -> list[tuple[int, int, int]]:
-    """(leaf, bin, blocks): neighbouring leaves share a bin of at most `most` rows; a larger leaf has its own, in blocks."""
-    out, number, filled = [], -1, most
-    for leaf in leaves:
-        if leaf in sizes:
-            if filled + sizes[leaf] > most:
-                number, filled = number + 1, 0
-            filled += sizes[leaf]
-            out.append((leaf, number, -(-filled // most)))
-    return out
-
-
 def met(stored: pd.DataFrame, asking: pd.DataFrame, width: int, k: int) -> pd.DataFrame:
     """A block of rows and a block of queries: each query's own best among the leaves it wants."""
     out = []
@@ -258,27 +245,12 @@ def search(
         sizes,
     )
     queries = placed.where("asks").select("rid", "vec_id", "v", "leaf")
-    homes = binned(tree.leaves(), sizes, max(1, min(vectors.BLOCK_ROWS, vectors.BLOCK_VALUES // width)))
-    home = F.broadcast(spark.createDataFrame(homes, "leaf bigint, bin bigint, blocks bigint"))
+    homes = vectors.binned(tree.leaves(), sizes, max(1, min(vectors.BLOCK_ROWS, vectors.BLOCK_VALUES // width)))
 
     def meet(pairs: DataFrame, asking: DataFrame) -> DataFrame:
         """Score all pairs (q_leaf, leaf) with the queries (rid, v, leaf, floor): each block's best."""
-        wants = pairs.join(home, "leaf").groupBy(F.col("q_leaf").alias("leaf"), "bin").agg(F.collect_list("leaf").alias("leaves"), F.max("blocks").alias("blocks"))
-        sent = written(asking.join(wants, "leaf").select("rid", "v", "floor", "bin", "leaves", "blocks"), "cover-asked")
-        asks = sent.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("q_blocks"), F.max("blocks").alias("blocks"))
-        asks = F.broadcast(asks)  # a row per bin, so no more than leaves
-
-        def every(n: str):
-            return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-
-        left = placed.join(home.select("leaf", "bin"), "leaf").join(asks, "bin")
-        left = left.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn("q_block", every("q_blocks"))
-        right = sent.drop("blocks").join(asks, "bin")
-        right = right.withColumn("q_block", F.pmod(F.xxhash64("rid"), F.col("q_blocks"))).withColumn("block", every("blocks"))
-        keys = ["bin", "block", "q_block"]
-        left = left.select(*keys, "rid", "vec_id", "v", "leaf").groupBy(*keys)
-        right = right.select(*keys, "rid", "v", "floor", "leaves").groupBy(*keys)
-        return left.cogroup(right).applyInPandas(lambda ours, theirs: met(ours, theirs, width, k), FOUND)
+        rows = placed.select("rid", "vec_id", "v", "leaf")
+        return vectors.in_blocks(rows, asking, pairs, homes, lambda ours, theirs: met(ours, theirs, width, k), FOUND)
 
     def seeded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, cover_tree, disclosure, exact_dedup, jaccard_join, learned_partitions, license_join, merkle, pareto_mix, substring_dedup, token_alignment, toxicity
+from faultline.llm import byte_bpe, cover_tree, disclosure, exact_dedup, hard_negatives, jaccard_join, learned_partitions, license_join, merkle, pareto_mix, substring_dedup, token_alignment, toxicity
 from faultline.llm.registry import CHECKS, QUERIES, query, table
 from faultline.llm.tables import written
 
@@ -240,6 +240,25 @@ def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
 
+@query(
+    "op12_hard_negatives",
+    f"""
+    WITH {_whole_numbers_sql(256)},
+    r AS (SELECT rid, vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM v WHERE label IS NOT NULL),
+    s AS (SELECT q.rid AS asked, q.vec_id AS anchor_id, r.rid, r.vec_id, q.label = r.label AS same,
+            coalesce(list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+          FROM r q JOIN r ON q.rid <> r.rid WHERE q.vec_id % 50 = 0),
+    p AS (SELECT asked, anchor_id, rid AS positive, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY asked, positive ORDER BY score DESC, vec_id)::INTEGER AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (asked) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+    """,
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:

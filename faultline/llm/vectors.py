@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.tables import col, fresh
+from faultline.llm.tables import col, fresh, written
 
 EXACT = float(1 << 53)  # doubles hold every whole number up to here
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 LARGEST = 1.7976931348623157e308
 BLOCK_ROWS = 16_384
+QUERY_BLOCK = 2_048
 BLOCK_VALUES = 1 << 21  # numbers in a block: 16 MB
 
 
@@ -70,3 +73,48 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     if len(at) > k:
         at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
     return at[np.lexsort((ids[at], -scores[at]))][:k]
+
+
+def binned(leaves: list[int], sizes: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """(leaf, bin, blocks): neighbouring leaves share a bin of at most `most` rows; a larger leaf has its own, in blocks."""
+    out, number, filled = [], -1, most
+    for leaf in leaves:
+        if leaf in sizes:
+            if filled + sizes[leaf] > most:
+                number, filled = number + 1, 0
+            filled += sizes[leaf]
+            out.append((leaf, number, -(-filled // most)))
+    return out
+
+
+def in_blocks(
+    rows: DataFrame,
+    asking: DataFrame,
+    pairs: DataFrame,
+    homes: list[tuple[int, int, int]],
+    score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    schema: str,
+) -> DataFrame:
+    """`score` of every block of rows with every block of the queries that want some of its leaves.
+
+    `rows` and `asking` have (rid, leaf, ...), `pairs` (q_leaf, leaf): what queries want; `homes` says
+    in which bin each leaf lies and how many blocks the bin has. A query goes once to every block
+    of a bin, with the `leaves` it wants there.
+    """
+    home = F.broadcast(rows.sparkSession.createDataFrame(homes, "leaf bigint, bin bigint, blocks bigint"))
+    wants = pairs.join(home, "leaf").groupBy(F.col("q_leaf").alias("leaf"), "bin")
+    wants = wants.agg(F.collect_list("leaf").alias("leaves"), F.max("blocks").alias("blocks"))
+    sent = written(asking.join(wants, "leaf").drop("leaf"), "blocks-asked")
+    # a row per bin, so no more than leaves
+    asks = F.broadcast(sent.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("q_blocks"), F.max("blocks").alias("blocks")))
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    left = rows.join(home.select("leaf", "bin"), "leaf").join(asks, "bin")
+    left = left.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn("q_block", every("q_blocks"))
+    right = sent.drop("blocks").join(asks, "bin")
+    right = right.withColumn("q_block", F.pmod(F.xxhash64("rid"), F.col("q_blocks"))).withColumn("block", every("blocks"))
+    keys = ["bin", "block", "q_block"]
+    left, right = (side.drop("blocks", "q_blocks").groupBy(*keys) for side in (left, right))
+    return left.cogroup(right).applyInPandas(score, schema)

@@ -56,7 +56,7 @@ def test_floors_are_those_of_doubles(spark):
 @pytest.mark.parametrize("noise", [0.05, 3.0])
 def test_many_leaves_blocks_and_a_hot_vector(spark, monkeypatch, noise):
     monkeypatch.setattr(C, "ROWS_PER_LEAF", 20)
-    monkeypatch.setattr(C, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 150)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 8))
