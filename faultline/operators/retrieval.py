@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonval, vocab
-from faultline.functions.text import strip, words
-
-CHUNK = ("content_id", "chunk_index")
+from faultline.functions.text import strip
+from faultline.operators import postings
+from faultline.operators.postings import CHUNK
 
 
 def intent_queries(symptoms: DataFrame) -> DataFrame:
@@ -72,35 +72,10 @@ def search_topk(
 ) -> DataFrame:
     """The `k` best chunks (content_id, chunk_index, chunk_text, title) per (query_id, query).
 
-    Scores are rounded to 6 digits; ties go to the lower id. Only words that some query uses
-    leave the scan, and the rank limit is applied before the rows of a query meet.
+    Scores are rounded to 6 digits; ties go to the lower id. An index is stored and searched once;
+    `postings.build_index` keeps one for many searches.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    sized = chunks.select(*CHUNK, words(F.col("chunk_text")).alias("w")).withColumn("size", F.size("w"))
-    scale = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-    total, mean = scale.select("n").scalar(), scale.select("mean").scalar()
-    used = asked.select("term").distinct()
-    hits = (
-        sized.select(*CHUNK, "size", F.explode("w").alias("term"))
-        .join(used, "term", "left_semi")
-        .groupBy(*CHUNK, "size", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.ln(F.lit(1.0) + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    wanted = asked.join(spread.withColumn("idf", weight), "term").select("query_id", "term", "idf")
-    norm = k1 * (1 - b + b * F.col("size") / mean)
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    # by document, which is one input row, so that the sums per query below need no shuffle of
-    # the far more numerous candidate pairs
-    scored = (
-        hits.repartition("content_id")
-        .join(wanted, "term")
-        .groupBy("query_id", *CHUNK)
-        .agg(F.round(F.sum(part), 6).alias("score"))
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), *CHUNK)
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    top = postings.ranked(postings.build_index(chunks, k1, b), queries, k)
     shown = chunks.select(*CHUNK, "chunk_text", "title")
     return shown.join(top, list(CHUNK)).select(
         "query_id", "rank", "score", "content_id", "chunk_index", "title", "chunk_text"

@@ -64,15 +64,14 @@ def precedent_query(spark, sf_dir):
     return retrieval.precedent_query(derive(spark, sf_dir, "v_log"))
 
 
-@query(
-    "kb_chunks",
-    r"""WITH p AS (SELECT content_id, title, unnest(string_split_regex(text, '\n(?:[ \t]*\n)+')) AS part,
+KB_CHUNKS_SQL = r"""WITH p AS (SELECT content_id, title, unnest(string_split_regex(text, '\n(?:[ \t]*\n)+')) AS part,
          unnest(range(len(string_split_regex(text, '\n(?:[ \t]*\n)+')))) AS pi FROM v_docs),
     c AS (SELECT content_id, title, pi, ci, substring(part, ci * 1000 + 1, 1000) AS chunk_text
           FROM (SELECT *, unnest(range((length(part) - 1) // 1000 + 1)) AS ci FROM p WHERE trim(part) <> ''))
-    SELECT content_id, title, row_number() OVER (PARTITION BY content_id ORDER BY pi, ci) - 1 AS chunk_index, chunk_text FROM c""",
-    ("v_docs",),
-)
+    SELECT content_id, title, row_number() OVER (PARTITION BY content_id ORDER BY pi, ci) - 1 AS chunk_index, chunk_text FROM c"""
+
+
+@query("kb_chunks", KB_CHUNKS_SQL, ("v_docs",))
 def kb_chunks(spark, sf_dir):
     return retrieval.kb_chunks(derive(spark, sf_dir, "v_docs"))
 
@@ -132,6 +131,21 @@ def grounding_check(spark, sf_dir):
     return retrieval.grounding_check(asked, retrieval.search_topk(chunks(spark, sf_dir), asked))
 
 
+@query(
+    "chunk_search",
+    f"""WITH kc AS ({KB_CHUNKS_SQL}), {bm25(
+        f"SELECT content_id * 1000000 + chunk_index AS content_id, {WORDS.format('chunk_text')} AS words FROM kc",
+        f"SELECT DISTINCT item_id AS query_id, unnest({WORDS.format('text')}) AS term FROM benchmark",
+        3,
+    )}
+    SELECT query_id, rank, score, kc.content_id, chunk_index, title, chunk_text FROM top JOIN kc ON top.content_id = kc.content_id * 1000000 + chunk_index""",
+    ("v_docs",),
+)
+def chunk_search(spark, sf_dir):
+    """Documents cut into chunks, stored as an index, searched for every benchmark item."""
+    return retrieval.search_topk(retrieval.kb_chunks(derive(spark, sf_dir, "v_docs")), items(spark, sf_dir))
+
+
 @query(
     "vector_topk",
     """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
