@@ -140,23 +140,79 @@ def alert_sentence(deliveries: DataFrame) -> DataFrame:
     return rows.withColumn("sentence", F.coalesce(known, other)).drop("__f")
 
 
-def refill(tokens: float, last: float, now: float, capacity: float, rate: float) -> float:
-    return min(capacity, tokens + (now - last) * rate)
+SECOND = 1_000_000  # microseconds
+BEFORE = -(1 << 62)  # requests without a time come before all others
 
 
-def bucket_step(capacity: float, rate: float):
-    """One request against a bucket: state is (tokens, last time), output (allowed, retry_after)."""
+def bucket_sizes(limit: int, window_seconds: float) -> tuple[int, int]:
+    """(a full bucket, one token) in parts of which a microsecond adds `limit`: whole numbers keep sums exact."""
+    token = round(window_seconds * SECOND)
+    return limit * token, token
 
-    def step(state: tuple[float, float] | None, value: tuple[float]) -> tuple[tuple, tuple]:
-        (now,) = value
-        tokens = capacity if state is None else refill(*state, now, capacity, rate)
-        if tokens >= 1.0:
-            return (tokens - 1.0, now), (True, None)
-        return (tokens, now), (False, (1.0 - tokens) / rate)
+
+def bucket_step(limit: int, window_seconds: float):
+    """One request against a bucket: state is (parts left, last time), output (allowed, retry_after)."""
+    full, token = bucket_sizes(limit, window_seconds)
+
+    def step(state: tuple[int, int] | None, value: tuple[int]) -> tuple[tuple, tuple]:
+        now = int(value[0])
+        left = full if state is None else min(full, int(state[0]) + (now - int(state[1])) * limit)
+        if left >= token:
+            return (left - token, now), (True, None)
+        return (left, now), (False, (token - left) / limit / SECOND)
 
     return step
 
 
+def bucket_outline(limit: int, window_seconds: float):
+    """What a run of requests does to any bucket.
+
+    With y parts before the first request a bucket ends with y + c or with a constant: pieces
+    (from, slope, c) over y. A bucket holds at most `limit` tokens, and pieces begin where buckets
+    come to differ by a whole token or to be full alike: a few for each token of the limit.
+    """
+    full, token = bucket_sizes(limit, window_seconds)
+
+    def outline(requests: list[tuple[int]]) -> dict:
+        pieces, last = [(0, 1, 0)], None
+        for (now,) in requests:
+            now = int(now)
+            gain = 0 if last is None else (now - last) * limit
+            last, made = now, []
+            for n, (low, slope, c) in enumerate(pieces):
+                high = pieces[n + 1][0] if n + 1 < len(pieces) else full + 1
+                c += gain
+                # where this piece fills the bucket, then where it has a token
+                parts = [(low, slope, c)] if slope else [(low, 0, min(c, full))]
+                if slope and full - c < high:
+                    parts = ([(low, 1, c)] if low < full - c else []) + [(max(low, full - c), 0, full)]
+                for m, (begin, slope, c) in enumerate(parts):
+                    end = parts[m + 1][0] if m + 1 < len(parts) else high
+                    if not slope:
+                        made.append((begin, 0, c - token if c >= token else c))
+                        continue
+                    if begin < token - c:
+                        made.append((begin, 1, c))
+                    if token - c < end:
+                        made.append((max(begin, token - c), 1, c - token))
+            pieces = [piece for n, piece in enumerate(made) if not n or piece[1:] != made[n - 1][1:]]
+        return {"first": int(requests[0][0]), "last": last, "pieces": pieces}
+
+    return outline
+
+
+def bucket_enter(limit: int, window_seconds: float):
+    """The state that an outlined run leaves after a given one."""
+    full, _ = bucket_sizes(limit, window_seconds)
+
+    def enter(state: tuple | None, outlined: dict) -> tuple:
+        left = full if state is None else min(full, state[0] + (outlined["first"] - state[1]) * limit)
+        _, slope, c = max(piece for piece in outlined["pieces"] if piece[0] <= left)
+        return slope * left + c, outlined["last"]
+
+    return enter
+
+
 def token_bucket(
     requests: DataFrame,
     limit: int,
@@ -166,15 +222,17 @@ def token_bucket(
     """Allow or throttle requests (client, request_id, ts) with one bucket per client.
 
     A bucket holds `limit` tokens and gains `limit` per window. A client that holds most requests
-    is folded in slices, which agree once the bucket was full again.
+    is folded in slices; what each does to any bucket is found first.
     """
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(BEFORE))
     decided = fold_slices(
         requests.select("client", "request_id", "ts", at.alias("t")),
         ["client"],
         "ts",
         ["request_id"],
-        bucket_step(float(limit), limit / window_seconds),
+        bucket_step(limit, window_seconds),
+        bucket_outline(limit, window_seconds),
+        bucket_enter(limit, window_seconds),
         ["t"],
         ["allowed", "retry_after"],
         "client string, request_id bigint, allowed boolean, retry_after double",

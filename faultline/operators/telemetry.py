@@ -41,6 +41,61 @@ def breaker_step(failures_to_open: int, cooldown: float):
     return step
 
 
+def breaker_outline(failures_to_open: int, cooldown: float):
+    """What a run of calls does to any breaker state.
+
+    A closed breaker has one of `failures_to_open` counts, so it ends in one of as many states. One
+    that was opened before the run ends as if its probe were the first call late enough: the run
+    gives the last time of every stretch of calls that, as probes, lead to one end.
+    """
+
+    def outline(calls: list[tuple[float, bool]]) -> dict:
+        n = len(calls)
+        probe, at = [n] * n, 0  # the first call that may try again after each
+        for j, (opened, _) in enumerate(calls):
+            at = max(at, j + 1)
+            while at < n and not calls[at][0] - opened >= cooldown:
+                at += 1
+            probe[j] = at
+        closed = [(count, None) for count in range(failures_to_open)]
+        ends: list[tuple | None] = [None] * n
+        for j in range(n - 1, -1, -1):
+            now, ok = calls[j]
+            if ok:
+                ends[j] = closed[0]
+                closed = [closed[0]] * failures_to_open
+            else:
+                ends[j] = ends[probe[j]] if probe[j] < n else (failures_to_open, now)
+                closed = [*closed[1:], ends[j]]
+        times, then = [], []
+        for j, (now, _) in enumerate(calls):
+            if then and then[-1] == ends[j]:
+                times[-1] = now
+            else:
+                times.append(now)
+                then.append(ends[j])
+            if now - calls[0][0] >= cooldown:  # no breaker that was opened before waits longer
+                break
+        return {"closed": closed, "times": times, "then": then}
+
+    return outline
+
+
+def breaker_enter(cooldown: float):
+    """The state that an outlined run leaves after a given one."""
+
+    def enter(state: tuple | None, outlined: dict) -> tuple:
+        failures, opened = state or (0, None)
+        if opened is None:
+            return tuple(outlined["closed"][failures])
+        for now, end in zip(outlined["times"], outlined["then"]):
+            if now - opened >= cooldown:
+                return tuple(end)
+        return failures, opened
+
+    return enter
+
+
 def breaker_states(
     calls: DataFrame,
     failures_to_open: int = vocab.BREAKER_FAILURES,
@@ -49,8 +104,7 @@ def breaker_states(
 ) -> DataFrame:
     """Breaker state each call (service, call_id, ts, ok) meets, whether it runs, and what it leaves.
 
-    A service that holds most calls is folded in slices, which agree once a call succeeded after a
-    pause longer than the cooldown, or the breaker opened alike.
+    A service that holds most calls is folded in slices; what each does to any state is found first.
     """
     if failures_to_open < 1:
         raise ValueError(f"failures_to_open must be at least 1, got {failures_to_open}")
@@ -61,6 +115,8 @@ def breaker_states(
         "ts",
         ["call_id"],
         breaker_step(failures_to_open, cooldown),
+        breaker_outline(failures_to_open, cooldown),
+        breaker_enter(cooldown),
         ["t", "ok"],
         ["state", "runs", "state_after"],
         "service string, call_id bigint, state string, runs boolean, state_after string",

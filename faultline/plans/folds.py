@@ -7,14 +7,16 @@ from collections.abc import Callable, Iterator, Sequence
 from itertools import repeat
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.plans.slices import HOT, SLICE, SLICE_ROWS, find_hot, kept, with_slices
 
-BEGIN, END = "__begin", "__end"
+BEGIN, EFFECT = "__begin", "__effect"
 Step = Callable[[object, tuple], tuple[object, tuple]]
+Outline = Callable[[list], object]
+Enter = Callable[[object, object], tuple]
 
 
 def _state(text: str | None) -> tuple | None:
@@ -29,7 +31,7 @@ def fold_rows(
     step: Step,
     inputs: Sequence[str],
     outputs: Sequence[str],
-    schema: str,
+    schema: str | T.StructType,
     keep: Sequence[str],
     begin: str | None = None,
 ) -> DataFrame:
@@ -61,29 +63,28 @@ def fold_rows(
     )
 
 
-def _ends(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, inputs: Sequence[str]) -> DataFrame:
-    """(keys, `__begin`, `__end`): the state that each key's fold leaves, from the state it begins with."""
+def _effects(df: DataFrame, keys: Sequence[str], order: Sequence[str], outline: Outline, inputs: Sequence[str]) -> DataFrame:
+    """(keys, `__effect`): what each key's rows do to any state, as text. A key's inputs are held in memory."""
     keys = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, begin, state = None, None, None
+        here, values = None, []
         for batch in batches:
             done = []
             marks = zip(*[batch[key].tolist() for key in keys])
-            values = zip(*[batch[name].tolist() for name in inputs])
-            for mark, value, start in zip(marks, values, batch[BEGIN].tolist()):
+            for mark, value in zip(marks, zip(*[batch[name].tolist() for name in inputs])):
                 if mark != here:
                     if here is not None:
-                        done.append((*here, begin, json.dumps(state)))
-                    here, begin, state = mark, start, _state(start)
-                state, _ = step(state, value)
+                        done.append((*here, json.dumps(outline(values))))
+                    here, values = mark, []
+                values.append(value)
             if done:
-                yield pd.DataFrame(done, columns=[*keys, BEGIN, END])
+                yield pd.DataFrame(done, columns=[*keys, EFFECT])
         if here is not None:
-            yield pd.DataFrame([(*here, begin, json.dumps(state))], columns=[*keys, BEGIN, END])
+            yield pd.DataFrame([(*here, json.dumps(outline(values)))], columns=[*keys, EFFECT])
 
-    fields = [df.schema[key] for key in keys] + [T.StructField(name, T.StringType()) for name in (BEGIN, END)]
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, T.StructType(fields))
+    schema = T.StructType([df.schema[key] for key in keys] + [T.StructField(EFFECT, T.StringType())])
+    return df.select(*keys, *order, *[name for name in inputs if name not in order]).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def fold_slices(
@@ -92,6 +93,8 @@ def fold_slices(
     order: str,
     tie: Sequence[str],
     step: Step,
+    outline: Outline,
+    enter: Enter,
     inputs: Sequence[str],
     outputs: Sequence[str],
     schema: str,
@@ -100,10 +103,11 @@ def fold_slices(
 ) -> DataFrame:
     """`fold_rows` for keys that may hold most rows; the same result. Step states are tuples of numbers.
 
-    Hot keys are cut into slices that are folded side by side, as if nothing came before. Slices
-    that begin otherwise than the one before them ends are folded again, until none does: each
-    round settles one more slice at least, and all of them as soon as states no longer depend on
-    where they began. One small row per slice is kept between rounds.
+    `outline(values)` tells, as something JSON can hold, what a run of rows does to any state, and
+    `enter(state, outlined)` the state it leaves after a given one. Hot keys are cut into slices, all
+    of which are outlined side by side; then one pass over the outlines, a row per slice, gives the
+    state that each slice begins with, and the slices are folded side by side. Every row is read
+    twice, whatever the data: nothing is folded again.
     """
     hot = find_hot(df, keys, order, slice_rows)
     by = [order, *tie]
@@ -111,15 +115,12 @@ def fold_slices(
         return fold_rows(df, keys, by, step, inputs, outputs, schema, keep)
     cut = kept(with_slices(df, keys, order, hot, slice_rows, tie))
     slices = [*keys, SLICE]
-    chain = Window.partitionBy(*keys).orderBy(SLICE)
-    begun = cut.where(HOT).withColumn(BEGIN, F.lit(None).cast("string"))
-    ends = kept(_ends(begun, slices, by, step, inputs))
-    while True:
-        before = ends.select(*slices, F.col(BEGIN).alias("__was"), F.lag(END).over(chain).alias(BEGIN))
-        stale = kept(before.where(~F.col(BEGIN).eqNullSafe(F.col("__was"))).drop("__was"))
-        if stale.isEmpty():
-            break
-        again = _ends(cut.join(stale, slices), slices, by, step, inputs)
-        ends = kept(ends.join(stale, slices, "left_anti").unionByName(again))
-    placed = cut.join(ends.drop(END), slices, "left")
+
+    def begin(state: object, value: tuple) -> tuple[object, tuple]:
+        return tuple(enter(state, json.loads(value[0]))), (None if state is None else json.dumps(state),)
+
+    effects = _effects(cut.where(HOT), slices, by, outline, inputs)
+    fields = [df.schema[key] for key in keys] + [T.StructField(SLICE, T.LongType()), T.StructField(BEGIN, T.StringType())]
+    begun = kept(fold_rows(effects, keys, [SLICE], begin, [EFFECT], [BEGIN], T.StructType(fields), slices))
+    placed = cut.join(begun, slices, "left")
     return fold_rows(placed, slices, by, step, inputs, outputs, schema, keep, BEGIN)

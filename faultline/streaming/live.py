@@ -91,14 +91,14 @@ def stream_alert_dedupe(alerts: DataFrame, delay: str = "10 minutes") -> DataFra
 def stream_token_bucket(requests: DataFrame, limit: int, window_seconds: float = 60.0) -> DataFrame:
     """Live rate limit of requests (client, request_id, ts)."""
     return fold_stream(
-        requests.select("client", "request_id", seconds("ts").alias("t")),
+        requests.select("client", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")),
         ["client"],
-        bucket_step(float(limit), limit / window_seconds),
+        bucket_step(limit, window_seconds),
         "t",
         ["t"],
         ["allowed", "retry_after"],
         ["client", "request_id"],
-        "tokens double, last double",
+        "parts bigint, last bigint",
         "client string, request_id bigint, allowed boolean, retry_after double, late boolean",
         ["request_id"],
     )

@@ -72,6 +72,53 @@ def test_breaker(spark, slice_rows, gaps):
     assert {state for state, _, _ in want.values()} == {"closed", "open", "half_open"}
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_outlined_runs_end_as_folded_ones(seed):
+    rnd = random.Random(seed)
+    failures, cooldown = rnd.randrange(1, 6), rnd.choice([0.0, 2.0, 30.0])
+    step, outline, enter = telemetry.breaker_step(failures, cooldown), telemetry.breaker_outline(failures, cooldown), telemetry.breaker_enter(cooldown)
+    now, calls = 100.0, []
+    for _ in range(rnd.randrange(1, 60)):
+        now += rnd.choice([0, 0.5, 1, 7, 40])
+        calls.append((now, rnd.random() < rnd.choice([0.1, 0.5])))
+    made = outline(calls)
+    for state in [None, *[(n, None) for n in range(failures)], *[(failures, 100.0 - x) for x in (0, 0.1, 1.5, 12, 29.5, 30, 200)]]:
+        want = state
+        for call in calls:
+            want, _ = step(want, call)
+        assert enter(state, made)[1] == want[1] and (want[1] is not None or enter(state, made) == want)
+
+    limit, window = rnd.choice([1, 3, 8]), rnd.choice([0.00001, 60.0])
+    step, outline, enter = alerts.bucket_step(limit, window), alerts.bucket_outline(limit, window), alerts.bucket_enter(limit, window)
+    unit = round(window * 1e6 / limit)
+    now, requests = 1000 * unit, []
+    for _ in range(rnd.randrange(1, 60)):
+        now += rnd.choice([0, 1, unit // 3, unit, 2 * unit + 1, (limit + 1) * unit][: rnd.choice([3, 6])])
+        requests.append((now,))
+    made, (full, token) = outline(requests), alerts.bucket_sizes(limit, window)
+    assert len(made["pieces"]) <= 6 * (limit + 1)
+    for left in {0, 1, token - 1, token, token + 1, full - 1, full, *[rnd.randrange(full + 1) for _ in range(30)]}:
+        for state in (None, (left, requests[0][0]), (left, requests[0][0] - unit // 2)):
+            want = state
+            for request in requests:
+                want, _ = step(want, request)
+            assert enter(state, made) == want
+
+
+def test_a_throttled_client_takes_one_round(spark, monkeypatch):
+    """Its bucket never forgets where it began; still no slice is folded again."""
+    from faultline.plans import folds
+
+    written = []
+    monkeypatch.setattr(folds, "kept", lambda df, kept=folds.kept: written.append(1) or kept(df))
+    rows = [("hot", n, START + timedelta(seconds=n * 0.7)) for n in range(4_000)]
+    df = spark.createDataFrame(rows, "client string, request_id bigint, ts timestamp")
+    whole = alerts.token_bucket(df, 7).collect()
+    cut = alerts.token_bucket(df, 7, slice_rows=50).collect()
+    assert sorted(map(tuple, cut), key=str) == sorted(map(tuple, whole), key=str)
+    assert len(written) == 2 and 0.05 < sum(row["allowed"] for row in whole) / 4_000 < 0.2
+
+
 def test_retries(spark):
     rows = [
         (1, 1, "error", 503), (1, 2, "error", None), (1, 3, "ok", None),
