@@ -9,11 +9,7 @@ from faultline.functions import jsonval, vocab
 from faultline.operators.alerts import alert_keys, bucket_step
 from faultline.operators.eventlog import opened
 from faultline.operators.telemetry import breaker_step
-from faultline.streaming.stateful import fold_stream
-
-
-def seconds(column: str):
-    return F.unix_micros(F.col(column).cast("timestamp")) / 1e6
+from faultline.streaming.stateful import STRETCH, fold_stream, seconds
 
 
 def replay_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -56,9 +52,12 @@ def state_step(state, value):
     return (current,), (current, False)
 
 
-def stream_states(log: DataFrame) -> DataFrame:
-    """Live incident state per opening, alert or transition; illegal moves come out as not accepted."""
-    rows = opened(log, vocab.ALERT_RECEIVED, vocab.INCIDENT_OPENED, vocab.STATE_TRANSITION).select(
+def stream_states(log: DataFrame, delay: str = "0 seconds", stretch: float = STRETCH) -> DataFrame:
+    """Live incident state per opening, alert or transition; illegal moves come out as not accepted.
+
+    Here and below, rows may come in any order within `delay`, and come out once that has passed.
+    """
+    rows = opened(log.withWatermark("ts", delay), vocab.ALERT_RECEIVED, vocab.INCIDENT_OPENED, vocab.STATE_TRANSITION).select(
         "incident_id",
         "seq",
         seconds("ts").alias("t"),
@@ -76,6 +75,7 @@ def stream_states(log: DataFrame) -> DataFrame:
         "state string",
         "incident_id string, seq bigint, event_type string, to_state string, state string, accepted boolean, late boolean",
         ["seq"],
+        stretch,
     )
 
 
@@ -88,19 +88,23 @@ def stream_alert_dedupe(alerts: DataFrame, delay: str = "10 minutes") -> DataFra
     )
 
 
-def stream_token_bucket(requests: DataFrame, limit: int, window_seconds: float = 60.0) -> DataFrame:
+def stream_token_bucket(
+    requests: DataFrame, limit: int, window_seconds: float = 60.0, delay: str = "0 seconds", stretch: float = STRETCH
+) -> DataFrame:
     """Live rate limit of requests (client, request_id, ts)."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).alias("micros")
     return fold_stream(
-        requests.select("client", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")),
+        requests.withWatermark("ts", delay).select("client", "request_id", micros, seconds("ts").alias("t")),
         ["client"],
         bucket_step(limit, window_seconds),
         "t",
-        ["t"],
+        ["micros"],
         ["allowed", "retry_after"],
         ["client", "request_id"],
         "parts bigint, last bigint",
         "client string, request_id bigint, allowed boolean, retry_after double, late boolean",
         ["request_id"],
+        stretch,
     )
 
 
@@ -108,10 +112,12 @@ def stream_breaker_states(
     calls: DataFrame,
     failures_to_open: int = vocab.BREAKER_FAILURES,
     cooldown: float = vocab.BREAKER_COOLDOWN,
+    delay: str = "0 seconds",
+    stretch: float = STRETCH,
 ) -> DataFrame:
     """Live breaker states of calls (service, call_id, ts, ok)."""
     return fold_stream(
-        calls.select("service", "call_id", seconds("ts").alias("t"), "ok"),
+        calls.withWatermark("ts", delay).select("service", "call_id", seconds("ts").alias("t"), "ok"),
         ["service"],
         breaker_step(failures_to_open, cooldown),
         "t",
@@ -121,4 +127,5 @@ def stream_breaker_states(
         "failures bigint, opened double",
         "service string, call_id bigint, state string, runs boolean, state_after string, late boolean",
         ["call_id"],
+        stretch,
     )

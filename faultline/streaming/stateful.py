@@ -1,27 +1,110 @@
 """Keyed state for streams: sequential folds and rolling baselines.
 
-Rows of a key are put in time order within a micro-batch. A row older than what its key has
-already processed is late: it changes no state and comes out marked.
+Rows of a key are put in time order across micro-batches: they wait until the watermark has passed
+them. A row older than what its key has already released is late: it changes no state and comes
+out marked.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from faultline.functions import vocab
 
 
+STRETCH = 60.0  # seconds of a key's rows that are released together
+OUT_ROWS = 10_000
+
+
+def seconds(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp")) / 1e6
+
+
 def _filled(value):
     return None if value is None or (isinstance(value, float) and np.isnan(value)) else value
 
 
-class Fold(StatefulProcessor):
-    """Runs `step(state, inputs) -> (state, outputs)` over the rows of a key."""
+class Ordered(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed their stretch of time, then hands them on in order.
+
+    Rows arrive in Arrow batches and are put away one batch at a time, by stretch. A timer at the end
+    of the oldest stretch releases all that are over, one after the other, so the rows of one stretch
+    are the most that is in memory. Rows older than what was released are late.
+    """
+
+    def __init__(self, time: str, tie: Sequence[str], others: Sequence[str], stretch: float) -> None:
+        self.order, self.columns, self.stretch = 1 + len(tie), list(dict.fromkeys([time, *tie, *others])), stretch
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "stretch bigint, part bigint", "rows string")
+        self.held = handle.getValueState("held", "parts string, released double, timer bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts, released, timer = self.load()
+        for frame in rows:
+            late = (frame[self.columns[0]] < released).to_numpy()
+            if late.any():
+                yield from self.late(key, frame[late])
+            fresh = frame[~late]
+            place = np.floor(fresh[self.columns[0]].to_numpy(dtype="float64") / self.stretch).astype("int64")
+            for stretch in np.unique(place):
+                own = fresh[place == stretch]
+                packed = json.dumps(list(zip(*[own[name].tolist() for name in self.columns])))
+                self.parts.updateValue((int(stretch), parts.get(int(stretch), 0)), (packed,))
+                parts[int(stretch)] = parts.get(int(stretch), 0) + 1
+        self.store(parts, released, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        parts, released, _ = self.load()
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        for stretch in sorted(parts):
+            if (stretch + 1) * self.stretch > passed:
+                break
+            rows = []
+            for part in range(parts.pop(stretch)):
+                rows += json.loads(self.parts.getValue((stretch, part))[0])
+                self.parts.removeKey((stretch, part))
+            rows.sort(key=lambda row: row[: self.order])
+            yield from self.advance(key, rows)
+            released = (stretch + 1) * self.stretch
+        self.store(parts, released, None)
+
+    def load(self) -> tuple[dict[int, int], float, int | None]:
+        if not self.held.exists():
+            return {}, -np.inf, None
+        parts, released, timer = self.held.get()
+        return {int(n): count for n, count in json.loads(parts).items()}, released, _filled(timer)
+
+    def store(self, parts: dict[int, int], released: float, timer: int | None) -> None:
+        wanted = math.ceil((min(parts) + 1) * self.stretch * 1000) if parts else None
+        if wanted != timer:
+            if timer is not None:
+                self.handle.deleteTimer(int(timer))
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        self.held.update((json.dumps(parts), released, wanted))
+
+    def late(self, key, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def advance(self, key, rows: list) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class Fold(Ordered):
+    """Runs `step(state, inputs) -> (state, outputs)` over the rows of a key in order."""
 
     def __init__(
         self,
@@ -31,36 +114,29 @@ class Fold(StatefulProcessor):
         outputs: Sequence[str],
         keep: Sequence[str],
         state_schema: str,
-        tie: Sequence[str] = (),
+        tie: Sequence[str],
+        stretch: float,
     ) -> None:
-        self.step, self.time, self.tie = step, time, list(tie)
-        self.inputs, self.outputs, self.keep = list(inputs), list(outputs), list(keep)
-        self.state_schema = state_schema
+        super().__init__(time, tie, [*inputs, *keep], stretch)
+        self.step, self.outputs, self.keep, self.state_schema = step, list(outputs), list(keep), state_schema
+        self.inputs, self.kept = [self.columns.index(name) for name in inputs], [self.columns.index(name) for name in keep]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t double")
+        super().init(handle)
         self.state = handle.getValueState("state", self.state_schema)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values([self.time, *self.tie], kind="stable")
-        last = self.last.get()[0] if self.last.exists() else -np.inf
-        state = tuple(_filled(part) for part in self.state.get()) if self.state.exists() else None
-        late = (frame[self.time] < last).to_numpy()
-        made = []
-        for value, is_late in zip(zip(*[frame[name].tolist() for name in self.inputs]), late):
-            if is_late:
-                made.append((None,) * len(self.outputs))
-                continue
-            state, out = self.step(state, tuple(_filled(part) for part in value))
-            made.append(out)
-        if not late.all():
-            self.last.update((float(frame[self.time].max()),))
-            self.state.update(tuple(state))
-        out = pd.DataFrame(made, columns=self.outputs, index=frame.index, dtype=object)
-        yield pd.concat([frame[self.keep], out], axis=1).assign(late=late)
+    def late(self, key, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        yield frame[self.keep].assign(**dict.fromkeys(self.outputs), late=True)
 
-    def close(self) -> None:
-        pass
+    def advance(self, key, rows: list) -> Iterator[pd.DataFrame]:
+        state = tuple(_filled(part) for part in self.state.get()) if self.state.exists() else None
+        for low in range(0, len(rows), OUT_ROWS):
+            made = []
+            for row in rows[low : low + OUT_ROWS]:
+                state, out = self.step(state, tuple(_filled(row[n]) for n in self.inputs))
+                made.append((*[row[n] for n in self.kept], *out, False))
+            yield pd.DataFrame(made, columns=[*self.keep, *self.outputs, "late"])
+        self.state.update(tuple(state))
 
 
 def fold_stream(
@@ -74,12 +150,15 @@ def fold_stream(
     state_schema: str,
     schema: str,
     tie: Sequence[str] = (),
+    stretch: float = STRETCH,
 ) -> DataFrame:
+    """A fold over a stream that has a watermark; `time` holds epoch seconds. Rows come out once the
+    watermark has passed their stretch."""
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=Fold(step, time, inputs, outputs, keep, state_schema, tie),
+        statefulProcessor=Fold(step, time, inputs, outputs, keep, state_schema, tie, stretch),
         outputStructType=schema,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
@@ -106,54 +185,58 @@ def first_anomaly(
     return int(hits[0]) if len(hits) else None
 
 
-class Onset(StatefulProcessor):
+class Onset(Ordered):
     """Emits the first anomaly of a series, keeping the last `baseline_rows` values as state."""
 
-    def __init__(self, threshold_z: float, baseline_rows: int, min_rows: int) -> None:
+    def __init__(self, threshold_z: float, baseline_rows: int, min_rows: int, stretch: float) -> None:
+        super().__init__("t", ["value"], [], stretch)
         self.threshold_z, self.baseline_rows, self.min_rows = threshold_z, baseline_rows, min_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.ring = handle.getListState("ring", "v double")
-        self.mark = handle.getValueState("mark", "t double, found boolean")
+        self.found = handle.getValueState("found", "found boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["t", "value"], kind="stable")
-        last, found = self.mark.get() if self.mark.exists() else (-np.inf, False)
-        late = frame["t"] < last
-        n_late, frame = int(late.sum()), frame[~late]
-        past = np.array([row[0] for row in self.ring.get()] if self.ring.exists() else [], dtype="float64")
-        onset = None
-        if len(frame):
-            values = frame["value"].to_numpy(dtype="float64")
-            if not found:
-                index = first_anomaly(past, values, self.threshold_z, self.baseline_rows, self.min_rows)
-                if index is not None:
-                    onset, found = float(frame["t"].iloc[index]), True
-            kept = np.concatenate([past, values])[-self.baseline_rows :]
-            self.ring.put([(float(value),) for value in kept])
-            self.mark.update((float(frame["t"].iloc[-1]), bool(found)))
-        if onset is not None or n_late:
-            yield pd.DataFrame(
-                {"service": [key[0]], "metric": [key[1]], "onset": [onset], "late_rows": [n_late]}
-            ).astype({"onset": "float64"})
+    def late(self, key, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        yield self.row(key, None, len(frame))
 
-    def close(self) -> None:
-        pass
+    def row(self, key, onset: float | None, late: int) -> pd.DataFrame:
+        return pd.DataFrame({"service": [key[0]], "metric": [key[1]], "onset": [onset], "late_rows": [late]}).astype({"onset": "float64"})
+
+    def advance(self, key, rows: list) -> Iterator[pd.DataFrame]:
+        if self.found.exists():
+            return
+        past = np.array([row[0] for row in self.ring.get()] if self.ring.exists() else [], dtype="float64")
+        values = np.array([row[1] for row in rows], dtype="float64")
+        index = first_anomaly(past, values, self.threshold_z, self.baseline_rows, self.min_rows)
+        if index is not None:
+            self.found.update((True,))
+            self.ring.clear()
+            yield self.row(key, rows[index][0], 0)
+            return
+        self.ring.put([(float(value),) for value in np.concatenate([past, values])[-self.baseline_rows :]])
 
 
 def stream_onsets(
     metrics: DataFrame,
+    delay: str = "0 seconds",
     threshold_z: float = vocab.THRESHOLD_Z,
     baseline_rows: int = vocab.BASELINE_ROWS,
     min_rows: int = vocab.MIN_BASELINE_ROWS,
+    stretch: float = STRETCH,
 ) -> DataFrame:
     """Onsets of a metrics stream, one row per series (onset in epoch seconds), plus late counts.
 
-    `metrics` has (service, metric, t, value) with `t` in epoch seconds.
+    `metrics` has (service, metric, ts, value). Rows may come in any order within `delay`.
     """
-    return metrics.groupBy("service", "metric").transformWithStateInPandas(
-        statefulProcessor=Onset(threshold_z, baseline_rows, min_rows),
-        outputStructType="service string, metric string, onset double, late_rows bigint",
-        outputMode="Append",
-        timeMode="None",
+    return (
+        metrics.withWatermark("ts", delay)
+        .select("service", "metric", seconds("ts").alias("t"), "value")
+        .groupBy("service", "metric")
+        .transformWithStateInPandas(
+            statefulProcessor=Onset(threshold_z, baseline_rows, min_rows, stretch),
+            outputStructType="service string, metric string, onset double, late_rows bigint",
+            outputMode="Append",
+            timeMode="EventTime",
+        )
     )

@@ -25,6 +25,12 @@ def feed(spark, df, cuts, order="ts"):
     return live.replay_stream(spark, path, schema)
 
 
+def closed(df, minutes=10_000, **key):
+    """With a last row, of a key of its own, that moves the watermark past all others."""
+    last = df.limit(1).withColumns({"ts": F.lit(START + timedelta(minutes=minutes)), **{name: F.lit(value) for name, value in key.items()}})
+    return df.unionByName(last)
+
+
 def times(*minutes):
     return [F.lit(START + timedelta(minutes=m)) for m in minutes]
 
@@ -37,7 +43,7 @@ def test_onsets(spark):
             lift = 80 if i >= 60 + 10 * number else 0
             rows.append((START + timedelta(seconds=i * 60 + number), f"s{number // 2}", f"m{number}", rnd.uniform(90, 110) + lift))
     df = spark.createDataFrame(rows, "ts timestamp, service string, metric string, value double")
-    stream = feed(spark, df, times(0, 40, 70, 1000)).select("service", "metric", live.seconds("ts").alias("t"), "value")
+    stream = feed(spark, closed(df, service="end"), times(0, 40, 70, 1000, 20_000))
     got = settle_stream(spark, stateful.stream_onsets(stream), "onsets").collect()
     want = timeseries.series_onsets(df).select("service", "metric", live.seconds("onset_ts").alias("t")).collect()
     assert sorted((r["service"], r["metric"], r["onset"]) for r in got) == sorted((r["service"], r["metric"], r["t"]) for r in want)
@@ -50,11 +56,12 @@ def test_late_rows_are_counted_and_change_nothing(spark):
     prepare(spark)
     path = scratch_path(spark, "late")
     later, earlier = df.where(F.second("ts") >= 30), df.where(F.second("ts") < 30)
-    for part in (later, earlier.withColumn("value", F.lit(9_000.0))):
+    end = closed(df, service="end").where("service = 'end'")
+    # the watermark of a file counts from the next one on
+    for part in (later, end, end, earlier.withColumn("value", F.lit(9_000.0)), end.withColumn("ts", F.lit(START + timedelta(days=30)))):
         part.coalesce(1).write.mode("append").parquet(path)
     stream = live.replay_stream(spark, path, "ts timestamp, service string, metric string, value double")
-    rows_in = stream.select("service", "metric", live.seconds("ts").alias("t"), "value")
-    got = settle_stream(spark, stateful.stream_onsets(rows_in), "onsets").collect()
+    got = settle_stream(spark, stateful.stream_onsets(stream), "onsets").collect()
     assert [(row["onset"], row["late_rows"]) for row in got] == [(None, 30)]
 
 
@@ -70,7 +77,7 @@ def test_states(spark):
     ]
     rows = [(START + timedelta(minutes=seq), incident, seq, kind, payload) for incident, seq, kind, payload in log]
     df = spark.createDataFrame(rows, "ts timestamp, incident_id string, seq bigint, event_type string, payload string")
-    stream = feed(spark, df, times(0, 3, 5, 100))
+    stream = feed(spark, closed(df, incident_id="end"), times(0, 3, 5, 100, 20_000))
     got = {row["seq"]: (row["state"], row["accepted"]) for row in settle_stream(spark, live.stream_states(stream), "states").collect()}
     assert got == {
         1: ("INVESTIGATING", True),
@@ -87,13 +94,13 @@ def test_limits_and_breakers(spark):
     rnd = random.Random(4)
     rows = [(START + timedelta(seconds=i * 9), f"c{rnd.randrange(3)}", i, rnd.random() < 0.4) for i in range(300)]
     df = spark.createDataFrame(rows, "ts timestamp, client string, request_id bigint, ok boolean")
-    stream = feed(spark, df, times(0, 10, 25, 100))
+    stream = feed(spark, closed(df, client="end"), times(0, 10, 25, 100, 20_000))
     got = settle_stream(spark, live.stream_token_bucket(stream, 1), "limits")
     want = alerts.token_bucket(df, 1)
     shown = ["client", "request_id", "allowed"]
     assert sorted(map(tuple, got.select(shown).collect())) == sorted(map(tuple, want.select(shown).collect()))
     calls = df.select("ts", F.col("client").alias("service"), F.col("request_id").alias("call_id"), "ok")
-    got = settle_stream(spark, live.stream_breaker_states(feed(spark, calls, times(0, 10, 25, 100)), 2), "breakers")
+    got = settle_stream(spark, live.stream_breaker_states(feed(spark, closed(calls, service="end"), times(0, 10, 25, 100, 20_000)), 2), "breakers")
     want = telemetry.breaker_states(calls, 2)
     assert sorted(map(tuple, got.drop("late").collect())) == sorted(map(tuple, want.collect()))
 
@@ -107,3 +114,45 @@ def test_dedupe_across_batches(spark):
     stream = feed(spark, df, times(0, 3, 6, 100), "received_at")
     got = settle_stream(spark, live.stream_alert_dedupe(stream, "1 hour"), "dedupe").collect()
     assert sorted(row["alert_key"] for row in got) == ["k0", "k1", "k2", "k3"]
+
+
+def test_rows_out_of_order_within_the_watermark(spark):
+    """Five files whose rows overlap by up to ten minutes give the batch results."""
+    rnd = random.Random(6)
+    rows = [(START + timedelta(seconds=i * 9), f"c{rnd.randrange(3)}", i, rnd.random() < 0.4, rnd.uniform(90, 110) + (80 if i > 300 else 0)) for i in range(500)]
+    df = spark.createDataFrame(rows, "ts timestamp, client string, request_id bigint, ok boolean, value double")
+    prepare(spark)
+    path = scratch_path(spark, "mixed")
+    names = "ts timestamp, client string, request_id bigint, ok boolean, value double"
+    place = F.floor((F.unix_timestamp("ts") - int(START.timestamp()) + F.col("request_id") * 37 % 600) / 1200)
+    files = closed(df, client="end").withColumn("place", place)
+    for part in sorted(row["place"] for row in files.select("place").distinct().collect()):
+        files.where(F.col("place") == part).drop("place").orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(path)
+    read = lambda: live.replay_stream(spark, path, names)
+    got = settle_stream(spark, live.stream_token_bucket(read(), 1, delay="10 minutes", stretch=100.0), "limits")
+    want = alerts.token_bucket(df, 1)
+    shown = ["client", "request_id", "allowed", "retry_after"]
+    assert sorted(map(tuple, got.select(shown).collect())) == sorted(map(tuple, want.select(shown).collect()))
+    assert got.where("late").isEmpty()
+    series = read().select("ts", F.col("client").alias("service"), F.lit("m").alias("metric"), "value")
+    got = settle_stream(spark, stateful.stream_onsets(series, "10 minutes", stretch=100.0), "onsets").collect()
+    want = timeseries.series_onsets(df.select("ts", F.col("client").alias("service"), F.lit("m").alias("metric"), "value")).collect()
+    assert sorted((r["service"], r["onset"]) for r in got) == sorted((r["service"], r["onset_ts"].replace(tzinfo=timezone.utc).timestamp()) for r in want) and len(got) == 3
+
+
+def test_one_key_with_many_rows_in_a_batch(spark):
+    """A million rows of one key in one file; no more than a stretch of them is in memory."""
+    micros = int(START.timestamp() * 1e6)
+    df = spark.range(1_000_000).select(
+        F.timestamp_micros(F.lit(micros) + F.col("id") * 10_000).alias("ts"), F.lit("hot").alias("service"),
+        F.col("id").alias("call_id"), (F.col("id") % 11 < 4).alias("ok"),
+    )
+    prepare(spark)
+    path = scratch_path(spark, "many")
+    for part in (df, closed(df.limit(1), service="end").where("service = 'end'")):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = live.replay_stream(spark, path, "ts timestamp, service string, call_id bigint, ok boolean")
+    got = settle_stream(spark, live.stream_breaker_states(stream, stretch=500.0), "breakers")
+    want = telemetry.breaker_states(df)
+    digest = [F.count(F.lit(1)), F.sum(F.xxhash64("call_id", "state", "runs", "state_after").cast("decimal(38,0)"))]
+    assert tuple(got.agg(*digest).first()) == tuple(want.agg(*digest).first())
