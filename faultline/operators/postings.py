@@ -1,53 +1,45 @@
-"""A stored index of words, and exact ranked search that leaves out what cannot rank.
-
-The index has one row per (word, chunk) with its count, and one row per chunk without a word. It is
-a table bucketed by document, so that counting words, adding up a document's score and looking up a
-word in a document need no shuffle of the index. Words stand in it as 64-bit numbers; a second
-table names them, with the postings and the highest term of each. Two words of one number are
-found when that table is made, and then all are numbered anew. A corpus is tokenised once, however
-many searches follow.
-
-A search takes each query's words from the rarest on. What a word adds to any score is at most its
-weight times its highest term in the index, so the words after a point can add no more than the sum
-of theirs:
-
-1. the rarest words give a first few documents, which are scored in full: the kth of these scores
-   is a floor that every result must reach;
-2. words are read whole only until the rest together can add less than half the floor, and
-   documents that cannot reach the floor with all the rest are dropped;
-3. the rest, which is most of the postings, is looked up in the documents that are left.
-
-Scores are sums of non-negative terms, so the result is the one that scoring everything gives.
+"""A stored index of words in blocks of documents, and exact ranked search that skips what cannot rank.
+
+A chunk belongs to one block, by its document. The index has one row per (word, chunk) with its
+count and block, and one row per chunk without a word. It is tokenised once, however many searches
+follow; an index for given queries holds their words only.
+
+What a word adds to a score in a block is at most its weight times its highest term there. Words are
+read from the rarest on, and the kth of the sums so far is a floor for what can be a result. Once the
+words that are left can no longer lift a new document to the floor, they are looked up only in
+documents found before, and these are dropped as soon as they cannot reach it either: the common
+words, which make up most postings, meet few documents. Scores are sums of non-negative terms, so
+the result is the one that scoring everything gives. Blocks are searched side by side and pass on
+their own k best.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import words
 from faultline.plans.slices import kept
-from faultline.session import scratch_path
 
 CHUNK = ("content_id", "chunk_index")
-SEED_POSTINGS = 200  # of the rarest words, per query
-SEEDS = 10  # documents scored in full for the floor, at least; never fewer than k
-REST = 0.5  # share of the floor that the words looked up last can add at most
+QUERY_BLOCK = 4_096  # queries that meet a block in one task
 DIGITS = 6
 MARGIN = 2e-6  # scores are ranked as rounded
+FOUND = "query_id bigint, content_id bigint, chunk_index bigint, score double, scored bigint"
 
 
 @dataclass(frozen=True)
 class PostingIndex:
-    """`postings`: content_id, chunk_index, size, number, tf; `words`: term, number, df, top."""
+    """`postings`: block, content_id, chunk_index, size, term, tf."""
 
     postings: DataFrame
-    words: DataFrame
     chunks: int
     mean_size: float
+    blocks: int
     k1: float
     b: float
 
@@ -55,97 +47,116 @@ class PostingIndex:
         return F.ln(F.lit(1.0) + (F.lit(self.chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
     def impact(self) -> Column:
-        return impact(self.mean_size, self.k1, self.b)
+        """What a posting adds to a score, before its word's weight."""
+        norm = self.k1 * (1 - self.b + self.b * F.col("size") / (self.mean_size or 1.0))
+        return F.col("tf") * (self.k1 + 1) / (F.col("tf") + norm)
 
 
-def impact(mean_size: float, k1: float, b: float) -> Column:
-    """What a posting adds to a score, before its word's weight."""
-    norm = k1 * (1 - b + b * F.col("size") / (mean_size or 1.0))
-    return F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+def asked_words(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct words of (query_id, query)."""
+    return queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
 
 
 def build_index(
-    chunks: DataFrame, k1: float = 1.2, b: float = 0.75, buckets: int | None = None, name: str | None = None, seed: int = 0
+    chunks: DataFrame, k1: float = 1.2, b: float = 0.75, blocks: int | None = None, path: str | None = None, only: DataFrame | None = None
 ) -> PostingIndex:
-    """Store the words of chunks (content_id, chunk_index, chunk_text) as the tables `name` and `name`_words."""
-    spark = chunks.sparkSession
-    # joins on a chunk and a word use the buckets of documents
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = name or f"postings_{uuid.uuid4().hex}"
-    here = chunks.select(*CHUNK, "chunk_text").repartition(buckets, "content_id")
-    sized = here.select(*CHUNK, words(F.coalesce("chunk_text", F.lit(""))).alias("w"))
-    marked = F.concat(F.array(F.lit(None).cast("string")), F.col("w"))
+    """Store the words of chunks (content_id, chunk_index, chunk_text) under `path`; only those in `only` (term), if given.
+
+    There are as many blocks as shuffle partitions unless `blocks` says otherwise; some thousand
+    chunks a block are a good size.
+    """
+    blocks = blocks or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = chunks.select(*CHUNK, words(F.coalesce("chunk_text", F.lit(""))).alias("w"))
+    marked = F.concat(F.array(F.lit("")), F.col("w"))  # no word is empty
     rows = sized.select(*CHUNK, F.size("w").alias("size"), F.explode(marked).alias("term"))
+    if only is not None:
+        blank = only.sparkSession.range(1).select(F.lit("").alias("term"))
+        rows = rows.join(only.select("term").unionByName(blank), "term", "left_semi")
+    # a chunk is one row, so most of the count is done before the shuffle
     counted = rows.groupBy(*CHUNK, "size", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    number = F.when(F.col("term").isNotNull(), F.xxhash64("term", F.lit(seed))).alias("number")
-    place = scratch_path(spark, name)
-    counted.select("*", number).write.bucketBy(buckets, "content_id").option("path", place).saveAsTable(name)
-    whole = spark.table(name).where("number IS NULL").agg(F.count(F.lit(1)), F.avg("size")).first()
-    postings = spark.table(name).where("number IS NOT NULL")
-    top = F.max(impact(whole[1] or 0.0, k1, b)).alias("top")
-    vocabulary = postings.groupBy("number", "term").agg(F.count(F.lit(1)).alias("df"), top)
-    vocabulary.write.option("path", f"{place}-words").saveAsTable(f"{name}_words")
-    vocabulary = spark.table(f"{name}_words")
-    if not vocabulary.groupBy("number").count().where("count > 1").isEmpty():
-        return build_index(chunks, k1, b, buckets, f"{name}_{seed + 1}", seed + 1)
-    return PostingIndex(postings.drop("term"), vocabulary, whole[0], whole[1] or 0.0, k1, b)
-
-
-def wanted_words(index: PostingIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, number, idf, df, upto, rest): a query's words that the index has.
-
-    `upto` counts the postings of the word and all rarer ones; `rest` is the most that the word and
-    all more frequent ones can add.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    known = asked.join(index.words, "term").withColumn("idf", index.weight())
-    # over the words of one query
-    rarest = Window.partitionBy("query_id").orderBy("df", "number")
-    common = Window.partitionBy("query_id").orderBy(F.desc("df"), F.desc("number"))
-    most = F.sum(F.col("idf") * F.col("top")).over(common)
-    return known.select("query_id", "number", "idf", "df", F.sum("df").over(rarest).alias("upto"), most.alias("rest"))
+    placed = counted.withColumn("block", F.pmod(F.xxhash64("content_id"), F.lit(blocks)))
+    if path is None:
+        return open_index(kept(placed), blocks, k1, b)
+    placed.repartition("block").sortWithinPartitions("block", "term").write.parquet(path)
+    return open_index(chunks.sparkSession.read.schema(placed.schema).parquet(path), blocks, k1, b)
 
 
-def read_whole(index: PostingIndex, wanted: DataFrame) -> DataFrame:
-    """(query_id, chunk, part, looked): what these words add to every chunk that has one of them."""
-    return (
-        index.postings.join(wanted.select("query_id", "number", "idf"), "number")
-        .groupBy("query_id", *CHUNK)
-        .agg(F.sum(F.col("idf") * index.impact()).alias("part"), F.count(F.lit(1)).alias("looked"))
-    )
+def open_index(stored: DataFrame, blocks: int, k1: float = 1.2, b: float = 0.75) -> PostingIndex:
+    """An index from its stored rows."""
+    whole = stored.where("term = ''").agg(F.count(F.lit(1)), F.avg("size")).first()
+    return PostingIndex(stored.where("term <> ''"), whole[0], whole[1] or 0.0, blocks, k1, b)
 
 
-def look_up(index: PostingIndex, found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`found` (query_id, chunk, part, looked) with what these words add to its chunks."""
-    places = found.select("query_id", *CHUNK).join(wanted.select("query_id", "number", "idf"), "query_id")
-    more = index.postings.join(places, [*CHUNK, "number"]).select(
-        "query_id", *CHUNK, (F.col("idf") * index.impact()).alias("part"), F.lit(1).cast("bigint").alias("looked")
-    )
-    return found.unionByName(more).groupBy("query_id", *CHUNK).agg(F.sum("part").alias("part"), F.sum("looked").alias("looked"))
+def block_score(postings: pd.DataFrame, asking: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The `k` best chunks of a block for every query that visits it.
 
-
-def best(found: DataFrame, k: int) -> DataFrame:
-    """The `k` highest scores of each query, rounded; ties to the lower id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *CHUNK)
-    scored = found.withColumn("score", F.round("part", DIGITS))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    `postings` has number, content_id, chunk_index, impact; `asking` has query_id, number, idf.
+    `scored` counts the block's chunks of which a query saw all words it shares with them.
+    """
+    numbers, impacts = postings["number"].to_numpy(), postings["impact"].to_numpy()
+    pairs = postings[list(CHUNK)].to_numpy(np.int64)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    fresh = np.append(True, (pairs[order][1:] != pairs[order][:-1]).any(1))[: len(order)]
+    chunk, code = pairs[order][fresh], np.empty(len(order), np.int64)
+    code[order] = np.cumsum(fresh) - 1
+    order = np.lexsort((code, numbers))
+    numbers, docs, impacts = numbers[order], code[order], impacts[order]
+    out = []
+    asking = asking.sort_values("query_id", kind="stable")
+    ids, words_of, weights = (asking[name].to_numpy() for name in ("query_id", "number", "idf"))
+    # every query's stretch of words, and every word's stretch of postings
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, int)
+    lows, highs = np.searchsorted(numbers, words_of), np.searchsorted(numbers, words_of, side="right")
+    tops = np.zeros(len(numbers) + 1)
+    if len(numbers):
+        heads = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+        tops[heads] = np.maximum.reduceat(impacts, heads)
+    most_of = np.where(lows < highs, weights * tops[lows], 0.0)
+    for start, stop in zip(starts, [*starts[1:], len(ids)]):
+        query, idf, first, last, most = ids[start], weights[start:stop], lows[start:stop], highs[start:stop], most_of[start:stop]
+        rare = np.argsort(last - first, kind="stable")
+        rest = np.append(np.cumsum(most[rare][::-1])[::-1][1:], 0.0)  # what the words after each can add
+        part, found, floor = np.zeros(len(chunk)), None, -np.inf
+        for n, left in zip(rare, rest):
+            x, y = first[n], last[n]
+            if found is None:
+                part[docs[x:y]] += idf[n] * impacts[x:y]
+                if np.count_nonzero(part) >= k:
+                    floor = max(floor, np.partition(part, len(part) - k)[len(part) - k] - MARGIN)
+                if left < floor or not left:
+                    found = np.flatnonzero((part > 0) & (part + left >= floor))
+                continue
+            at = x + np.searchsorted(docs[x:y], found)
+            hit = at < y
+            hit[hit] = docs[at[hit]] == found[hit]
+            part[found[hit]] += idf[n] * impacts[at[hit]]
+            found = found[part[found] + left >= floor]
+        score = np.round(part[found], DIGITS)
+        top = np.lexsort((*chunk[found].T[::-1], -score))[:k]
+        out.append((np.full(len(top), query), *chunk[found[top]].T, score[top], np.full(len(top), len(found))))
+    columns = ["query_id", *CHUNK, "score", "scored"]
+    return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out))))) if out else pd.DataFrame(columns=columns)
 
 
 def ranked(index: PostingIndex, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, score, chunk, looked) of the `k` best chunks per (query_id, query).
+    """(query_id, rank, score, chunk, scored) of the `k` best chunks per (query_id, query).
 
-    `looked` counts the postings of the chunk that were scored for it.
+    `scored` counts the chunks of the result's block that were scored in full for the query.
     """
-    wanted = kept(wanted_words(index, queries))
-    rare = (F.col("upto") <= SEED_POSTINGS) | (F.col("upto") == F.col("df"))
-    seeds = best(read_whole(index, wanted.where(rare)), max(SEEDS, k)).select("query_id", *CHUNK, "part", "looked")
-    scored = best(look_up(index, kept(seeds), wanted.where(~rare)), k)
-    floors = scored.where(F.col("rank") == k).select("query_id", (F.col("score") - MARGIN).alias("floor"))
-    # without k seeds nothing is left out
-    placed = kept(wanted.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))))
-    last = F.col("rest") < REST * F.col("floor")
-    most = placed.groupBy("query_id").agg(F.max("floor").alias("floor"), F.coalesce(F.max(F.when(last, F.col("rest"))), F.lit(0.0)).alias("more"))
-    found = read_whole(index, placed.where(~last)).join(most, "query_id")
-    alive = kept(found.where(F.col("part") + F.col("more") >= F.col("floor")).select("query_id", *CHUNK, "part", "looked"))
-    return best(look_up(index, alive, placed.where(last)), k).drop("part")
+    asked = asked_words(queries)
+    known = kept(asked.select("term").distinct().withColumn("number", F.monotonically_increasing_id()))
+    used = index.postings.join(known, "term").select("block", "number", *CHUNK, index.impact().alias("impact"))
+    seen = used.groupBy("number").agg(F.count(F.lit(1)).alias("df"))
+    wanted = kept(asked.join(known, "term").join(seen, "number").select("query_id", "number", index.weight().alias("idf")))
+    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    # blocks of postings and blocks of queries; with few thousand queries no posting is copied
+    rows = used.withColumn("by", every(q_blocks)) if q_blocks > 1 else used.withColumn("by", F.lit(0).cast("bigint"))
+    asking = wanted.withColumn("by", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("block", every(index.blocks))
+    keys = ("block", "by")
+    found = rows.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(lambda ours, theirs: block_score(ours, theirs, k), FOUND)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), *CHUNK)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

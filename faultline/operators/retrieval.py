@@ -72,10 +72,10 @@ def search_topk(
 ) -> DataFrame:
     """The `k` best chunks (content_id, chunk_index, chunk_text, title) per (query_id, query).
 
-    Scores are rounded to 6 digits; ties go to the lower id. An index is stored and searched once;
-    `postings.build_index` keeps one for many searches.
+    Scores are rounded to 6 digits; ties go to the lower id. An index of the queries' words is stored
+    and searched once; `postings.build_index` keeps one of all words for many searches.
     """
-    top = postings.ranked(postings.build_index(chunks, k1, b), queries, k)
+    top = postings.ranked(postings.build_index(chunks, k1, b, only=postings.asked_words(queries)), queries, k)
     shown = chunks.select(*CHUNK, "chunk_text", "title")
     return shown.join(top, list(CHUNK)).select(
         "query_id", "rank", "score", "content_id", "chunk_index", "title", "chunk_text"

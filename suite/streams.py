@@ -1,4 +1,7 @@
-"""Streaming queries: each runs over all rows that are there and reads back what it wrote."""
+"""Streaming queries: each runs over all rows that are there and reads back what it wrote.
+
+Keyed state is fed by several files whose rows overlap in time.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +15,7 @@ from suite.duck import OPEN_LOG
 from suite.registry import CHECKS, query, stamp
 from suite.report import COOLDOWN, FAILS
 from suite.timeseries import FIRST, HITS
-from suite.views import derive, stream
+from suite.views import SCHEMAS, derive, read, stream
 
 
 def settle_stream(spark, df, name):
@@ -22,11 +25,35 @@ def settle_stream(spark, df, name):
     return spark.read.schema(df.schema).parquet(f"{root}/rows")
 
 
+FILES = 5
+# rows of a file may be this much older or younger than its own stretch of time
+JITTER, DELAY, STRETCH = 86_400, "2 days", 432_000.0
+
+
+def dealt(spark, sf_dir, name):
+    """The events as a stream of files that overlap in time, rows in no order, one file a micro-batch.
+
+    The last file has one event far ahead, whose key is its own: it moves the watermark past all others.
+    """
+    events = read(spark, sf_dir, name)
+    if name != "events":
+        return events
+    path = scratch_path(spark, "dealt")
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    low, high, most = events.agg(F.min(at), F.max(at), F.max("event_id")).first()
+    width = (high - low + JITTER) / FILES + 1
+    placed = events.withColumn("file", F.floor((at - low + F.col("event_id") * 7919 % JITTER) / width))
+    for file in range(FILES):
+        placed.where(F.col("file") == file).drop("file").orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(path)
+    far = [(F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit((most // 16 + 2) * 16).alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("~end").alias("event_type")]
+    events.limit(1).select(*far, "value", "props").select(*events.columns).coalesce(1).write.mode("append").parquet(path)
+    return live.replay_stream(spark, path, SCHEMAS["events"])
+
+
 @query("stream_onsets", f"WITH {HITS}, {FIRST} SELECT service, {stamp('onset_ts')} AS onset_ts FROM firsts", ("v_metrics",))
 def stream_onsets(spark, sf_dir):
-    metrics = derive(spark, sf_dir, "v_metrics", stream)
-    rows = metrics.select("service", "metric", live.seconds("ts").alias("t"), "value")
-    found = settle_stream(spark, stateful.stream_onsets(rows), "onsets").where(F.col("onset").isNotNull())
+    metrics = derive(spark, sf_dir, "v_metrics", dealt)
+    found = settle_stream(spark, stateful.stream_onsets(metrics, DELAY, stretch=STRETCH), "onsets").where(F.col("onset").isNotNull())
     first = found.groupBy("service").agg(F.min("onset").alias("onset"))
     return first.select("service", F.timestamp_micros(F.round(F.col("onset") * 1e6).cast("bigint")).alias("onset_ts"))
 
@@ -50,7 +77,7 @@ def stream_onsets(spark, sf_dir):
     ("v_log",),
 )
 def stream_states(spark, sf_dir):
-    return settle_stream(spark, live.stream_states(derive(spark, sf_dir, "v_log", stream)), "states")
+    return settle_stream(spark, live.stream_states(derive(spark, sf_dir, "v_log", dealt), DELAY, STRETCH), "states")
 
 
 @query(
@@ -83,14 +110,14 @@ def live_event_feed(spark, sf_dir):
 
 @query("stream_token_bucket")
 def stream_token_bucket(spark, sf_dir):
-    limited = live.stream_token_bucket(derive(spark, sf_dir, "v_requests", stream), LIMIT, WINDOW)
+    limited = live.stream_token_bucket(derive(spark, sf_dir, "v_requests", dealt), LIMIT, WINDOW, DELAY, STRETCH)
     rows = settle_stream(spark, limited, "limits")
     return rows.withColumn("retry_after", F.round("retry_after", 6)).select("client", "request_id", "allowed", "retry_after")
 
 
 @query("stream_breaker_states")
 def stream_breaker_states(spark, sf_dir):
-    followed = live.stream_breaker_states(derive(spark, sf_dir, "v_calls", stream), FAILS, COOLDOWN)
+    followed = live.stream_breaker_states(derive(spark, sf_dir, "v_calls", dealt), FAILS, COOLDOWN, DELAY, STRETCH)
     return settle_stream(spark, followed, "breakers").drop("late")
 
 
