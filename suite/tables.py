@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import iso_stamp
 from faultline.operators import report
+from faultline.plans.slices import kept
 from faultline.session import scratch_path
 from faultline.sources import events, knowledge, logs, metrics, tables
-from faultline.streaming import live
+from faultline.streaming import ticks
 from suite.registry import query, stamp
 from suite.report import ESCAPED
-from suite.streams import settle_stream
 from suite.views import derive, read
 
 METRIC_ROWS = f"SELECT {stamp('ts')} AS ts, service, metric, value FROM v_metrics"
@@ -127,17 +127,39 @@ def scan_json_logs(spark, sf_dir):
     )
 
 
-@query("create_tables", METRIC_ROWS, ("v_metrics",))
+LOG_ROWS = f"SELECT 'events' AS \"table\", {stamp('ts')} AS ts, incident_id AS k1, CAST(seq AS VARCHAR) AS k2, event_type AS what, payload AS body FROM v_log"
+HISTORY_ROWS = f"""SELECT 'history' AS "table", {stamp('ts')} AS ts, 'tickets' AS k1, service AS k2, CAST(external_id AS VARCHAR) || '|' || author AS what, summary AS body FROM v_tickets"""
+
+
+@query(
+    "create_tables",
+    f"""{LOG_ROWS} UNION ALL SELECT 'metrics', {stamp('ts')}, service, metric, CAST(CAST(round(value * 1000) AS BIGINT) AS VARCHAR), NULL FROM v_metrics
+    UNION ALL {HISTORY_ROWS}""",
+    ("v_log", "v_metrics", "v_tickets"),
+)
 def create_tables(spark, sf_dir):
-    """The tables are made twice, filled, and dropped from the catalog; their files stay."""
+    """The tables are made twice, filled, read, and dropped from the catalog; their files stay."""
     place = scratch_path(spark, "tables")
     prefix = "faultline_" + place[-8:] + "_"
-    names = tables.create_tables(spark, prefix, place)
-    tables.create_tables(spark, prefix, place)
-    derive(spark, sf_dir, "v_metrics").select("ts", "service", "metric", "value").write.insertInto(f"{prefix}metrics")
+    names = tables.create_tables(spark, prefix, place, 8)
+    tables.create_tables(spark, prefix, place, 8)
+    tickets = derive(spark, sf_dir, "v_tickets").select(
+        "ts", F.lit("tickets").alias("source"), F.col("service").alias("record_type"), F.col("external_id").cast("string").alias("external_id"),
+        "author", F.col("summary").alias("title"), F.col("description").alias("payload"),
+    )
+    for rows, table in ((derive(spark, sf_dir, "v_log"), "events"), (derive(spark, sf_dir, "v_metrics"), "metrics"), (tickets, "history")):
+        tables.fill_table(rows, table, prefix, 8)
+    log, samples, history = (spark.table(f"{prefix}{table}") for table in ("events", "metrics", "history"))
+    milli = F.round(F.col("value") * 1000).cast("bigint").cast("string")
+    parts = (
+        log.select(F.lit("events").alias("table"), "ts", F.col("incident_id").alias("k1"), F.col("seq").cast("string").alias("k2"), F.col("event_type").alias("what"), F.col("payload").alias("body")),
+        samples.select(F.lit("metrics"), "ts", "service", "metric", milli, F.lit(None).cast("string")),
+        history.select(F.lit("history"), "ts", "source", "record_type", F.concat_ws("|", "external_id", "author"), "title"),
+    )
+    rows = kept(parts[0].union(parts[1]).union(parts[2]))
     for name in names:
         spark.sql(f"DROP TABLE {name}")
-    return spark.read.parquet(f"{place}/metrics")
+    return rows
 
 
 @query(
@@ -170,10 +192,21 @@ def kb_manifest(spark, sf_dir):
     return knowledge.kb_manifest(docs.withColumn("summary", summary))
 
 
-@query("replay_stream", METRIC_ROWS, ("v_metrics",))
+DAYS = "SELECT date_trunc('day', ts) AS ts, service, metric, value FROM v_metrics"
+
+
+@query(
+    "replay_stream",
+    f"SELECT {stamp('ts')} AS ts, service, metric, value, dense_rank() OVER (ORDER BY ts) - 1 AS batch FROM ({DAYS})",
+    ("v_metrics",),
+)
 def replay_stream(spark, sf_dir):
-    """The recording is stored in time order and replayed file by file."""
+    """A recording with one tick a day, replayed one micro-batch per tick; halfway the query restarts."""
     path = scratch_path(spark, "ticks")
-    derive(spark, sf_dir, "v_metrics").repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    daily = derive(spark, sf_dir, "v_metrics").withColumn("ts", F.date_trunc("day", "ts"))
+    count = ticks.record_ticks(daily, f"{path}/recording", per_folder=10)
     schema = "ts TIMESTAMP, service STRING, metric STRING, value DOUBLE"
-    return settle_stream(spark, live.replay_stream(spark, path, schema), "replay")
+    for batches in (count // 2, None):
+        stream = ticks.tick_stream(spark, f"{path}/recording", schema, count, per_folder=10)
+        ticks.replay_to_table(stream, f"{path}/out", f"{path}/checkpoint", batches)
+    return spark.read.schema(schema + ", batch BIGINT").parquet(f"{path}/out/batch-*")

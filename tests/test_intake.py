@@ -308,7 +308,7 @@ def test_csv_and_tables(spark):
         metrics.scan_metrics_csv(spark, empty)
     names = tables.create_tables(spark, "t_")
     assert tables.create_tables(spark, "t_") == names
-    assert spark.table("t_events").columns == ["ts", "incident_id", "event_type", "payload"]
+    assert spark.table("t_events").columns == ["ts", "incident_id", "seq", "event_type", "payload"]
 
 
 def test_audit_and_logs(spark):
