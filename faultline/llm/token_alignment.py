@@ -14,9 +14,11 @@ a suffix of the longer, so the vocabularies alone bound the pairs (`pair_keys` l
 about half a million for the supplied ones). Tasks count in an array of that length and pass on
 what is not zero; the summed counts are the only thing that reaches the driver and goes out again.
 
-A long text is cut where one space stands between word characters: neither tokenizer joins
-anything across it (the alignment refuses a B whose pieces do). So a tokenizer holds a bounded part
-of a text, unless it has no such space. Texts that are null, empty, or whose A or B tokens do not
+A long text is cut where one space stands between word characters: A's pre-tokens begin with such
+a space, and no piece of B has a space behind other characters (a B with such pieces reads texts
+whole). So a tokenizer holds a bounded part of a text, unless it has no such space. Where A merges
+in the order of its ids, texts in settled scripts are encoded by them as ranks, which gives the same
+tokens in a fraction of the time. Texts that are null, empty, or whose A or B tokens do not
 spell space + text have no tokens. Special tokens' strings are plain text. Rows alike are aligned
 and counted one by one; an empty table gives an empty result. Extra columns are not read.
 """
@@ -24,6 +26,7 @@ and counted one by one; an empty table gives an empty result. Extra columns are
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from itertools import accumulate
@@ -37,6 +40,10 @@ from faultline.llm.tables import col, written
 
 CHUNK = 1 << 16  # characters a tokenizer reads at once
 NEAR = 8  # ends compared one by one before the probes begin
+# what a byte-level pre-tokenizer splits by, a fixed value of that format
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# blocks whose letters and digits no newer version of Unicode adds to: all libraries split them alike
+SETTLED = re.compile("[\0-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u20ac]*")
 BREAK = re.compile(r"(?<=\w) (?=\w)")
 ALIGNED = "id string, n_a bigint, n_b bigint, n_groups bigint, groups string, links binary"
 
@@ -50,17 +57,26 @@ def byte_of_sign() -> dict[str, int]:
 
 
 def cut(text: str, size: int) -> list[str]:
-    """The text in pieces of about `size` characters, each but the first with the space it begins with."""
+    """The text in pieces of about `size` characters, each but the first without the space before it."""
     out, start = [], 0
     while len(text) - start > size:
         found = BREAK.search(text, start + size)
         if not found:
             break
         out.append(text[start : found.start()])
-        start = found.start()
+        start = found.end()
     return [*out, text[start:]]
 
 
+def in_rank_order(a_json: str) -> bool:
+    """Whether A merges by ascending id, within pre-tokens of PATTERN: then the ids are ranks as well."""
+    made = json.loads(a_json)
+    model, split = made["model"], made["pre_tokenizer"] or {}
+    ids = [model["vocab"]["".join(x.split(" ") if isinstance(x, str) else x)] for x in model["merges"]]
+    plain = made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    return bool(plain and model["type"] == "BPE" and not model.get("ignore_merges") and all(x < y for x, y in zip(ids, ids[1:])) and min(ids) >= 256)
+
+
 class Pair:
     """Both tokenizers with the bytes of all their tokens; made once per Python worker."""
 
@@ -71,6 +87,7 @@ class Pair:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(a_json)
@@ -78,6 +95,7 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         sign = byte_of_sign()
         entries = self.a.get_vocab(with_added_tokens=True)
+        in_model = set(self.a.get_vocab(with_added_tokens=False).values())
         self.a_bytes = [b""] * (max(entries.values()) + 1)
         for token, n in entries.items():
             self.a_bytes[n] = bytes(sign[c] for c in token) if all(c in sign for c in token) else token.encode()
@@ -87,6 +105,10 @@ class Pair:
         ]
         # a piece with a space behind other characters could reach across a cut
         self.cuttable = not any("▁" in piece.lstrip("▁") for piece in pieces)
+        self.ranked = None  # the same A in a faster library
+        if in_rank_order(a_json):
+            ranks = {token: n for n, token in enumerate(self.a_bytes) if n in in_model}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.a_sizes, self.b_sizes = [list(map(len, x)) for x in (self.a_bytes, self.b_bytes)]
         self.a_names, self.b_names = [[str(n) for n in range(len(x))] for x in (self.a_bytes, self.b_bytes)]
 
@@ -97,13 +119,19 @@ class Pair:
             cls.made[key] = cls(a_json, b_model)
         return cls.made[key]
 
+    def a_tokens(self, text: str) -> list[int]:
+        if self.ranked and SETTLED.fullmatch(text):
+            return self.ranked.encode_ordinary(text)
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def tokens(self, text: str, chunk: int) -> tuple[list[int], list[int]]:
         """Ids of A and B, empty where either does not spell space + text."""
         a_ids, b_ids = [], []
-        for n, part in enumerate(cut(text, chunk) if self.cuttable else [text]):
-            part = part[1:] if n else part  # B adds the space that a later piece begins with
-            a_ids += self.a.encode_batch_fast([" " + part], add_special_tokens=False)[0].ids
-            b_ids += self.b.encode(part, num_threads=1)
+        if not text:
+            return a_ids, b_ids
+        for part in cut(text, chunk) if self.cuttable else [text]:
+            a_ids += self.a_tokens(" " + part)
+            b_ids += self.b.encode(part, num_threads=1)  # B adds the space
         want = b" " + text.encode()
         for ids, table in ((a_ids, self.a_bytes), (b_ids, self.b_bytes)):
             if b"".join(map(table.__getitem__, ids)) != want:
@@ -128,11 +156,16 @@ def pair_keys(a_bytes: list[bytes], b_bytes: list[bytes]) -> np.ndarray:
     return np.fromiter(sorted(keys), np.int64, len(keys))
 
 
-def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """How many tokens of each lie before every common end; both lists ascend and end alike."""
+def runs(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """Stretches of one token to one, each with the irregular group behind it: (i, j, length, x, y).
+
+    Tokens i, i + 1, ... of A face j, j + 1, ... of B, `length` of them; the group holds A's tokens up
+    to x and B's up to y, none behind the last stretch. Both lists of ends ascend and end alike.
+    """
     i = j = 0
-    size, a_cuts, b_cuts = len(a), [], []
+    size, out = len(a), []
     while i < size:
+        run = 0
         if a[i] == b[j]:  # probe the diagonal
             run, step, limit = 1, NEAR, min(size - i, len(b) - j)
             near = min(NEAR, limit)
@@ -151,40 +184,47 @@ def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
                         else:
                             upto = half
                     break
-            a_cuts += range(i + 1, i + run + 1)
-            b_cuts += range(j + 1, j + run + 1)
-            i, j = i + run, j + run
-            if i == size:
-                break
-        x, y = a[i], b[j]
-        while x != y:  # an irregular group: whichever ends first goes on
-            if x < y:
-                i += 1
-                x = a[i]
-            else:
-                j += 1
-                y = b[j]
-        i, j = i + 1, j + 1  # the new shift
-        a_cuts.append(i)
-        b_cuts.append(j)
-    return a_cuts, b_cuts
-
-
-def align(pair: Pair, text: str, chunk: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Ids of A and B, and the common ends counted in tokens of each."""
-    a_ids, b_ids = pair.tokens(text, chunk) if text else ([], [])
-    a_ends, b_ends = list(accumulate(map(pair.a_sizes.__getitem__, a_ids))), list(accumulate(map(pair.b_sizes.__getitem__, b_ids)))
-    return a_ids, b_ids, *common_ends(a_ends, b_ends)
-
-
-def listed(pair: Pair, a_ids: list[int], b_ids: list[int], a_cuts: list[int], b_cuts: list[int]) -> str:
+        x, y = i + run, j + run
+        if x < size:
+            p, q = a[x], b[y]
+            while p != q:  # an irregular group: whichever ends first goes on
+                if p < q:
+                    x += 1
+                    p = a[x]
+                else:
+                    y += 1
+                    q = b[y]
+            x, y = x + 1, y + 1  # the new shift
+        out.append((i, j, run, x, y))
+        i, j = x, y
+    return out
+
+
+def align(pair: Pair, text: str, chunk: int) -> tuple[list[int], list[int], list[tuple[int, int, int, int, int]]]:
+    """Ids of A and B, and the stretches that their common ends make."""
+    a_ids, b_ids = pair.tokens(text, chunk)
+    return a_ids, b_ids, runs(list(accumulate(map(pair.a_sizes.__getitem__, a_ids))), list(accumulate(map(pair.b_sizes.__getitem__, b_ids))))
+
+
+def linked(ids: list[int], found: list[tuple[int, int, int, int, int]], side: int) -> list[int]:
+    """The token of A (side 0) or B (1) that ends at every common end."""
+    out = []
+    for run in found:
+        first, end = run[side], run[3 + side]
+        out += ids[first : first + run[2]]
+        if end > first + run[2]:
+            out.append(ids[end - 1])
+    return out
+
+
+def listed(pair: Pair, a_ids: list[int], b_ids: list[int], found: list[tuple[int, int, int, int, int]]) -> str:
     """The groups as text: a1,a2|b1;a3|b2,b3."""
     a_names, b_names = list(map(pair.a_names.__getitem__, a_ids)), list(map(pair.b_names.__getitem__, b_ids))
-    i = j = 0
     out = []
-    for x, y in zip(a_cuts, b_cuts):
-        out.append(f"{a_names[i] if x == i + 1 else ','.join(a_names[i:x])}|{b_names[j] if y == j + 1 else ','.join(b_names[j:y])}")
-        i, j = x, y
+    for i, j, run, x, y in found:
+        out += map("|".join, zip(a_names[i : i + run], b_names[j : j + run]))
+        if x > i + run:
+            out.append(",".join(a_names[i + run : x]) + "|" + ",".join(b_names[j + run : y]))
     return ";".join(out)
 
 
@@ -207,11 +247,11 @@ def aligned(
         for batch in batches:
             out = []
             for name, text in zip(batch["id"], batch["text"]):
-                a_ids, b_ids, a_cuts, b_cuts = align(pair, text, chunk)
-                last_a, last_b = (np.asarray(ids, np.int64)[np.asarray(cuts, np.int64) - 1] for ids, cuts in ((a_ids, a_cuts), (b_ids, b_cuts)))
+                a_ids, b_ids, found = align(pair, text, chunk)
+                last_a, last_b = (np.asarray(linked(ids, found, side), np.int64) for side, ids in enumerate((a_ids, b_ids)))
                 links = np.searchsorted(keys, last_a << 32 | last_b).astype("<u4")
-                groups = listed(pair, a_ids, b_ids, a_cuts, b_cuts)
-                out.append((name, len(a_ids), len(b_ids), len(a_cuts), groups, links.tobytes()))
+                groups = listed(pair, a_ids, b_ids, found)
+                out.append((name, len(a_ids), len(b_ids), len(links), groups, links.tobytes()))
             yield pd.DataFrame(out, columns=["id", "n_a", "n_b", "n_groups", "groups", "links"])
 
     return rows.mapInPandas(run, ALIGNED), keys

@@ -91,11 +91,27 @@ def test_odd_texts(spark):
     assert answers(T.statistics(df.limit(0), A_JSON, B_MODEL)) == []
 
 
-def test_cuts_change_nothing(pair):
-    texts = [t for t in ODD if t] + ["word " * 200 + "naïve  café\n " * 30 + "1 2 3 "]
-    for text in texts:
-        assert pair.tokens(text, 10) == pair.tokens(text, 1 << 30)
-        assert "".join(T.cut(text, 10)) == text
+def test_cuts_and_ranks_change_nothing(pair, monkeypatch):
+    texts = [t for t in ODD if t] + ["word " * 200 + "naïve  café\n " * 30 + "1 2 3 ", "a _ b c_ d ½ 3 é e", "x" * 100 + " y " + "日本 語 x"]
+    assert pair.ranked and pair.cuttable
+    got = [pair.tokens(text, 10) for text in texts]
+    monkeypatch.setattr(pair, "ranked", None)
+    assert got == [pair.tokens(text, 1 << 30) for text in texts]
+    assert all(" ".join(T.cut(text, 10)) == text for text in texts)
+
+
+@given(st.text(st.characters(max_codepoint=0x2030, exclude_categories=["Cs"]), max_size=60))
+def test_ranks_give_the_same_tokens(text):
+    pair = T.Pair.of(A_JSON, B_MODEL)
+    assert pair.a_tokens(text) == pair.a.encode(text, add_special_tokens=False).ids
+
+
+def common_ends(a, b):
+    """How many tokens of each lie before every common end."""
+    out = []
+    for i, j, run, x, y in T.runs(a, b):
+        out += [(i + n, j + n) for n in range(1, run + 1)] + [(x, y)] * (x > i + run)
+    return tuple([list(side) for side in zip(*out)] or [[], []])
 
 
 @given(st.lists(st.integers(1, 3), max_size=80), st.lists(st.integers(1, 3), max_size=80))
@@ -110,14 +126,14 @@ def test_common_ends(a, b):
     total = max([0, *ends[0], *ends[1]])
     ends = [out if out and out[-1] == total else [*out, total] if total else [] for out in ends]
     shared = sorted(set(ends[0]) & set(ends[1]))
-    assert T.common_ends(*ends) == tuple([side.index(x) + 1 for x in shared] for side in ends)
+    assert common_ends(*ends) == tuple([side.index(x) + 1 for x in shared] for side in ends)
 
 
 def test_long_runs_and_late_shift():
     a = list(range(1, 5001))
     b = [x for x in a if x not in (2, 3, 1777)]
     shared = b
-    assert T.common_ends(a, b) == ([a.index(x) + 1 for x in shared], list(range(1, len(b) + 1)))
+    assert common_ends(a, b) == ([a.index(x) + 1 for x in shared], list(range(1, len(b) + 1)))
 
 
 def test_every_link_is_a_listed_pair(pair):
