@@ -6,16 +6,14 @@ The ranking formula is ours (BM25, cosine); the result contract is score, rank,
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonval, vocab
 from faultline.functions.text import strip
-from faultline.operators import postings
+from faultline.operators import balls, postings
 from faultline.operators.postings import CHUNK
 
 
@@ -82,64 +80,15 @@ def search_topk(
     )
 
 
-# Queries and vectors that meet in one task.
-QUERY_BLOCK = 512
-VECTOR_BLOCK = 16_384
-
-
-def _unit(column: pd.Series) -> np.ndarray:
-    rows = np.stack(column.to_numpy()).astype("float64")
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-
-
-def _nearest(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The `k` nearest of a block of vectors for every query of a block."""
-    if not len(vectors) or not len(queries):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    vectors = vectors.sort_values("vec_id", kind="stable")
-    scores = np.round(_unit(queries["embedding"]) @ _unit(vectors["embedding"]).T, 6)
-    # stable on ids in order, so ties go to the lower id
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(queries["query_id"].to_numpy(), order.shape[1]),
-            "vec_id": vectors["vec_id"].to_numpy()[order.ravel()],
-            "score": np.take_along_axis(scores, order, axis=1).ravel(),
-        }
-    )
-
-
-def vector_topk(
-    vectors: DataFrame,
-    queries: DataFrame,
-    k: int = vocab.MAX_RESULTS,
-    block: int = QUERY_BLOCK,
-    vector_block: int = VECTOR_BLOCK,
-) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = vocab.MAX_RESULTS) -> DataFrame:
     """The `k` nearest vectors (vec_id, embedding) by cosine per (query_id, embedding).
 
-    Both sides are cut into blocks of about the given sizes, and every pair of blocks is one matrix
-    product in one job; it hands on its own best `k` only. Null embeddings take no part.
+    Null embeddings take no part. `balls.build_balls` keeps an index for many searches.
     """
-    vectors = vectors.select("vec_id", "embedding").where("embedding IS NOT NULL")
-    queries = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
-    rows, columns = -(-vectors.count() // vector_block), -(-queries.count() // block)
-
-    def placed(df: DataFrame, key: str, own: str, mine: int, other: str, theirs: int) -> DataFrame:
-        every = F.sequence(F.lit(0).cast("bigint"), F.lit(max(theirs, 1) - 1).cast("bigint"))
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(max(mine, 1)))).withColumn(other, F.explode(every))
-
-    left = placed(vectors, "vec_id", "__row", rows, "__column", columns)
-    right = placed(queries, "query_id", "__column", columns, "__row", rows)
-    found = (
-        left.groupBy("__row", "__column")
-        .cogroup(right.groupBy("__row", "__column"))
-        .applyInPandas(
-            lambda ours, theirs: _nearest(ours, theirs, k), "query_id bigint, vec_id bigint, score double"
-        )
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    index = balls.build_balls(vectors)
+    if index is None:
+        return queries.sparkSession.createDataFrame([], f"{balls.FOUND}, rank int")
+    return balls.search(index, queries, k)
 
 
 def cited_documents(responses: DataFrame) -> DataFrame:

@@ -223,7 +223,7 @@ def test_vector_search_in_blocks_equals_brute_force(spark):
     queries = rng.normal(size=(9, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>").repartition(4)
     qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id bigint, embedding array<double>")
-    got = retrieval.vector_topk(df, qdf, k=5, block=4).collect()
+    got = retrieval.vector_topk(df, qdf, k=5).collect()
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     scores = np.round((queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ unit.T, 6)
     want = {(q, r + 1, int(i)) for q in range(9) for r, i in enumerate(sorted(range(200), key=lambda i: (-scores[q, i], i))[:5])}
