@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import jsonval, vocab
 from faultline.functions.text import clock, iso_stamp
+from faultline.plans.firsts import position
 from faultline.plans.slices import SLICE_ROWS, find_hot, numbered, text_parts
 
 INCIDENT = ["incident_id"]
@@ -98,14 +99,25 @@ def sequence_contract(log: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame
     return kinds.withColumn("ok", F.coalesce(in_order, F.lit(False)))
 
 
+def place() -> Column:
+    """Position of an event in time order as one number, which hash aggregates can hold."""
+    return position(F.col("ts"), F.col("seq"))
+
+
+def at_places(log: DataFrame, places: DataFrame, names: list[str], *types: str) -> DataFrame:
+    """`places`, one row per incident, with `place`, `event_type` and opened payload `p` of each event
+    of these types at any of its places `names`; one row without them where there is none."""
+    won = places.withColumn("place", F.explode_outer(F.array_distinct(F.array_compact(F.array(*names)))))
+    rows = opened(log, *types).select(F.col("incident_id").alias("__incident"), place().alias("__place"), "event_type", "p")
+    same = (F.col("incident_id") == F.col("__incident")) & (F.col("place") == F.col("__place"))
+    return won.join(rows, same, "left").drop("__incident", "__place")
+
+
 def latest_by_type(log: DataFrame, event_type: str) -> DataFrame:
-    """Time and payload of the latest event of a type per incident."""
-    return (
-        log.where(of_type(event_type))
-        .groupBy("incident_id")
-        .agg(F.max_by(F.struct("ts", "payload"), at()).alias("last"))
-        .select("incident_id", F.col("last.ts").alias("ts"), F.col("last.payload").alias("payload"))
-    )
+    """Time and payload of the latest event of a type per incident: one hash aggregate, one look-up."""
+    rows = log.where(of_type(event_type)).select("incident_id", "ts", "payload", place().alias("place"))
+    last = rows.groupBy("incident_id").agg(F.max("place").alias("place"))
+    return rows.join(last, ["incident_id", "place"]).select("incident_id", "ts", "payload")
 
 
 def affected_services(log: DataFrame) -> DataFrame:

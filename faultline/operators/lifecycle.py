@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonval, vocab
-from faultline.operators.eventlog import INCIDENT, at, of_type, opened
+from faultline.operators.eventlog import INCIDENT, at, at_places, of_type, opened, place
 from faultline.plans.firsts import position
 from faultline.plans.slices import SLICE_ROWS, numbered, previous, settled
 
@@ -83,29 +83,26 @@ def current_incident(log: DataFrame) -> DataFrame:
 
 
 def owner_status(log: DataFrame) -> DataFrame:
-    """Latest suggested and confirmed owner of each incident, and where that stands."""
-    rows = opened(log, vocab.OWNERSHIP_SUGGESTED, vocab.OWNER_CONFIRMED)
-    suggested = of_type(vocab.OWNERSHIP_SUGGESTED)
-    offer = F.struct(
-        jsonval.text(F.col("p"), "$.suggested_owner").alias("owner"),
-        jsonval.text(F.col("p"), "$.citation").alias("citation"),
-    )
-    answer = F.struct(
-        jsonval.text(F.col("p"), "$.owner").alias("owner"),
-        jsonval.text(F.col("p"), "$.confirmed_by").alias("by"),
-    )
-    latest = rows.groupBy("incident_id").agg(
-        F.max_by(offer, F.when(suggested, at())).alias("s"),
-        F.max_by(answer, F.when(~suggested, at())).alias("c"),
+    """Latest suggested and confirmed owner of each incident, and where that stands.
+
+    One hash aggregate finds the two events of each incident, which are then looked up.
+    """
+    kinds = (vocab.OWNERSHIP_SUGGESTED, vocab.OWNER_CONFIRMED)
+    places = log.groupBy("incident_id").agg(*[F.max(F.when(of_type(kind), place())).alias(name) for kind, name in zip(kinds, ("s", "c"))])
+    p = F.col("p")
+    offer = F.when(of_type(kinds[0]), F.struct(jsonval.text(p, "$.suggested_owner").alias("owner"), jsonval.text(p, "$.citation").alias("citation")))
+    answer = F.when(of_type(kinds[1]), F.struct(jsonval.text(p, "$.owner").alias("owner"), jsonval.text(p, "$.confirmed_by").alias("by")))
+    found = at_places(log, places, ["s", "c"], *kinds).groupBy("incident_id", "s", "c").agg(
+        F.collect_list(offer).alias("offers"), F.collect_list(answer).alias("answers")
     )
-    every = log.select("incident_id").distinct()
+    offer, answer = F.get("offers", F.lit(0)), F.get("answers", F.lit(0))
     status = F.when(F.col("c").isNotNull(), "confirmed").when(F.col("s").isNotNull(), "suggested")
-    return every.join(latest, "incident_id", "left").select(
+    return found.select(
         "incident_id",
-        F.col("s.owner").alias("suggested_owner"),
-        F.col("s.citation").alias("citation"),
-        F.col("c.owner").alias("confirmed_owner"),
-        F.col("c.by").alias("confirmed_by"),
+        offer["owner"].alias("suggested_owner"),
+        offer["citation"].alias("citation"),
+        answer["owner"].alias("confirmed_owner"),
+        answer["by"].alias("confirmed_by"),
         F.coalesce(status, F.lit("awaiting")).alias("status"),
     )
 
@@ -116,8 +113,7 @@ def report_outcome(log: DataFrame) -> DataFrame:
     A refusal outranks a skip, a skip a failure, a failure a completion. An incident that is
     resolved, with neither text nor a refusal, skip or failure, is `waiting`.
     """
-    rows = opened(
-        log,
+    types = (
         vocab.REPORT_TOKEN,
         vocab.REPORT_COMPLETE,
         vocab.BLOCKED,
@@ -125,45 +121,51 @@ def report_outcome(log: DataFrame) -> DataFrame:
         vocab.REPORT_ERROR,
         vocab.STATE_TRANSITION,
     )
-    step = jsonval.text(F.col("p"), "$.step")
-    error = jsonval.text(F.col("p"), "$.error")
-    target = jsonval.text(F.col("p"), "$.to")
-    complete = of_type(vocab.REPORT_COMPLETE)
-    blocked = of_type(vocab.BLOCKED) & (step == vocab.REPORT_STEP)
-    skipped = of_type(vocab.SKIPPED) & (step == vocab.REPORT_SKIP_STEP)
-    failed = of_type(vocab.REPORT_ERROR)
-    done = F.struct(
-        jsonval.number(F.col("p"), "$.elapsed_ms").alias("elapsed_ms"),
-        jsonval.text(F.col("p"), "$.model").alias("model"),
+    p = F.col("p")
+    # fixed-width marks of every event, parsed once
+    state = F.nullif(F.array_position(F.array(*[F.lit(name) for name in vocab.STATES]), jsonval.text(p, "$.to")), F.lit(0))
+    read = settled(
+        log.withColumn("p", F.when(of_type(*types), jsonval.open_payload(F.col("payload")))).select(
+            "incident_id",
+            place().alias("place"),
+            (of_type(vocab.BLOCKED) & (jsonval.text(p, "$.step") == vocab.REPORT_STEP)).alias("blocks"),
+            (of_type(vocab.SKIPPED) & (jsonval.text(p, "$.step") == vocab.REPORT_SKIP_STEP)).alias("skips"),
+            of_type(vocab.REPORT_ERROR).alias("fails"),
+            of_type(vocab.REPORT_COMPLETE).alias("ends"),
+            (of_type(vocab.REPORT_TOKEN) & jsonval.text(p, "$.token").isNotNull()).alias("tells"),
+            F.when(of_type(vocab.STATE_TRANSITION), state).alias("moves"),
+        )
     )
-    token = of_type(vocab.REPORT_TOKEN) & jsonval.text(F.col("p"), "$.token").isNotNull()
-    last = rows.groupBy("incident_id").agg(
-        F.coalesce(F.bool_or(blocked), F.lit(False)).alias("blocked"),
-        F.max_by(F.struct(error.alias("e")), F.when(skipped, at())).alias("skip"),
-        F.max_by(F.struct(error.alias("e")), F.when(failed, at())).alias("fail"),
-        F.max_by(done, F.when(complete, at())).alias("done"),
-        F.coalesce(F.bool_or(token), F.lit(False)).alias("has_text"),
-        F.max_by(target, F.when(of_type(vocab.STATE_TRANSITION) & target.isin(*vocab.STATES), at())).alias("state"),
+    places = read.groupBy("incident_id").agg(
+        F.coalesce(F.bool_or("blocks"), F.lit(False)).alias("blocked"),
+        F.coalesce(F.bool_or("tells"), F.lit(False)).alias("has_text"),
+        F.max_by("moves", F.when(F.col("moves").isNotNull(), F.col("place"))).alias("state"),
+        *[F.max(F.when(F.col(mark), F.col("place"))).alias(name) for mark, name in (("skips", "skip"), ("fails", "fail"), ("ends", "done"))],
     )
-    every = log.select("incident_id").distinct()
-    return every.join(last, "incident_id", "left").select(
+    said = F.struct(
+        "place", jsonval.text(p, "$.error").alias("e"), jsonval.number(p, "$.elapsed_ms").alias("elapsed_ms"), jsonval.text(p, "$.model").alias("model")
+    )
+    found = at_places(log, places, ["skip", "fail", "done"], vocab.SKIPPED, vocab.REPORT_ERROR, vocab.REPORT_COMPLETE)
+    found = found.groupBy(*places.columns).agg(F.collect_list(F.when(F.col("event_type").isNotNull(), said)).alias("said"))
+
+    def of(name: str) -> Column:
+        return F.get(F.filter("said", lambda x: x["place"] == F.col(name)), F.lit(0))
+
+    skip, fail, done = of("skip")["e"], of("fail")["e"], of("done")
+    return found.select(
         "incident_id",
         F.when(F.col("blocked"), "blocked")
-        .when(F.col("skip.e").isNotNull(), "skipped")
-        .when(F.col("fail.e").isNotNull(), "failed")
+        .when(skip.isNotNull(), "skipped")
+        .when(fail.isNotNull(), "failed")
         .when(F.col("done").isNotNull(), "complete")
         .when(F.col("has_text"), "streaming")
         .otherwise("none")
         .alias("outcome"),
-        F.coalesce(F.col("skip.e"), F.col("fail.e")).alias("error"),
-        F.col("done.elapsed_ms").alias("elapsed_ms"),
-        F.col("done.model").alias("model"),
+        F.coalesce(skip, fail).alias("error"),
+        done["elapsed_ms"].alias("elapsed_ms"),
+        done["model"].alias("model"),
         F.coalesce(
-            (F.col("state") == vocab.RESOLVED)
-            & ~F.col("has_text")
-            & ~F.col("blocked")
-            & F.col("skip.e").isNull()
-            & F.col("fail.e").isNull(),
+            (F.col("state") == vocab.STATES.index(vocab.RESOLVED) + 1) & ~F.col("has_text") & ~F.col("blocked") & skip.isNull() & fail.isNull(),
             F.lit(False),
         ).alias("waiting"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import jsonval, vocab
-from faultline.operators.eventlog import at, of_type, opened
+from faultline.operators.eventlog import at_places, of_type, opened, place
 from faultline.plans.slices import settled
 
 
@@ -98,33 +98,36 @@ def search_counts(rows: DataFrame, severity: str | None = None, text: str | None
 def latency_badges(log: DataFrame) -> DataFrame:
     """Last measured latency of extraction, context lookup and retrieval per incident.
 
-    A context lookup that was skipped carries what blocked it.
+    A context lookup that was skipped carries what blocked it. One hash aggregate over the log; only
+    the blocking events are looked up.
     """
-    rows = opened(
-        log,
-        vocab.EXTRACTION_COMPLETED,
-        vocab.RELATED_ITEMS,
-        vocab.RUNBOOK_RETRIEVED,
-        vocab.OWNERSHIP_SUGGESTED,
-        vocab.SKIPPED,
+    retrieval = (vocab.RUNBOOK_RETRIEVED, vocab.OWNERSHIP_SUGGESTED)
+    types = (vocab.EXTRACTION_COMPLETED, vocab.RELATED_ITEMS, *retrieval, vocab.SKIPPED)
+    p = F.col("p")
+    read = settled(
+        log.withColumn("p", F.when(of_type(*types), jsonval.open_payload(F.col("payload")))).select(
+            "incident_id",
+            "event_type",
+            place().alias("place"),
+            jsonval.number(p, "$.latency_ms").alias("latency"),
+            (of_type(vocab.SKIPPED) & (jsonval.text(p, "$.step") == vocab.CONTEXT_STEP)).alias("skipped"),
+        )
     )
-    latency = jsonval.number(F.col("p"), "$.latency_ms")
-    skipped = of_type(vocab.SKIPPED) & (jsonval.text(F.col("p"), "$.step") == vocab.CONTEXT_STEP)
-    blocker = F.coalesce(jsonval.text(F.col("p"), "$.blocker"), F.lit("blocked"))
 
     def last(*types: str) -> Column:
-        return F.max_by(latency, F.when(of_type(*types) & latency.isNotNull(), at()))
+        return F.max_by("latency", F.when(of_type(*types) & F.col("latency").isNotNull(), F.col("place")))
 
-    found = rows.groupBy("incident_id").agg(
+    places = read.groupBy("incident_id").agg(
         last(vocab.EXTRACTION_COMPLETED).alias("extraction"),
         last(vocab.RELATED_ITEMS).alias("context"),
-        last(vocab.RUNBOOK_RETRIEVED, vocab.OWNERSHIP_SUGGESTED).alias("retrieval"),
-        F.max_by(blocker, F.when(skipped, at())).alias("blocker"),
+        last(*retrieval).alias("retrieval"),
+        F.max(F.when(F.col("skipped"), F.col("place"))).alias("stopped"),
     )
-    every = log.select("incident_id").distinct()
+    blocker = F.when(F.col("event_type").isNotNull(), F.coalesce(jsonval.text(p, "$.blocker"), F.lit("blocked")))
     note = F.concat(F.lit("skipped — not configured ("), F.col("blocker"), F.lit(")"))
     return (
-        every.join(found, "incident_id", "left")
+        at_places(log, places, ["stopped"], vocab.SKIPPED)
+        .withColumn("blocker", blocker)
         .unpivot(["incident_id", "blocker"], ["extraction", "context", "retrieval"], "badge", "latency_ms")
         .select("incident_id", "badge", "latency_ms", F.when(F.col("badge") == "context", note).alias("note"))
     )
