@@ -13,8 +13,9 @@ rows and queries meet in blocks of bounded size. A query goes once to each bin t
 its own, is scored there against just those parts, and each block passes on its own best; these are
 ranked per query. Nearness is the largest inner product in double precision, ties go to the
 smaller id. Vectors that are null, zero, hold nulls or non-finite numbers, or are not as long as
-most vectors take no part; null ids neither. All rows of a query's own id are left out of its
-answer. Empty tables give an empty result.
+most vectors take no part; null ids neither. A query's own row is left out of its answer, other rows
+of its id or equal to it are not; two rows of one query id are two queries. Empty tables give an
+empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ INDEX_BLOCK = 16_384
 QUERY_BLOCK = 2_048
 BLOCK_VALUES = 1 << 21  # numbers in a block: 16 MB
 PRODUCT_ROWS = 512
-FOUND = "query_id bigint, vec_id bigint, score double"
+FOUND = "asked bigint, query_id bigint, vec_id bigint, score double"
 
 
 def neighbours(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -158,12 +159,13 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 1))
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """(query_id, vec_id, score) of the k best rows of each query; `ids` ascend."""
+def best(asking: pd.DataFrame, queries: np.ndarray, stored: pd.DataFrame, rows: np.ndarray, k: int) -> pd.DataFrame:
+    """(asked, query_id, vec_id, score) of the k best rows of each query; ids ascend."""
+    own, ids, numbers = asking["rid"].to_numpy(), stored["vec_id"].to_numpy(), stored["rid"].to_numpy()
     found = []
     for low in range(0, len(queries), PRODUCT_ROWS):
         near = queries[low : low + PRODUCT_ROWS] @ rows.T
-        near[query_ids[low : low + PRODUCT_ROWS, None] == ids[None, :]] = -np.inf
+        near[own[low : low + PRODUCT_ROWS, None] == numbers[None, :]] = -np.inf
         for n, line in enumerate(near, low):
             if len(line) > k:
                 edge = np.partition(line, len(line) - k)[len(line) - k]
@@ -173,11 +175,9 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
                 at = np.flatnonzero(line > -np.inf)
             score = (rows[at] * queries[n]).sum(1)
             order = np.lexsort((ids[at], -score))[:k]
-            found.append((np.full(len(order), query_ids[n]), ids[at[order]], score[order]))
-    if not found:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    query, vec, score = (np.concatenate(x) for x in zip(*found))
-    return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
+            found.append((np.full(len(order), own[n]), np.full(len(order), asking["vec_id"].iloc[n]), ids[at[order]], score[order]))
+    columns = ["asked", "query_id", "vec_id", "score"]
+    return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*found))))) if found else pd.DataFrame(columns=columns)
 
 
 def binned(sizes: dict[int, int], most: int) -> list[tuple[int, int, int]]:
@@ -208,9 +208,9 @@ def search(
     length = rows.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").first()
     if length is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = rows.where(F.size("v") == length[0])
+    rows = written(rows.where(F.size("v") == length[0]).withColumn("rid", F.monotonically_increasing_id()), "ann-rows")
     total = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "rid").limit(SAMPLE).toPandas()
     router = fit(matrix(sample["v"]), total, routed)
 
     def place(batches):
@@ -218,7 +218,7 @@ def search(
             ranked = router.ranked(matrix(batch["v"])) if len(batch) else np.zeros((0, 1), int)
             yield batch.assign(part=ranked[:, 0].astype(np.int32))
 
-    index = written(rows.mapInPandas(place, "vec_id bigint, v array<double>, part int"), "ann-index")
+    index = written(rows.mapInPandas(place, "vec_id bigint, v array<double>, rid bigint, part int"), "ann-index")
     # at most MOST_PARTS rows here and below
     sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
     most = max(1, min(INDEX_BLOCK, BLOCK_VALUES // length[0]))
@@ -234,11 +234,11 @@ def search(
                 for part in parts:
                     if part in bin_of:
                         wanted.setdefault(bin_of[part], []).append(part)
-                sent += [(batch["vec_id"].iloc[n], batch["v"].iloc[n], number, parts) for number, parts in wanted.items()]
-            yield pd.DataFrame(sent, columns=["vec_id", "v", "bin", "parts"])
+                sent += [(batch["vec_id"].iloc[n], batch["v"].iloc[n], batch["rid"].iloc[n], number, parts) for number, parts in wanted.items()]
+            yield pd.DataFrame(sent, columns=["vec_id", "v", "rid", "bin", "parts"])
 
     asked = written(
-        rows.where(is_query(F.col("vec_id"))).mapInPandas(route, "vec_id bigint, v array<double>, bin int, parts array<int>"),
+        rows.where(is_query(F.col("vec_id"))).mapInPandas(route, "vec_id bigint, v array<double>, rid bigint, bin int, parts array<int>"),
         "ann-queries",
     )
     asks = {r["bin"]: -(-r["count"] // QUERY_BLOCK) for r in asked.groupBy("bin").count().collect()}
@@ -250,22 +250,22 @@ def search(
     def upto(n: str):
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
-    left = index.join(homes, "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    left = left.withColumn("q_block", upto("q_blocks")).select("bin", "block", "q_block", "vec_id", "v", "part")
-    right = asked.join(met, "bin").withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.col("q_blocks")))
-    right = right.withColumn("block", upto("blocks")).select("bin", "block", "q_block", "vec_id", "v", "parts")
+    left = index.join(homes, "part").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+    left = left.withColumn("q_block", upto("q_blocks")).select("bin", "block", "q_block", "vec_id", "v", "rid", "part")
+    right = asked.join(met, "bin").withColumn("q_block", F.pmod(F.xxhash64("rid"), F.col("q_blocks")))
+    right = right.withColumn("block", upto("blocks")).select("bin", "block", "q_block", "vec_id", "v", "rid", "parts")
 
     def score(stored: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = [best(np.zeros((0, 1)), np.zeros(0), np.zeros((0, 1)), np.zeros(0), k)]
+        found = []
         if len(queries):
-            asking, asking_ids = matrix(queries["v"]), queries["vec_id"].to_numpy()
+            asking = matrix(queries["v"])
             for part, here in stored.sort_values("vec_id", kind="stable").groupby("part"):
                 at = np.flatnonzero([part in wanted for wanted in queries["parts"]])
-                found.append(best(asking[at], asking_ids[at], matrix(here["v"]), here["vec_id"].to_numpy(), k))
-        found = pd.concat([f for f in found if len(f)] or found[:1]).drop_duplicates()
-        return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+                found.append(best(queries.iloc[at], asking[at], here, matrix(here["v"]), k))
+        found = pd.concat([f for f in found if len(f)] or [pd.DataFrame(columns=["asked", "query_id", "vec_id", "score"])])
+        return found.sort_values(["asked", "score", "vec_id"], ascending=[True, False, True]).groupby("asked").head(k)
 
     keys = ["bin", "block", "q_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -38,6 +38,14 @@ def test_one_part_is_exact_with_ties_and_odd_rows(spark):
     assert L.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_repeated_rows_are_candidates_each(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0])]
+    got = sorted(map(tuple, L.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), lambda i: i % 20 == 0).collect()))
+    of_0 = [(0, 1, 1, 0.5), (0, 2, 1, 0.5), (0, 3, 2, 0.25), (0, 4, 20, 0.0), (0, 5, 20, 0.0)]
+    of_20 = [(20, 1, 20, 1.0), (20, 2, 1, 0.5), (20, 3, 1, 0.5), (20, 4, 0, 0.0), (20, 5, 2, 0.0)]
+    assert got == sorted(of_0 + 2 * of_20)
+
+
 def test_many_parts_reach_the_recall(spark, monkeypatch):
     monkeypatch.setattr(L, "ROWS_PER_PART", 100)
     monkeypatch.setattr(L, "INDEX_BLOCK", 70)
