@@ -49,6 +49,7 @@ LEAF = 192  # documents whose intersections are counted at once
 ISLAND_RUNS = 2_000_000  # an island of more runs or documents is cut before it is joined
 ISLAND_DOCS = 1_024
 ROUNDS = 3
+MOST_BROADCAST = 100_000  # large regions, of two numbers each
 MOST_VISITS = 3  # times the documents that cells of a useful cut hold, visitors included
 FILTER_BITS = 1 << 28
 
@@ -376,11 +377,15 @@ def linked(placed: DataFrame, most_runs: int, most_docs: int, rounds: int) -> Da
         edges = found if edges is None else edges.unionByName(found)
 
     for turn in range(rounds + 1):
-        sized = placed.join(_sizes(placed, most_runs, most_docs), "region")
-        more(sized.where("blocks <= 1").groupBy("region").applyInPandas(join_group, "a bigint, b bigint"))
-        large = sized.where("blocks > 1")
-        if large.isEmpty():
+        crowded = written(_sizes(placed, most_runs, most_docs).where("blocks > 1"), "jaccard-crowded")
+        count = crowded.count()
+        if not count:
+            more(placed.groupBy("region").applyInPandas(join_group, "a bigint, b bigint"))
             return edges
+        # runs stay where they are while the few large regions are told apart
+        sized = placed.join(F.broadcast(crowded) if count <= MOST_BROADCAST else crowded, "region", "left")
+        more(sized.where("blocks IS NULL").groupBy("region").applyInPandas(join_group, "a bigint, b bigint"))
+        large = sized.where("blocks IS NOT NULL")
         if turn == rounds:
             break
         placed = written(_cut(large), "jaccard-cells")

@@ -1,13 +1,17 @@
 """Word and word-sequence hashes of texts, without a Python object per word.
 
-Words are runs without ASCII white space. All arithmetic is modulo 2^64; bytes pass through a table
+Words are runs without ASCII white space. Most arithmetic is modulo 2^64; bytes pass through a table
 of random numbers first, and sums are mixed, so values behave like random 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
+WORD_SEED = 20240229
+# bytes.split() parts at ASCII white space only: 9 to 13 and 32
+_PLAIN = bytes(range(256)).lower()
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
 _LOWER = _BYTES.copy()
@@ -73,8 +77,23 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `width` lower-cased words; a shorter text is one run."""
-    words = word_hashes(text, lower=True)
-    if not len(words):
-        return words
-    return np.unique(window_hashes(words, min(width, len(words))))
+    """Sorted distinct hashes of the runs of `width` lower-cased words; a shorter text is one run.
+
+    Here equal hashes count as equal runs, so words go through XXH3 and are mixed in one after the
+    other: sums of powers, as above, have words of their own making that collide.
+    """
+    words = lower_ascii((text or "").encode()).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    known = {word: xxhash.xxh3_64_intdigest(word, seed=WORD_SEED) for word in set(words)}
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    width = min(width, len(words))
+    runs = np.full(len(words) - width + 1, width, np.uint64)
+    for n in range(width):
+        runs = mixed(runs * _STEP + hashes[n : n + len(runs)])
+    return np.unique(runs)
+
+
+def lower_ascii(data: bytes) -> bytes:
+    """A-Z as a-z; all other bytes stay."""
+    return data.translate(_PLAIN)

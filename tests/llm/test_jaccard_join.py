@@ -95,3 +95,14 @@ def test_join_sets_recursion(monkeypatch):
             if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                 plain.join(a, b)
     assert [forest.root(n) for n in range(len(sets))] == [plain.root(n) for n in range(len(sets))]
+
+
+def test_words_that_collide_in_sums_of_powers_do_not_link(spark):
+    """Thue-Morse words and their complements."""
+    rows = []
+    for n in (10, 11, 12):
+        word = "".join("ab"[bin(i).count("1") & 1] for i in range(1 << n))
+        rows += [(2 * n, word), (2 * n + 1, word.translate(str.maketrans("ab", "ba")))]
+    got = J.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i for i, _ in rows}
+    assert all(r["class_size"] == 1 for r in got)
