@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import words
-from faultline.plans.slices import kept
+from faultline.plans.slices import kept, settled
 
 CHUNK = ("content_id", "chunk_index")
 QUERY_BLOCK = 4_096  # queries that meet a block in one task
+BLOCK_CHUNKS = 32_768  # chunks of a block, unless their number is given
+TASK_CHUNKS = 65_536  # chunks whose words one task counts
 DIGITS = 6
 MARGIN = 2e-6  # scores are ranked as rounded
 FOUND = "query_id bigint, content_id bigint, chunk_index bigint, score double, scored bigint"
@@ -57,23 +59,36 @@ def asked_words(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """Rows of equal keys in one task, over at least `tasks` tasks."""
+    return df.repartition(tasks, *keys) if tasks > _partitions(df) else df.repartition(*keys)
+
+
 def build_index(
     chunks: DataFrame, k1: float = 1.2, b: float = 0.75, blocks: int | None = None, path: str | None = None, only: DataFrame | None = None
 ) -> PostingIndex:
     """Store the words of chunks (content_id, chunk_index, chunk_text) under `path`; only those in `only` (term), if given.
 
-    There are as many blocks as shuffle partitions unless `blocks` says otherwise; some thousand
-    chunks a block are a good size.
+    There are as many blocks as shuffle partitions, and more where a block would exceed
+    BLOCK_CHUNKS, unless `blocks` says otherwise.
     """
-    blocks = blocks or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sized = chunks.select(*CHUNK, words(F.coalesce("chunk_text", F.lit(""))).alias("w"))
+    number = chunks.count()
+    blocks = blocks or max(_partitions(chunks), -(-number // BLOCK_CHUNKS))
+    # settled: a constant chunk number would not count as a key that the rows lie by
+    sized = settled(chunks.select(*CHUNK, words(F.coalesce("chunk_text", F.lit(""))).alias("w")))
+    sized = dealt(sized, -(-number // TASK_CHUNKS), *CHUNK)
     marked = F.concat(F.array(F.lit("")), F.col("w"))  # no word is empty
     rows = sized.select(*CHUNK, F.size("w").alias("size"), F.explode(marked).alias("term"))
+    # chunks lie together, so that their words are counted without another shuffle
+    counted = rows.groupBy(*CHUNK, "size", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     if only is not None:
         blank = only.sparkSession.range(1).select(F.lit("").alias("term"))
-        rows = rows.join(only.select("term").unionByName(blank), "term", "left_semi")
-    # a chunk is one row, so most of the count is done before the shuffle
-    counted = rows.groupBy(*CHUNK, "size", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        counted = counted.join(kept(only.select("term").unionByName(blank).distinct()), "term", "left_semi")
+        counted = counted.select(*CHUNK, "size", "term", "tf")
     placed = counted.withColumn("block", F.pmod(F.xxhash64("content_id"), F.lit(blocks)))
     if path is None:
         return open_index(kept(placed), blocks, k1, b)
@@ -157,6 +172,9 @@ def ranked(index: PostingIndex, queries: DataFrame, k: int) -> DataFrame:
     rows = used.withColumn("by", every(q_blocks)) if q_blocks > 1 else used.withColumn("by", F.lit(0).cast("bigint"))
     asking = wanted.withColumn("by", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("block", every(index.blocks))
     keys = ("block", "by")
+    if index.blocks * q_blocks > _partitions(queries):
+        # a few blocks a task, however many there are
+        rows, asking = (part.repartition(index.blocks * q_blocks, *keys) for part in (rows, asking))
     found = rows.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(lambda ours, theirs: block_score(ours, theirs, k), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), *CHUNK)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -15,6 +15,7 @@ from faultline.functions import jsonval, vocab
 from faultline.functions.text import strip
 from faultline.operators import balls, postings
 from faultline.operators.postings import CHUNK
+from faultline.plans.slices import kept
 
 
 def intent_queries(symptoms: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def search_topk(
     Scores are rounded to 6 digits; ties go to the lower id. An index of the queries' words is stored
     and searched once; `postings.build_index` keeps one of all words for many searches.
     """
-    top = postings.ranked(postings.build_index(chunks, k1, b, only=postings.asked_words(queries)), queries, k)
+    top = kept(postings.ranked(postings.build_index(chunks, k1, b, only=postings.asked_words(queries)), queries, k))
     shown = chunks.select(*CHUNK, "chunk_text", "title")
     return shown.join(top, list(CHUNK)).select(
         "query_id", "rank", "score", "content_id", "chunk_index", "title", "chunk_text"

@@ -89,3 +89,17 @@ def test_one_index_serves_many_searches(spark, corpus, monkeypatch, tmp_path):
     again = postings.open_index(spark.read.parquet(str(tmp_path / "index")), 5)
     assert answers(postings.ranked(again, queries, 3)) == parts[0] | parts[1]
     assert answers(postings.ranked(postings.build_index(chunks.limit(0)), queries, 3)) == {}
+
+
+def test_blocks_and_tasks_grow_with_the_chunks(spark, corpus, monkeypatch):
+    chunks, queries = frames(spark, corpus)
+    monkeypatch.setattr(postings, "BLOCK_CHUNKS", 100)
+    monkeypatch.setattr(postings, "TASK_CHUNKS", 100)
+    index = postings.build_index(chunks, only=postings.asked_words(queries))
+    assert index.blocks == -(-len(corpus[0]) // 100)
+    held = index.postings.groupBy("block").agg(F.countDistinct(*postings.CHUNK).alias("n"))
+    assert held.agg(F.max("n")).first()[0] < 250
+    found = postings.ranked(index, queries, 3)
+    assert found._jdf.queryExecution().executedPlan().toString().count(f", {index.blocks}), REPARTITION_BY_NUM") == 2
+    monkeypatch.undo()
+    assert answers(postings.ranked(index, queries, 3)) == answers(retrieval.search_topk(chunks, queries, 3))
