@@ -39,8 +39,11 @@ def create_tables(spark: SparkSession, prefix: str = "", location: str | None =
 
 
 def fill_table(rows: DataFrame, table: str, prefix: str = "", buckets: int = BUCKETS) -> None:
-    """Append rows to one of the tables, a file per bucket."""
+    """Append rows to one of the tables, a file per bucket, or several where a bucket is large.
+
+    A key may hold most rows, so a large bucket is sorted and written by several tasks.
+    """
     keys, _ = CLUSTERED[table]
     columns = [part.split()[0] for part in TABLES[table].split(", ")]
-    # the same hash as the buckets', so a task writes whole buckets
-    rows.select(*columns).repartition(buckets, *[F.col(key) for key in keys]).write.insertInto(f"{prefix}{table}")
+    # the same hash as the buckets', so a task writes whole buckets; rebalancing cuts the large ones
+    rows.select(*columns).hint("rebalance", buckets, *[F.col(key) for key in keys]).write.insertInto(f"{prefix}{table}")

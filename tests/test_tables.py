@@ -42,6 +42,28 @@ def test_readers_of_clustered_tables_do_not_shuffle(spark, tmp_path):
         spark.sql(f"DROP TABLE cl_{name}")
 
 
+def test_a_hot_key_is_written_by_several_tasks(spark, tmp_path):
+    prepare(spark)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        tables.create_tables(spark, "hk_", str(tmp_path), 4)
+        rows = spark.range(0, 40_000, 1, 8).select(
+            F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"), F.lit("tickets").alias("source"), F.lit("hot").alias("record_type"),
+            F.col("id").cast("string").alias("external_id"), F.lit("a").alias("author"), F.sha2(F.col("id").cast("string"), 256).alias("title"), F.lit("{}").alias("payload"),
+        )
+        tables.fill_table(rows, "history", "hk_", 4)
+        back = spark.table("hk_history")
+        # one key, so one bucket: no task wrote all of it, and its readers still need no exchange
+        assert back.select(F.input_file_name()).distinct().count() > 3
+        counted = back.groupBy("source", "record_type").count()
+        assert "Exchange" not in plan(counted) and counted.first()["count"] == 40_000
+        assert back.exceptAll(rows.select(*back.columns)).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        for name in ("events", "metrics", "history"):
+            spark.sql(f"DROP TABLE IF EXISTS hk_{name}")
+
+
 def test_a_tick_per_batch_through_a_restart(spark, tmp_path):
     prepare(spark)
     # stored in no order; the fourth tick holds most rows
