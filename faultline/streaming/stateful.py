@@ -2,7 +2,8 @@
 
 Rows of a key are put in time order across micro-batches: they wait until the watermark has passed
 them. A row older than what its key has already released is late: it changes no state and comes
-out marked.
+out marked. Folds handle many keys in one lane, for a call per key and micro-batch costs far more
+than its rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from faultline.functions import vocab
 
 STRETCH = 60.0  # seconds of a key's rows that are released together
 OUT_ROWS = 10_000
+LANES = 1_024  # keys of a fold share so many groups; a checkpoint holds for this number
+LANE, KEY = "lane_of_keys", "key_text"
 
 
 def seconds(column: str) -> Column:
@@ -33,7 +36,7 @@ def _filled(value):
 
 
 class Ordered(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed their stretch of time, then hands them on in order.
+    """Holds a group's rows until the watermark has passed their stretch of time, then hands them on in order.
 
     Rows arrive in Arrow batches and are put away one batch at a time, by stretch. A timer at the end
     of the oldest stretch releases all that are over, one after the other, so the rows of one stretch
@@ -51,7 +54,7 @@ class Ordered(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         parts, released, timer = self.load()
         for frame in rows:
-            late = (frame[self.columns[0]] < released).to_numpy()
+            late = self.is_late(frame, released)
             if late.any():
                 yield from self.late(key, frame[late])
             fresh = frame[~late]
@@ -73,9 +76,9 @@ class Ordered(StatefulProcessor):
             for part in range(parts.pop(stretch)):
                 rows += json.loads(self.parts.getValue((stretch, part))[0])
                 self.parts.removeKey((stretch, part))
-            rows.sort(key=lambda row: row[: self.order])
-            yield from self.advance(key, rows)
-            released = (stretch + 1) * self.stretch
+            end = (stretch + 1) * self.stretch
+            yield from self.advance(key, rows, end)
+            released = max(released, end)
         self.store(parts, released, None)
 
     def load(self) -> tuple[dict[int, int], float, int | None]:
@@ -93,10 +96,16 @@ class Ordered(StatefulProcessor):
                 self.handle.registerTimer(wanted)
         self.held.update((json.dumps(parts), released, wanted))
 
+    def is_late(self, frame: pd.DataFrame, released: float) -> np.ndarray:
+        return (frame[self.columns[0]] < released).to_numpy()
+
+    def in_order(self, rows: list) -> list:
+        return sorted(rows, key=lambda row: row[: self.order])
+
     def late(self, key, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         raise NotImplementedError
 
-    def advance(self, key, rows: list) -> Iterator[pd.DataFrame]:
+    def advance(self, key, rows: list, end: float) -> Iterator[pd.DataFrame]:
         raise NotImplementedError
 
     def close(self) -> None:
@@ -104,7 +113,11 @@ class Ordered(StatefulProcessor):
 
 
 class Fold(Ordered):
-    """Runs `step(state, inputs) -> (state, outputs)` over the rows of a key in order."""
+    """Runs `step(state, inputs) -> (state, outputs)` over the rows of a key in order.
+
+    A group is a lane of keys. Its rows are put away together; each key has its own state, and
+    its own time up to which rows were released.
+    """
 
     def __init__(
         self,
@@ -117,26 +130,45 @@ class Fold(Ordered):
         tie: Sequence[str],
         stretch: float,
     ) -> None:
-        super().__init__(time, tie, [*inputs, *keep], stretch)
+        super().__init__(time, tie, [*inputs, *keep, KEY], stretch)
         self.step, self.outputs, self.keep, self.state_schema = step, list(outputs), list(keep), state_schema
         self.inputs, self.kept = [self.columns.index(name) for name in inputs], [self.columns.index(name) for name in keep]
+        self.key = self.columns.index(KEY)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.state = handle.getValueState("state", self.state_schema)
+        self.states = handle.getMapState("states", "key string", f"released double, {self.state_schema}")
+
+    def is_late(self, frame: pd.DataFrame, released: float) -> np.ndarray:
+        late = super().is_late(frame, released)
+        if late.any():  # older than what the lane has released: the key's own time decides
+            old = frame[late]
+            own = {key: (self.states.getValue((key,)) or (-np.inf,))[0] for key in old[KEY].unique()}
+            late[late] = (old[self.columns[0]] < old[KEY].map(own)).to_numpy()
+        return late
 
     def late(self, key, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield frame[self.keep].assign(**dict.fromkeys(self.outputs), late=True)
 
-    def advance(self, key, rows: list) -> Iterator[pd.DataFrame]:
-        state = tuple(_filled(part) for part in self.state.get()) if self.state.exists() else None
-        for low in range(0, len(rows), OUT_ROWS):
-            made = []
-            for row in rows[low : low + OUT_ROWS]:
+    def advance(self, key, rows: list, end: float) -> Iterator[pd.DataFrame]:
+        keys, made = {}, []
+        for row in rows:
+            keys.setdefault(row[self.key], []).append(row)
+        for name, own in keys.items():
+            released, *state = self.states.getValue((name,)) or (-np.inf, None)
+            state = None if released == -np.inf else tuple(_filled(part) for part in state)
+            for row in self.in_order(own):
                 state, out = self.step(state, tuple(_filled(row[n]) for n in self.inputs))
                 made.append((*[row[n] for n in self.kept], *out, False))
-            yield pd.DataFrame(made, columns=[*self.keep, *self.outputs, "late"])
-        self.state.update(tuple(state))
+                if len(made) == OUT_ROWS:
+                    yield self.made(made)
+                    made = []
+            self.states.updateValue((name,), (max(released, end), *state))
+        if made:
+            yield self.made(made)
+
+    def made(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*self.keep, *self.outputs, "late"])
 
 
 def fold_stream(
@@ -154,7 +186,8 @@ def fold_stream(
 ) -> DataFrame:
     """A fold over a stream that has a watermark; `time` holds epoch seconds. Rows come out once the
     watermark has passed their stretch."""
-    return stream.groupBy(*keys).transformWithStateInPandas(
+    lane = F.pmod(F.xxhash64(*keys), F.lit(LANES)).alias(LANE)
+    return stream.select("*", F.to_json(F.struct(*keys)).alias(KEY), lane).groupBy(LANE).transformWithStateInPandas(
         statefulProcessor=Fold(step, time, inputs, outputs, keep, state_schema, tie, stretch),
         outputStructType=schema,
         outputMode="Append",
@@ -203,9 +236,10 @@ class Onset(Ordered):
     def row(self, key, onset: float | None, late: int) -> pd.DataFrame:
         return pd.DataFrame({"service": [key[0]], "metric": [key[1]], "onset": [onset], "late_rows": [late]}).astype({"onset": "float64"})
 
-    def advance(self, key, rows: list) -> Iterator[pd.DataFrame]:
+    def advance(self, key, rows: list, end: float) -> Iterator[pd.DataFrame]:
         if self.found.exists():
             return
+        rows = self.in_order(rows)
         past = np.array([row[0] for row in self.ring.get()] if self.ring.exists() else [], dtype="float64")
         values = np.array([row[1] for row in rows], dtype="float64")
         index = first_anomaly(past, values, self.threshold_z, self.baseline_rows, self.min_rows)

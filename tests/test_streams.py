@@ -156,3 +156,36 @@ def test_one_key_with_many_rows_in_a_batch(spark):
     want = telemetry.breaker_states(df)
     digest = [F.count(F.lit(1)), F.sum(F.xxhash64("call_id", "state", "runs", "state_after").cast("decimal(38,0)"))]
     assert tuple(got.agg(*digest).first()) == tuple(want.agg(*digest).first())
+
+
+def test_keys_of_one_lane_keep_their_own_state(spark, monkeypatch):
+    """A fold groups by lane, not by key, and every key gives what it gives alone."""
+    monkeypatch.setattr(stateful, "LANES", 2)
+    rnd = random.Random(8)
+    rows = [(START + timedelta(seconds=i * 9), f"c{rnd.randrange(40)}" if i % 20 else None, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "ts timestamp, client string, request_id bigint")
+    limited = live.stream_token_bucket(feed(spark, closed(df, client="end"), times(0, 10, 25, 60, 100, 20_000)), 1, 600.0)
+    got = settle_stream(spark, limited, "lanes")
+    want = alerts.token_bucket(df.withColumn("client", F.coalesce("client", F.lit("none"))), 1, 600.0)
+    shown = [F.coalesce("client", F.lit("none")), "request_id", "allowed", "retry_after"]
+    assert sorted(map(tuple, got.select(shown).collect())) == sorted(map(tuple, want.select(shown).collect()))
+    assert got.where("late").isEmpty()
+
+
+def test_late_is_what_is_older_than_the_keys_own_release(spark, monkeypatch):
+    monkeypatch.setattr(stateful, "LANES", 1)
+    prepare(spark)
+    path = scratch_path(spark, "own")
+    names = "ts timestamp, client string, request_id bigint"
+    files = [
+        [(40, "a", 1), (41, "a", 2)],
+        [(9_000, "end", 3)],
+        [(9_001, "end", 4)],
+        [(10, "a", 5), (10, "new", 6)],  # the lane has released the time of both, but only one key has
+        [(20_000, "end", 7)],
+    ]
+    for part in files:
+        rows = [(START + timedelta(minutes=m), client, n) for m, client, n in part]
+        spark.createDataFrame(rows, names).coalesce(1).write.mode("append").parquet(path)
+    got = settle_stream(spark, live.stream_token_bucket(live.replay_stream(spark, path, names), 1), "own")
+    assert {r["request_id"]: r["late"] for r in got.collect()} == {1: False, 2: False, 3: False, 4: False, 5: True, 6: False}
