@@ -189,3 +189,15 @@ def test_late_is_what_is_older_than_the_keys_own_release(spark, monkeypatch):
         spark.createDataFrame(rows, names).coalesce(1).write.mode("append").parquet(path)
     got = settle_stream(spark, live.stream_token_bucket(live.replay_stream(spark, path, names), 1), "own")
     assert {r["request_id"]: r["late"] for r in got.collect()} == {1: False, 2: False, 3: False, 4: False, 5: True, 6: False}
+
+
+def test_incidents_of_one_lane_have_their_own_states(spark, monkeypatch):
+    monkeypatch.setattr(stateful, "LANES", 1)
+    kinds = [("incident.opened", "{}"), ("state.transition", '{"to":"MITIGATING"}'), ("state.transition", '{"to":"RESOLVED"}')]
+    # incident n has its first n % 4 events, all incidents in turn
+    rows = [(START + timedelta(minutes=step, seconds=n), f"i{n}", step * 60 + n, *kinds[step]) for step in range(3) for n in range(60) if step < n % 4]
+    df = spark.createDataFrame(rows, "ts timestamp, incident_id string, seq bigint, event_type string, payload string")
+    stream = feed(spark, closed(df, incident_id="end"), times(0, 1, 2, 100, 20_000))
+    got = settle_stream(spark, live.stream_states(stream), "lanes").where("incident_id <> 'end'").collect()
+    want = ["INVESTIGATING", "MITIGATING", "RESOLVED"]
+    assert sorted((r["seq"], r["state"], r["accepted"], r["late"]) for r in got) == [(seq, want[seq // 60], True, False) for _, _, seq, _, _ in rows]
