@@ -156,6 +156,26 @@ def pair_keys(a_bytes: list[bytes], b_bytes: list[bytes]) -> np.ndarray:
     return np.fromiter(sorted(keys), np.int64, len(keys))
 
 
+class Places:
+    """Places of numbers in sorted `keys`: by a hash table, and by search where two keys share a slot."""
+
+    BITS, FACTOR = 21, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.table = keys, np.zeros(1 << self.BITS, np.int32)
+        self.table[self.slots(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def slots(self, numbers: np.ndarray) -> np.ndarray:
+        return (numbers.astype(np.uint64) * self.FACTOR) >> np.uint64(64 - self.BITS)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The place of each number, all of which are among the keys."""
+        found = self.table[self.slots(numbers)]
+        other = np.flatnonzero(self.keys[found] != numbers)
+        found[other] = np.searchsorted(self.keys, numbers[other])
+        return found
+
+
 def runs(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, int]]:
     """Stretches of one token to one, each with the irregular group behind it: (i, j, length, x, y).
 
@@ -243,13 +263,13 @@ def aligned(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a_json, b_model, keys = shared.value
-        pair = Pair.of(a_json, b_model)
+        pair, places = Pair.of(a_json, b_model), Places(keys)
         for batch in batches:
             out = []
             for name, text in zip(batch["id"], batch["text"]):
                 a_ids, b_ids, found = align(pair, text, chunk)
                 last_a, last_b = (np.asarray(linked(ids, found, side), np.int64) for side, ids in enumerate((a_ids, b_ids)))
-                links = np.searchsorted(keys, last_a << 32 | last_b).astype("<u4")
+                links = places.of(last_a << 32 | last_b).astype("<u4")
                 groups = listed(pair, a_ids, b_ids, found)
                 out.append((name, len(a_ids), len(b_ids), len(links), groups, links.tobytes()))
             yield pd.DataFrame(out, columns=["id", "n_a", "n_b", "n_groups", "groups", "links"])

@@ -149,3 +149,16 @@ def test_query(spark, sf_dir):
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert answers(QUERIES["op13_token_alignment"](spark, sf_dir)) == brute(rows)
+
+
+def test_places_are_those_of_the_search(pair):
+    import numpy as np
+
+    keys = T.pair_keys(pair.a_bytes, pair.b_bytes)
+    places = T.Places(keys)
+    shared = len(keys) - len(np.unique(places.slots(keys)))
+    assert shared > 0  # some keys share a slot, and are found all the same
+    rnd = np.random.default_rng(1)
+    asked = keys[rnd.integers(0, len(keys), 50_000)]
+    for numbers in (keys, asked, asked[:0]):
+        assert (places.of(numbers) == np.searchsorted(keys, numbers)).all()
