@@ -11,6 +11,7 @@ from faultline.operators.eventlog import opened
 from faultline.operators.telemetry import breaker_step
 from faultline.streaming.stateful import STRETCH, fold_stream, seconds
 
+STATE_PARTITIONS = 32
 
 def replay_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
     """Recorded files as a stream, oldest first, so many files per micro-batch."""
@@ -27,16 +28,35 @@ def live_event_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
+def state_partitions(spark: SparkSession) -> int:
+    """Partitions of a stream's state: two a core, STATE_PARTITIONS at least, no more than the session's shuffles have.
+
+    Each is opened and committed in every micro-batch, whatever it holds, so their number follows
+    the cores; what grows with the input is on disk.
+    """
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(STATE_PARTITIONS, 2 * spark.sparkContext.defaultParallelism))
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there now and append it to `path`; restartable from the checkpoint."""
-    query = (
+    """Process what is there now and append it to `path`; restartable from the checkpoint.
+
+    A checkpoint keeps the number of partitions that it began with.
+    """
+    spark = stream.sparkSession
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
+    spark.conf.set("spark.sql.shuffle.partitions", state_partitions(spark))
+    try:
+        query = writer.start()  # a query has a copy of the settings it starts with
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
     query.awaitTermination()
 
 
@@ -72,7 +92,6 @@ def stream_states(log: DataFrame, delay: str = "0 seconds", stretch: float = STR
         ["event_type", "to_state"],
         ["state", "accepted"],
         ["incident_id", "seq", "event_type", "to_state"],
-        "state string",
         "incident_id string, seq bigint, event_type string, to_state string, state string, accepted boolean, late boolean",
         ["seq"],
         stretch,
@@ -101,7 +120,6 @@ def stream_token_bucket(
         ["micros"],
         ["allowed", "retry_after"],
         ["client", "request_id"],
-        "parts bigint, last bigint",
         "client string, request_id bigint, allowed boolean, retry_after double, late boolean",
         ["request_id"],
         stretch,
@@ -124,7 +142,6 @@ def stream_breaker_states(
         ["t", "ok"],
         ["state", "runs", "state_after"],
         ["service", "call_id"],
-        "failures bigint, opened double",
         "service string, call_id bigint, state string, runs boolean, state_after string, late boolean",
         ["call_id"],
         stretch,

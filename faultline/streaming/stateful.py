@@ -2,15 +2,16 @@
 
 Rows of a key are put in time order across micro-batches: they wait until the watermark has passed
 them. A row older than what its key has already released is late: it changes no state and comes
-out marked. Folds handle many keys in one lane, for a call per key and micro-batch costs far more
-than its rows.
+out marked. Folds handle many keys in one lane, and keep the states of some keys in one block, for a
+call per key and micro-batch, or per key's state, costs far more than its rows.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator, Sequence
+import zlib
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from faultline.functions import vocab
 STRETCH = 60.0  # seconds of a key's rows that are released together
 OUT_ROWS = 10_000
 LANES = 1_024  # keys of a fold share so many groups; a checkpoint holds for this number
+BLOCK_KEYS = 64  # keys whose states are read and written at once, on average
 LANE, KEY = "lane_of_keys", "key_text"
 
 
@@ -116,7 +118,8 @@ class Fold(Ordered):
     """Runs `step(state, inputs) -> (state, outputs)` over the rows of a key in order.
 
     A group is a lane of keys. Its rows are put away together; each key has its own state, and
-    its own time up to which rows were released.
+    its own time up to which rows were released. States lie in blocks of keys, by the last bits of a
+    hash; as keys get more, every block is dealt over two or more.
     """
 
     def __init__(
@@ -126,24 +129,54 @@ class Fold(Ordered):
         inputs: Sequence[str],
         outputs: Sequence[str],
         keep: Sequence[str],
-        state_schema: str,
         tie: Sequence[str],
         stretch: float,
     ) -> None:
         super().__init__(time, tie, [*inputs, *keep, KEY], stretch)
-        self.step, self.outputs, self.keep, self.state_schema = step, list(outputs), list(keep), state_schema
+        self.step, self.outputs, self.keep = step, list(outputs), list(keep)
         self.inputs, self.kept = [self.columns.index(name) for name in inputs], [self.columns.index(name) for name in keep]
         self.key = self.columns.index(KEY)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.states = handle.getMapState("states", "key string", f"released double, {self.state_schema}")
+        self.states = handle.getMapState("states", "block bigint", "keys string")  # key -> (released, *state)
+        self.size = handle.getValueState("size", "keys bigint, blocks bigint")
+
+    def block(self, block: int) -> dict[str, list]:
+        found = self.states.getValue((block,))
+        return json.loads(found[0]) if found else {}
+
+    def put(self, block: int, states: dict[str, list]) -> None:
+        self.states.updateValue((block,), (json.dumps(states),))
+
+    def sizes(self) -> tuple[int, int]:
+        return self.size.get() if self.size.exists() else (0, 1)
+
+    def by_block(self, keys: Iterable[str], blocks: int) -> dict[int, list[str]]:
+        out = {}
+        for key in keys:
+            out.setdefault(zlib.crc32(key.encode()) % blocks, []).append(key)
+        return out
+
+    def resize(self, keys: int, blocks: int) -> None:
+        """Store both numbers, and deal every block over as many as keep the mean at BLOCK_KEYS."""
+        more = blocks
+        while keys > BLOCK_KEYS * more:
+            more *= 2
+        for block in range(blocks if more > blocks else 0):
+            states = self.block(block)
+            self.states.removeKey((block,))
+            for place, names in self.by_block(states, more).items():
+                self.put(place, {name: states[name] for name in names})
+        self.size.update((keys, more))
 
     def is_late(self, frame: pd.DataFrame, released: float) -> np.ndarray:
         late = super().is_late(frame, released)
         if late.any():  # older than what the lane has released: the key's own time decides
-            old = frame[late]
-            own = {key: (self.states.getValue((key,)) or (-np.inf,))[0] for key in old[KEY].unique()}
+            old, own = frame[late], {}
+            for block, names in self.by_block(old[KEY].unique(), self.sizes()[1]).items():
+                states = self.block(block)
+                own.update((name, states.get(name, (-np.inf,))[0]) for name in names)
             late[late] = (old[self.columns[0]] < old[KEY].map(own)).to_numpy()
         return late
 
@@ -154,16 +187,22 @@ class Fold(Ordered):
         keys, made = {}, []
         for row in rows:
             keys.setdefault(row[self.key], []).append(row)
-        for name, own in keys.items():
-            released, *state = self.states.getValue((name,)) or (-np.inf, None)
-            state = None if released == -np.inf else tuple(_filled(part) for part in state)
-            for row in self.in_order(own):
-                state, out = self.step(state, tuple(_filled(row[n]) for n in self.inputs))
-                made.append((*[row[n] for n in self.kept], *out, False))
-                if len(made) == OUT_ROWS:
-                    yield self.made(made)
-                    made = []
-            self.states.updateValue((name,), (max(released, end), *state))
+        known, blocks = self.sizes()
+        for block, names in self.by_block(keys, blocks).items():
+            states = self.block(block)
+            for name in names:
+                known += name not in states
+                released, *state = states.get(name, (-np.inf, None))
+                state = None if released == -np.inf else tuple(_filled(part) for part in state)
+                for row in self.in_order(keys[name]):
+                    state, out = self.step(state, tuple(_filled(row[n]) for n in self.inputs))
+                    made.append((*[row[n] for n in self.kept], *out, False))
+                    if len(made) == OUT_ROWS:
+                        yield self.made(made)
+                        made = []
+                states[name] = (max(released, end), *state)
+            self.put(block, states)
+        self.resize(known, blocks)
         if made:
             yield self.made(made)
 
@@ -179,7 +218,6 @@ def fold_stream(
     inputs: Sequence[str],
     outputs: Sequence[str],
     keep: Sequence[str],
-    state_schema: str,
     schema: str,
     tie: Sequence[str] = (),
     stretch: float = STRETCH,
@@ -188,7 +226,7 @@ def fold_stream(
     watermark has passed their stretch."""
     lane = F.pmod(F.xxhash64(*keys), F.lit(LANES)).alias(LANE)
     return stream.select("*", F.to_json(F.struct(*keys)).alias(KEY), lane).groupBy(LANE).transformWithStateInPandas(
-        statefulProcessor=Fold(step, time, inputs, outputs, keep, state_schema, tie, stretch),
+        statefulProcessor=Fold(step, time, inputs, outputs, keep, tie, stretch),
         outputStructType=schema,
         outputMode="Append",
         timeMode="EventTime",

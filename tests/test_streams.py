@@ -201,3 +201,79 @@ def test_incidents_of_one_lane_have_their_own_states(spark, monkeypatch):
     got = settle_stream(spark, live.stream_states(stream), "lanes").where("incident_id <> 'end'").collect()
     want = ["INVESTIGATING", "MITIGATING", "RESOLVED"]
     assert sorted((r["seq"], r["state"], r["accepted"], r["late"]) for r in got) == [(seq, want[seq // 60], True, False) for _, _, seq, _, _ in rows]
+
+
+class Kept:
+    """A map or value state that counts the calls it gets."""
+
+    def __init__(self, *_):
+        self.rows, self.calls = {}, 0
+
+    def called(self, found):
+        self.calls += 1
+        return found
+
+    def getValue(self, key):
+        return self.called(self.rows.get(key))
+
+    def updateValue(self, key, value):
+        self.called(self.rows.update({key: value}))
+
+    def removeKey(self, key):
+        self.called(self.rows.pop(key, None))
+
+    def exists(self):
+        return self.called(() in self.rows)
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+
+class Handle:
+    getMapState = getValueState = Kept
+
+
+def test_states_of_many_keys_take_few_calls():
+    """Before, every key's state was read and written by a call of its own."""
+    fold = stateful.Fold(lambda state, value: ((state[0] + value[0] if state else value[0],), (0,)), "t", ["n"], ["out"], ["n"], [], 60.0)
+    fold.init(Handle())
+    place = {name: fold.columns.index(name) for name in ("t", "n", stateful.KEY)}
+    keys = 20 * stateful.BLOCK_KEYS
+
+    def rows(turn):
+        made = [[None] * len(place) for _ in range(keys)]
+        for n, row in enumerate(made):
+            row[place["t"]], row[place["n"]], row[place[stateful.KEY]] = float(turn), n, f"k{n}"
+        return made
+
+    for turn in range(4):
+        out = [n for frame in fold.advance((0,), rows(turn), 60.0 * (turn + 1)) for n in frame["n"]]
+        assert sorted(out) == list(range(keys))
+    calls = fold.states.calls + fold.size.calls
+    assert calls < 4 * keys / 4  # 8 a key before
+    known, blocks = fold.sizes()
+    assert known == keys and keys <= stateful.BLOCK_KEYS * blocks < 2 * keys
+    states = {}
+    for block in range(blocks):
+        states.update(fold.block(block))
+    assert states == {f"k{n}": [240.0, 4 * n] for n in range(keys)}
+
+
+def test_state_partitions_follow_the_cores(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4000")
+    try:
+        assert live.state_partitions(spark) == max(live.STATE_PARTITIONS, 2 * cores)
+        seen = []
+        monkeypatch.setattr(live, "state_partitions", lambda spark: seen.append(spark) or 3)
+        rows = [(START + timedelta(minutes=n), "a", n) for n in range(5)]
+        df = spark.createDataFrame(rows, "ts timestamp, client string, request_id bigint")
+        limited = live.stream_token_bucket(feed(spark, closed(df, client="end"), times(0, 3, 20_000)), 100)
+        assert settle_stream(spark, limited, "few").count() == 5
+        assert seen and spark.conf.get("spark.sql.shuffle.partitions") == "4000"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
