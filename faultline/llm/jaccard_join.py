@@ -230,7 +230,7 @@ def first_runs(runs: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def describe(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(id, n, k, cold, hot) per document: size and digest of its set, and its first runs."""
+    """(id, t, n, k, cold, hot) per document: hash of its text, size and digest of its set, and its first runs."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,6 +240,7 @@ def describe(texts: DataFrame, levels: np.ndarray) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "id": batch["id"],
+                    "t": batch["t"],
                     "n": [len(runs) for runs in sets],
                     "k": [set_digest(runs) for runs in sets],
                     "cold": [cold.view(np.int64) for cold, _ in first],
@@ -247,7 +248,8 @@ def describe(texts: DataFrame, levels: np.ndarray) -> DataFrame:
                 }
             )
 
-    return texts.mapInPandas(run, "id string, n bigint, k bigint, cold array<bigint>, hot array<bigint>")
+    hashed = texts.select("id", "text", F.xxhash64("text").alias("t"))
+    return hashed.mapInPandas(run, "id string, t bigint, n bigint, k bigint, cold array<bigint>, hot array<bigint>")
 
 
 def shared_runs(described: DataFrame) -> DataFrame:
@@ -290,15 +292,16 @@ def islands(described: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k, runs) of the wanted sets, one row each.
+    """(k, runs) of the wanted sets (k, t), one row each; t is the hash of a text that has the set.
 
-    A bitmap of bounded size (see FILTER_BITS) keeps most other sets from being sent on at all.
+    A bitmap of such hashes, of bounded size (see FILTER_BITS), keeps the runs of most other texts from
+    being made again; sets that come through it by chance go where k is compared.
     """
     bits = BLOCK_BITS
     rows = wanted.count()
     while bits < 16 * rows and bits < FILTER_BITS:
         bits *= 2
-    slot = F.col("k").bitwiseAND(F.lit(bits - 1))
+    slot = F.col("t").bitwiseAND(F.lit(bits - 1))
     blocks = (
         wanted.select(slot.alias("slot"))
         .groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("block"))
@@ -312,17 +315,12 @@ def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
-            keys, runs = [], []
-            for text in batch["text"]:
-                one = shingles(text, WIDTH)
-                k = set_digest(one)
-                at = k & (bits - 1)
-                if known[at >> 3] >> (at & 7) & 1:
-                    keys.append(k)
-                    runs.append(one.tobytes())
-            yield pd.DataFrame({"k": np.asarray(keys, np.int64), "runs": runs})
-
-    found = texts.select("text").mapInPandas(run, "k bigint, runs binary")
+            at = batch["t"].to_numpy(np.int64) & (bits - 1)
+            sets = [shingles(text, WIDTH) for text in batch["text"][known[at >> 3] >> (at & 7) & 1 == 1]]
+            keys = np.asarray([set_digest(one) for one in sets], np.int64)
+            yield pd.DataFrame({"k": keys, "runs": [one.tobytes() for one in sets]})
+
+    found = texts.select("text", F.xxhash64("text").alias("t")).mapInPandas(run, "k bigint, runs binary")
     # copies fold before the shuffle
     return found.groupBy("k").agg(F.first("runs").alias("runs")).join(wanted.select("k"), "k", "left_semi")
 
@@ -435,11 +433,13 @@ def join(
     )
     whole = described.where("n > 0")
     classes = written(
-        whole.groupBy("k").agg(F.min("n").alias("n"), F.min("id").alias("least"), F.count(F.lit(1)).alias("class_size")),
+        whole.groupBy("k").agg(
+            F.min("n").alias("n"), F.min("t").alias("t"), F.min("id").alias("least"), F.count(F.lit(1)).alias("class_size")
+        ),
         "jaccard-classes",
     )
-    placed = written(islands(whole, classes), "jaccard-islands")
-    ready = placed.join(classes.select("k", "n"), "k").join(sets_of(texts, placed), "k")
+    placed = written(islands(whole, classes).join(classes.select("k", "n", "t"), "k"), "jaccard-islands")
+    ready = placed.join(sets_of(texts, placed), "k")
     ready = written(ready.select(F.col("island").alias("region"), "k", "n", "runs"), "jaccard-sets")
     joined = components(linked(ready, most_runs, most_docs, rounds))
     named = classes.join(joined, classes["k"] == joined["node"], "left")

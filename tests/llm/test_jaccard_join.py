@@ -106,3 +106,20 @@ def test_words_that_collide_in_sums_of_powers_do_not_link(spark):
     got = J.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i for i, _ in rows}
     assert all(r["class_size"] == 1 for r in got)
+
+
+def test_sets_are_made_again_for_wanted_texts_only(spark, monkeypatch):
+    """Before, the runs of every text were made once more to find the wanted sets."""
+    wanted = ["one two three four five six", "One  two three four five six", "seven eight nine ten eleven"]
+    texts = spark.createDataFrame([(str(n), text) for n, text in enumerate([*wanted, wanted[0], *(f"not wanted {n}" for n in range(50))])], "id string, text string")
+    described = J.describe(texts, np.zeros(1 << J.SKETCH_BITS, np.uint8)).where("id < 3")
+    classes = described.groupBy("k").agg(J.F.min("t").alias("t")).localCheckpoint()
+    own = J.shingles
+
+    def strict(text, width):
+        assert not text.startswith("not wanted")
+        return own(text, width)
+
+    monkeypatch.setattr(J, "shingles", strict)
+    got = sorted((r.k, bytes(r.runs)) for r in J.sets_of(texts, classes).collect())
+    assert got == sorted((J.set_digest(own(text, J.WIDTH)), own(text, J.WIDTH).tobytes()) for text in wanted[1:])
