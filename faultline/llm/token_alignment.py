@@ -29,7 +29,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -77,6 +77,31 @@ def in_rank_order(a_json: str) -> bool:
     return bool(plain and model["type"] == "BPE" and not model.get("ignore_merges") and all(x < y for x, y in zip(ids, ids[1:])) and min(ids) >= 256)
 
 
+class Entries:
+    """A vocabulary's tokens as bytes end to end, and their ids as text: `inner` within a group, `last` at its end."""
+
+    SLICE = 1 << 16  # tokens spelled at once
+
+    def __init__(self, tokens: list[bytes], end: str):
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.inner, self.last = [np.array([f"{n}{mark}" for n in range(len(tokens))], "S") for mark in (",", end)]
+
+    def spell(self, ids: np.ndarray, want: bytes) -> bool:
+        """Whether the tokens' bytes are those wanted."""
+        at = 0
+        for low in range(0, len(ids), self.SLICE):
+            part = ids[low : low + self.SLICE]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            made = self.flat[np.repeat(self.starts[part] + sizes - ends, sizes) + np.arange(ends[-1])].tobytes()
+            if want[at : at + len(made)] != made:
+                return False
+            at += len(made)
+        return at == len(want)
+
+
 class Pair:
     """Both tokenizers with the bytes of all their tokens; made once per Python worker."""
 
@@ -109,8 +134,7 @@ class Pair:
         if in_rank_order(a_json):
             ranks = {token: n for n, token in enumerate(self.a_bytes) if n in in_model}
             self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.a_sizes, self.b_sizes = [list(map(len, x)) for x in (self.a_bytes, self.b_bytes)]
-        self.a_names, self.b_names = [[str(n) for n in range(len(x))] for x in (self.a_bytes, self.b_bytes)]
+        self.entries = Entries(self.a_bytes, "|"), Entries(self.b_bytes, ";")
 
     @classmethod
     def of(cls, a_json: str, b_model: bytes) -> Pair:
@@ -124,19 +148,22 @@ class Pair:
             return self.ranked.encode_ordinary(text)
         return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def tokens(self, text: str, chunk: int) -> tuple[list[int], list[int]]:
+    def arrays(self, text: str, chunk: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A and B, empty where either does not spell space + text."""
         a_ids, b_ids = [], []
-        if not text:
-            return a_ids, b_ids
-        for part in cut(text, chunk) if self.cuttable else [text]:
-            a_ids += self.a_tokens(" " + part)
-            b_ids += self.b.encode(part, num_threads=1)  # B adds the space
+        if text:
+            for part in cut(text, chunk) if self.cuttable else [text]:
+                a_ids += self.a_tokens(" " + part)
+                b_ids += self.b.encode(part, num_threads=1)  # B adds the space
+        found = np.asarray(a_ids, np.int64), np.asarray(b_ids, np.int64)
         want = b" " + text.encode()
-        for ids, table in ((a_ids, self.a_bytes), (b_ids, self.b_bytes)):
-            if b"".join(map(table.__getitem__, ids)) != want:
-                return [], []
-        return a_ids, b_ids
+        if all(entries.spell(ids, want) for entries, ids in zip(self.entries, found)):
+            return found
+        return found[0][:0], found[1][:0]
+
+    def tokens(self, text: str, chunk: int) -> tuple[list[int], list[int]]:
+        a_ids, b_ids = self.arrays(text, chunk)
+        return a_ids.tolist(), b_ids.tolist()
 
 
 def pair_keys(a_bytes: list[bytes], b_bytes: list[bytes]) -> np.ndarray:
@@ -220,32 +247,39 @@ def runs(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def align(pair: Pair, text: str, chunk: int) -> tuple[list[int], list[int], list[tuple[int, int, int, int, int]]]:
-    """Ids of A and B, and the stretches that their common ends make."""
-    a_ids, b_ids = pair.tokens(text, chunk)
-    return a_ids, b_ids, runs(list(accumulate(map(pair.a_sizes.__getitem__, a_ids))), list(accumulate(map(pair.b_sizes.__getitem__, b_ids))))
+def align(pair: Pair, text: str, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of A and B, and the places of the tokens of each that end at every common end."""
+    ids = pair.arrays(text, chunk)
+    return *ids, *lasts(runs(*(np.cumsum(entries.sizes[own]).tolist() for entries, own in zip(pair.entries, ids))))
 
 
-def linked(ids: list[int], found: list[tuple[int, int, int, int, int]], side: int) -> list[int]:
-    """The token of A (side 0) or B (1) that ends at every common end."""
+def lasts(found: list[tuple[int, int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of A's and B's tokens that end at every common end of the stretches."""
+    i, j, run, x, y = np.fromiter(chain.from_iterable(found), np.int64, 5 * len(found)).reshape(-1, 5).T
+    behind = x > i + run
+    ends = np.cumsum(run + behind)
+    start = ends - run - behind
     out = []
-    for run in found:
-        first, end = run[side], run[3 + side]
-        out += ids[first : first + run[2]]
-        if end > first + run[2]:
-            out.append(ids[end - 1])
-    return out
+    for first, after in ((i, x), (j, y)):
+        places = np.repeat(first - start, run + behind) + np.arange(ends[-1] if len(ends) else 0)
+        places[ends[behind] - 1] = after[behind] - 1
+        out.append(places)
+    return out[0], out[1]
 
 
-def listed(pair: Pair, a_ids: list[int], b_ids: list[int], found: list[tuple[int, int, int, int, int]]) -> str:
+def listed(pair: Pair, a_ids: np.ndarray, b_ids: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
     """The groups as text: a1,a2|b1;a3|b2,b3."""
-    a_names, b_names = list(map(pair.a_names.__getitem__, a_ids)), list(map(pair.b_names.__getitem__, b_ids))
-    out = []
-    for i, j, run, x, y in found:
-        out += map("|".join, zip(a_names[i : i + run], b_names[j : j + run]))
-        if x > i + run:
-            out.append(",".join(a_names[i + run : x]) + "|" + ",".join(b_names[j + run : y]))
-    return ";".join(out)
+    if not len(last_a):
+        return ""
+    a, b = pair.entries
+    # a group's tokens of A stand behind the earlier groups' of B, its tokens of B behind its own of A
+    at_a = np.arange(len(a_ids)) + np.repeat(np.concatenate(([0], last_b[:-1] + 1)), np.diff(last_a, prepend=-1))
+    at_b = np.arange(len(b_ids)) + np.repeat(last_a + 1, np.diff(last_b, prepend=-1))
+    cells = np.empty(len(a_ids) + len(b_ids), max(a.last.dtype, b.last.dtype))
+    for entries, ids, at, last in ((a, a_ids, at_a, last_a), (b, b_ids, at_b, last_b)):
+        cells[at] = entries.inner[ids]
+        cells[at[last]] = entries.last[ids[last]]
+    return cells.tobytes().translate(None, b"\0")[:-1].decode()  # shorter numbers are filled up with zero bytes
 
 
 def aligned(
@@ -267,10 +301,9 @@ def aligned(
         for batch in batches:
             out = []
             for name, text in zip(batch["id"], batch["text"]):
-                a_ids, b_ids, found = align(pair, text, chunk)
-                last_a, last_b = (np.asarray(linked(ids, found, side), np.int64) for side, ids in enumerate((a_ids, b_ids)))
-                links = places.of(last_a << 32 | last_b).astype("<u4")
-                groups = listed(pair, a_ids, b_ids, found)
+                a_ids, b_ids, last_a, last_b = align(pair, text, chunk)
+                links = places.of(a_ids[last_a] << 32 | b_ids[last_b]).astype("<u4")
+                groups = listed(pair, a_ids, b_ids, last_a, last_b)
                 out.append((name, len(a_ids), len(b_ids), len(links), groups, links.tobytes()))
             yield pd.DataFrame(out, columns=["id", "n_a", "n_b", "n_groups", "groups", "links"])
 

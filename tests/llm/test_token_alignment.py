@@ -162,3 +162,20 @@ def test_places_are_those_of_the_search(pair):
     asked = keys[rnd.integers(0, len(keys), 50_000)]
     for numbers in (keys, asked, asked[:0]):
         assert (places.of(numbers) == np.searchsorted(keys, numbers)).all()
+
+
+def test_lists_of_groups_are_made_by_arrays(pair):
+    """Groups and last tokens as one walk over the stretches gives them; the walk made an object a token."""
+    import numpy as np
+
+    for text in [*filter(None, ODD), "plain words, then 日本語 and ﬁ ½ again " * 40]:
+        a_ids, b_ids, last_a, last_b = T.align(pair, text, T.CHUNK)
+        assert all(isinstance(x, np.ndarray) for x in (a_ids, b_ids, last_a, last_b))
+        want = plain(text)
+        groups = want[2] if want else []
+        assert T.listed(pair, a_ids, b_ids, last_a, last_b) == ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups)
+        assert [*zip(a_ids[last_a].tolist(), b_ids[last_b].tolist())] == [(g[0][-1], g[1][-1]) for g in groups]
+    a = pair.entries[0]
+    long = np.asarray(pair.a_tokens(" some words here" * 40_000), np.int64)  # more than one slice
+    assert len(long) > a.SLICE and a.spell(long, b" some words here" * 40_000)
+    assert not a.spell(long, b" some words here" * 40_001) and not a.spell(long[:-1], b" some words here" * 40_000)
