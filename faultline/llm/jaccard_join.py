@@ -10,6 +10,10 @@ link when 100 * intersection >= PERCENT * union; they are told apart by 64-bit h
    fewer of them in common with all others links with nothing, and of the rest the commonest
    extra - 1 can be left out: what linked sets still share connects them. Components of that graph
    are islands; no link leads from one to another.
+   With more texts, runs that unrelated texts share by chance tie ever more sets into one island.
+   So a large island is made again from all runs of its sets, in the exact order of their numbers
+   inside it: a set of size n that links shares ceil(0.8 n) runs at least with others, and all but
+   the commonest ceil(0.8 n) - 1 of those still connect it with each partner.
 2. Regions. An island is joined in one task when it is small. A larger one is cut by pivots: every
    document goes to the Voronoi cell of its nearest pivot, or to the rest when all pivots are
    farther than NEAR, and visits each cell in which a partner could lie by the triangle inequality.
@@ -144,9 +148,44 @@ def cells(dist: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def islets(sets: list[np.ndarray], rows: np.ndarray) -> list[np.ndarray]:
+    """Parts of `rows` that no link leaves, by the rule of `finer`; what links with nothing is in none."""
+    size = np.asarray([len(sets[r]) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    _, run, count = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True, return_counts=True)
+    kept = count[run] > 1
+    run, owner = run[kept], owner[kept]
+    order = np.lexsort((run, count[run], owner))
+    run, owner = run[order], owner[order]
+    total = np.bincount(owner, minlength=len(rows))
+    rank = np.arange(len(owner)) - (np.cumsum(total) - total)[owner]
+    kept = rank <= (total - least_size(size))[owner]
+    run, owner = run[kept], owner[kept]
+    order = np.argsort(run, kind="stable")
+    run, owner = run[order], owner[order]
+    starts = np.flatnonzero(np.diff(run, prepend=-1))
+    times = np.diff(starts, append=len(run))
+    part = np.arange(len(rows))
+    while len(run):
+        now = part.copy()
+        np.minimum.at(now, owner, np.repeat(np.minimum.reduceat(part[owner], starts), times))
+        now = now[now]
+        if (now == part).all():
+            break
+        part = now
+    order = np.argsort(part, kind="stable")
+    parts = np.split(rows[order], np.flatnonzero(np.diff(part[order])) + 1)
+    return [one for one in parts if len(one) > 1]
+
+
 def join_sets(sets: list[np.ndarray], rows: np.ndarray, forest: Forest) -> None:
-    """Join all linked sets among `rows`, recursively over Voronoi cells."""
+    """Join all linked sets among `rows`, recursively over islets and Voronoi cells."""
     if len(rows) > LEAF:
+        parts = islets(sets, rows)
+        if not parts or len(parts[0]) < len(rows):
+            for part in parts:
+                join_sets(sets, part, forest)
+            return
         # spread over the rows, so that a rerun takes the same
         chosen = rows[np.linspace(0, len(rows) - 1, PIVOTS).astype(int)]
         parts = cells(distances([sets[r] for r in rows], [sets[r] for r in chosen]))
@@ -286,8 +325,13 @@ def islands(described: DataFrame, classes: DataFrame) -> DataFrame:
         shared.join(active.select("k", "need"), "k").withColumn("rank", rank).where("rank >= need").select("k", "run"),
         "jaccard-kept",
     )
-    heads = written(kept.groupBy("run").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-heads")
-    edges = kept.join(heads, "run").select(F.col("k").alias("a"), F.col("head").alias("b"))
+    return connected(kept, "run")
+
+
+def connected(kept: DataFrame, *keys: str) -> DataFrame:
+    """(k, island): components of the sets by the runs they have in common, a run being named by `keys`."""
+    heads = kept.groupBy(*keys).agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    edges = kept.join(written(heads, "jaccard-heads"), list(keys)).select(F.col("k").alias("a"), F.col("head").alias("b"))
     return components(edges).select(F.col("node").alias("k"), F.col("component").alias("island"))
 
 
@@ -325,6 +369,30 @@ def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("k").agg(F.first("runs").alias("runs")).join(wanted.select("k"), "k", "left_semi")
 
 
+def finer(large: DataFrame) -> DataFrame:
+    """(region, k, n, runs) of large islands, made again by the exact order of all runs of their own sets.
+
+    Linked sets of sizes n and m share at least the larger of least_size(n) and least_size(m) runs.
+    Let each leave out the commonest least_size - 1 of its runs that others of its island have: the
+    rarest run of what the two share is left in both.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(runs=[np.frombuffer(one, np.int64) for one in batch["runs"]])
+
+    listed = large.select("region", "k", "n", "runs").mapInPandas(run, "region bigint, k bigint, n bigint, runs array<bigint>")
+    runs = listed.select("region", "k", "n", F.explode("runs").alias("run"))
+    counts = runs.groupBy("region", "run").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # a plain shuffle on either side, so that a hot run can be split
+    shared = runs.join(written(counts, "jaccard-counts"), ["region", "run"])
+    own = Window.partitionBy("k")
+    spare = F.count(F.lit(1)).over(own) - F.ceil(F.col("n") * PERCENT / 100)
+    ranked = shared.withColumn("spare", spare).withColumn("rank", F.row_number().over(own.orderBy("df", "run")))
+    kept = written(ranked.where("rank <= spare + 1").select("region", "k", "run"), "jaccard-fine")
+    return large.join(connected(kept, "region", "run"), "k").select(F.col("island").alias("region"), "k", "n", "runs")
+
+
 def _sizes(placed: DataFrame, runs: int, docs: int) -> DataFrame:
     sizes = placed.groupBy("region").agg(F.sum("n").alias("all_runs"), F.count(F.lit(1)).alias("all_docs"))
     blocks = F.greatest(F.ceil(F.col("all_runs") / runs), F.ceil(F.col("all_docs") / docs))
@@ -367,14 +435,14 @@ def _cut(large: DataFrame) -> DataFrame:
 
 
 def linked(placed: DataFrame, most_runs: int, most_docs: int, rounds: int) -> DataFrame:
-    """Edges (a, b) that join what links within the regions of (region, k, n, runs)."""
+    """Edges (a, b) that join what links within the islands (region, k, n, runs)."""
     edges = None
 
     def more(found: DataFrame) -> None:
         nonlocal edges
         edges = found if edges is None else edges.unionByName(found)
 
-    for turn in range(rounds + 1):
+    for turn in range(rounds + 2):
         crowded = written(_sizes(placed, most_runs, most_docs).where("blocks > 1"), "jaccard-crowded")
         count = crowded.count()
         if not count:
@@ -384,7 +452,10 @@ def linked(placed: DataFrame, most_runs: int, most_docs: int, rounds: int) -> Da
         sized = placed.join(F.broadcast(crowded) if count <= MOST_BROADCAST else crowded, "region", "left")
         more(sized.where("blocks IS NULL").groupBy("region").applyInPandas(join_group, "a bigint, b bigint"))
         large = sized.where("blocks IS NOT NULL")
-        if turn == rounds:
+        if turn == 0:
+            placed = written(finer(large), "jaccard-finer")
+            continue
+        if turn > rounds:
             break
         placed = written(_cut(large), "jaccard-cells")
         if placed.count() > MOST_VISITS * large.count():
