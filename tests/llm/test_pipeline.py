@@ -72,3 +72,19 @@ def test_odd_rows_pass(spark, sf_dir):
             if name != "tokenise":
                 assert out.columns == docs.columns
             out.collect()
+
+
+def test_loosely_tied_documents_need_no_pivots(spark, sf_dir, monkeypatch):
+    """Before, the third stage joined documents that a few common runs tied together block by block."""
+    from test_jaccard_join import brute, loosely_tied
+
+    def cut(large):
+        raise AssertionError("the island was not made again by the exact order of its runs")
+
+    rows = loosely_tied()
+    join = pipeline.jaccard_join
+    monkeypatch.setattr(join, "_cut", cut)
+    monkeypatch.setattr(join.join, "__defaults__", ("doc_id", "text", join.ISLAND_RUNS, 6, join.ROUNDS))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = pipeline.without_near_copies(spark, docs, sf_dir).collect()
+    assert sorted(r.doc_id for r in left) == sorted(int(i) for i, _, c in brute(rows) if i == c)
